@@ -210,7 +210,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     same = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copies = usable.select("doc_id", "digest").join(same.where("n > 1"), "digest").select("doc_id", "rep")
     copies = cut(copies.where("doc_id <> rep").distinct(), "copies")
-    reps = usable.select("doc_id", "bands").join(copies.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    reps = usable.select("doc_id", "bands").join(copies.select("doc_id").hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     keys = reps.select(F.col("doc_id").cast("long").alias("id"), F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
     meet = keys.join(shared, "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
@@ -222,7 +222,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     k = F.sequence(F.lit(0), F.col("chunks") - 1)
     to = F.transform(k, lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
     member = member.select("id", "component", "chunk", F.explode(to).alias("to")).select("id", "component", "chunk", "to.i", "to.j")
-    held = usable.select(F.col("doc_id").cast("long").alias("id"), "shingles").join(member, "id").dropDuplicates(["component", "i", "j", "id"])
+    # both sides grow with the input, so the join is by shuffle at every size
+    held = usable.select(F.col("doc_id").cast("long").alias("id"), "shingles").join(member.hint("merge"), "id").dropDuplicates(["component", "i", "j", "id"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = held.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "chunk", "id")
 
