@@ -114,22 +114,35 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"block long, vocab array<string>, ids array<{kind}>, n_bytes array<long>, n_distinct array<int>, codes binary, counts binary")
 
 
-def count_pieces(distinct: DataFrame, path: str) -> DataFrame:
-    """(word, pieces) for a table of distinct pre-tokens (word): the library's tokens for each."""
+def count_pieces(named: DataFrame, path: str) -> DataFrame:
+    """(block, place, pieces) for rows (block, place, word): the library's tokens of each word.
+
+    Rows are dealt and sorted by word, so each distinct word of all blocks is counted once, and its count goes to every block that holds it. A word has at
+    most one row in a block, so a frequent word has as many small rows as there are blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_count = None, 0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            made = tokenizer(path).encode_batch_fast(words, add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(e.ids) for e in made], pa.int32())], ["word", "pieces"])
+            words = batch.column(2).dictionary_encode()
+            distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+            new = [w for w in distinct if w != last]
+            made = dict(zip(new, (len(e.ids) for e in tokenizer(path).encode_batch_fast(new, add_special_tokens=False))))
+            if last in distinct:
+                made[last] = last_count
+            counts = np.fromiter((made[w] for w in distinct), np.int32, len(distinct))
+            if len(at):
+                last, last_count = distinct[at[-1]], int(counts[at[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts[at], pa.int32())], ["block", "place", "pieces"])
 
-    return distinct.mapInArrow(run, "word string, pieces int")
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.select("block", "place", "word").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block long, place int, pieces int")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    The distinct pre-tokens of all blocks are counted once each in a table, which is joined to the blocks' vocabularies; a
+    The distinct pre-tokens of all blocks are counted once each, and the counts are joined to the blocks' vocabularies; a
     document's tokens are the sum of frequency times pieces over its pre-tokens. Token ids of texts are never made.
     Null texts count as empty (0 bytes, 0 tokens); special strings inside texts count as the one token that the library makes of them; repeated rows
     are counted each; an empty table gives none; other columns are left aside. path: the tokenizer's file, readable on every executor.
@@ -138,8 +151,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     blocks = cut(frequencies(docs, path), "frequencies")
     named = blocks.select("block", F.posexplode("vocab").alias("place", "word"))
-    pieces = count_pieces(named.select("word").distinct(), path)
-    each = named.join(pieces, "word").groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("pieces"))
+    each = count_pieces(named, path).groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("pieces"))
     rows = blocks.drop("vocab").join(each, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
