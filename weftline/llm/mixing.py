@@ -72,7 +72,8 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 42, shards: int
     ids = cut(ids.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int")), "sizes")
     held = cut(ids.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     targets = cut(source_targets(held.groupBy("source").agg(F.sum("words").alias("words")), weights, repeats), "targets")
-    plan = held.join(targets, held["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    targets = targets.withColumnRenamed("source", "t_")
+    plan = held.join(targets, F.col("source").eqNullSafe(F.col("t_"))).drop("t_")
     plan = plan.withColumn("rounds", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(0).cast("int"))
     rest = F.col("target") - F.col("rounds") * F.col("source_size")
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "source", "block"), "block")
@@ -82,24 +83,24 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 42, shards: int
     plan = cut(plan.withColumn("partial", ~F.col("whole") & (F.col("room") > 0)), "plan")
     draws = F.col("rounds") + (F.col("whole") | F.col("partial")).cast("int")
     tickets = plan.where(draws > 0).select("source", "block", F.explode(F.sequence(F.lit(1), draws)).alias("round"))
-    dealt = split_tree(tickets, shards, seed).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("round", "shard"))).alias("dealt"))
-    small = plan.join(dealt, plan["source"].eqNullSafe(dealt["source"]) & (plan["block"] == dealt["block"]), "left").drop(dealt["source"]).drop(dealt["block"])
+    dealt = split_tree(tickets, shards, seed).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("round", "shard"))).alias("dealt")).withColumnsRenamed({"source": "s_", "block": "b_"})
+    small = plan.join(dealt, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")), "left").drop("s_", "b_")
     small = cut(small.select("source", "block", "source_size", "target", "rounds", "whole", "partial", "room", F.transform("dealt", lambda d: d["shard"]).alias("shards")), "dealt")
     small = F.broadcast(small) if small.count() <= PLAN_ROWS else small
 
     # the block that passes the target, one per source: documents in permuted order up to the nearest one
-    edge = small.where("partial").select("source", "block", "room")
-    edge = ids.join(edge, ids["source"].eqNullSafe(edge["source"]) & (ids["block"] == edge["block"])).drop(edge["source"]).drop(edge["block"])
+    edge = small.where("partial").select(F.col("source").alias("s_"), F.col("block").alias("b_"), "room")
+    edge = ids.join(edge, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_"))).drop("s_", "b_")
     place = Window.partitionBy("source").orderBy("key", "doc_id", "crc")
     edge = edge.withColumn("upto", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edge = edge.where(F.col("upto") - F.col("size") / 2 <= F.col("room")).groupBy("source", "block").agg(F.max(F.struct("key", "doc_id", "crc")).alias("last"))
     edge = edge.withColumnsRenamed({"source": "s_", "block": "b_"})
-    small = small.join(F.broadcast(edge), small["source"].eqNullSafe(edge["s_"]) & (small["block"] == edge["b_"]), "left").drop("s_", "b_")  # edge: a row per source
+    small = small.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")), "left").drop("s_", "b_")  # edge: a row per source
     small = small.withColumnsRenamed({"source": "s_", "block": "b_"})
 
     mine = base.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("key_", F.xxhash64(F.lit(seed), "doc_id")).withColumn("crc_", F.crc32(text.cast("binary")))
     mine = mine.withColumn("block_", F.pmod("key_", F.lit(blocks)).cast("int"))
-    out = mine.join(small, mine["source"].eqNullSafe(small["s_"]) & (mine["block_"] == small["b_"]), "left")
+    out = mine.join(small, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block_") == F.col("b_")), "left")
     upto_last = F.coalesce(F.struct(F.col("key_").alias("key"), F.col("doc_id"), F.col("crc_").alias("crc")) <= F.col("last"), F.lit(False))
     copies = F.col("rounds") + (F.col("whole") | (F.col("partial") & upto_last)).cast("int")
     placed = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.coalesce(copies, F.lit(0)))
