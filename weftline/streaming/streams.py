@@ -38,7 +38,7 @@ def decode(records: DataFrame, schema: T.StructType | None = None, deserialize:
     Records without a value are left out. Repeats of (topic, partition, offset) within a batch are dropped.
     """
     rows = records.where(F.col("value").isNotNull())
-    text = F.decode(F.col("value"), F.lit("UTF-8")) if dict(records.dtypes)["value"] == "binary" else F.col("value")
+    text = F.make_valid_utf8(F.col("value").cast("string"))
     if deserialize != "json":
         return rows.withColumn("data", F.struct(text.alias("raw"))).withColumn("error", F.lit(None).cast("string"))
     if schema is None:
@@ -149,12 +149,12 @@ def lag(progress) -> int | None:
 
 def inspect_dead_letters(records: DataFrame, limit: int = 50) -> DataFrame:
     """Dead letters with value as text and a column for each header."""
-    pick = lambda name: F.decode(F.try_element_at(F.filter("headers", lambda h: h["key"] == name), F.lit(1))["value"], F.lit("UTF-8"))
-    out = records.select(F.col("key").cast("string").alias("key"), F.decode("value", F.lit("UTF-8")).alias("value"), pick("x-error").alias("error"), pick("x-original-topic").alias("original_topic"), pick("x-failed-at").alias("failed_at"), pick("x-original-offset").cast("long").alias("original_offset"))
+    pick = lambda name: F.try_element_at(F.filter("headers", lambda h: h["key"] == name), F.lit(1))["value"].cast("string")
+    out = records.select(F.col("key").cast("string").alias("key"), F.make_valid_utf8(F.col("value").cast("string")).alias("value"), pick("x-error").alias("error"), pick("x-original-topic").alias("original_topic"), pick("x-failed-at").alias("failed_at"), pick("x-original-offset").cast("long").alias("original_offset"))
     return out.orderBy("original_topic", "original_offset").limit(limit)
 
 
 def replay_dead_letters(records: DataFrame, limit: int = 100) -> DataFrame:
     """key, value and the original topic of the first dead letters, to be written again."""
-    topic = F.decode(F.try_element_at(F.filter("headers", lambda h: h["key"] == "x-original-topic"), F.lit(1))["value"], F.lit("UTF-8"))
+    topic = F.try_element_at(F.filter("headers", lambda h: h["key"] == "x-original-topic"), F.lit(1))["value"].cast("string")
     return records.select("key", "value", topic.alias("topic")).orderBy("topic", "value").limit(limit)
