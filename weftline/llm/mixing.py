@@ -13,6 +13,8 @@ from .common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of each source, output shards of the mix, and how often a document may be taken.
 BLOCKS, SHARDS, REPEATS = 256, 16, 3
+#: Slices of a shard that are shuffled apart when the mix is written out.
+SLICES = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Up to so many rows (sources times blocks) the plan is broadcast; beyond, it is joined by shuffle.
 PLAN_ROWS = 200_000
@@ -108,6 +110,11 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 42, shards: int
 
 
 def mixed_rows(mixed: DataFrame, seed: int = 42) -> DataFrame:
-    """The mix itself: a row for each copy with its shard, partitioned by shard and in shuffled order within it."""
+    """The mix itself: a row for each copy with its shard, in shuffled order within slices of a shard.
+
+    A shard is dealt over SLICES slices by the order's own first bits, so that the tasks aren't bound to the number of shards.
+    """
     rows = mixed.select("*", F.posexplode("placed").alias("copy", "shard")).drop("placed")
-    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "copy"))
+    rows = rows.withColumn("order_", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "copy", "text"))
+    dealt = rows.repartition("shard", F.pmod(F.floor(F.col("order_") / (2**64 // SLICES)), F.lit(SLICES)))
+    return dealt.sortWithinPartitions("shard", "order_").drop("order_")
