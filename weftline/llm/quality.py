@@ -85,7 +85,8 @@ def _collect_features(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t or "").tobytes() for t in batch.column(0).to_pylist()], pa.binary())], ["f"])
 
-    got = [np.frombuffer(r["f"], np.float32) for r in rows.select("text").mapInArrow(run, "f binary").collect()]
+    # sorted, since the order in which tasks end or files are listed must not change the fit
+    got = [np.frombuffer(f, np.float32) for f in sorted(bytes(r["f"]) for r in rows.select("text").mapInArrow(run, "f binary").collect())]
     return np.stack(got) if got else np.zeros((0, PAIRS + MEASURES), np.float32)
 
 
