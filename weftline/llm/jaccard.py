@@ -59,12 +59,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     """Keys of the signature's bands, each of ROWS minima."""
     x = (hashes ^ (hashes >> np.uint64(17))).astype(np.uint32)
     low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 4096):
-        part = x[at : at + 4096]
-        for k in range(BANDS * ROWS):
-            y = part * _A[k] + _B[k]
-            y ^= y >> np.uint32(15)
-            low[k] = min(low[k], (y * np.uint32(0x85EBCA6B)).min())
+    for at in range(0, len(x), 256):  # a table of shingles by hash functions that stays in the cache
+        y = x[at : at + 256, None] * _A
+        y += _B
+        y ^= y >> np.uint32(15)
+        y *= np.uint32(0x85EBCA6B)
+        np.minimum(low, y.min(0), out=low)
     keys = np.zeros(BANDS, np.uint64)
     for r in range(ROWS):
         keys = _mix(keys + low[r::ROWS].astype(np.uint64) + np.uint64(1))
