@@ -207,8 +207,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     prepare(spark)
     sets = cut(shingle_sets(docs), "shingles")
     usable = sets.where("n_shingles > 0 and doc_id is not null")
+    # written first: a join right after the aggregation would keep its partitions, and AQE couldn't split a hot digest
     same = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = usable.select("doc_id", "digest").join(same.where("n > 1"), "digest").select("doc_id", "rep")
+    same = cut(same.where("n > 1").drop("n"), "same")
+    copies = usable.select("doc_id", "digest").join(same, "digest").select("doc_id", "rep")
     copies = cut(copies.where("doc_id <> rep").distinct(), "copies")
     reps = usable.select("doc_id", "bands").join(copies.select("doc_id").hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     keys = reps.select(F.col("doc_id").cast("long").alias("id"), F.explode("bands").alias("band"))
