@@ -126,7 +126,7 @@ def aggregate_column(df: DataFrame, column: str, function: str, order_by: Sequen
         if not order_by:
             raise StepError(f"aggregate: {function} needs order_by, as rows have no order")
         need_columns(df, order_by, "aggregate order_by")
-        key = F.when(c.isNotNull(), F.struct(*[F.col(f"`{o}`") for o in order_by]))
+        key = F.when(c.isNotNull(), F.struct(*[F.col(f"`{o}`") for o in order_by], c.alias("__value")))  # among equals the value decides
         return (F.min_by if function == "first" else F.max_by)(c, key)
     simple = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp}
     if function in simple:
@@ -144,7 +144,7 @@ def aggregate_column(df: DataFrame, column: str, function: str, order_by: Sequen
 def aggregate(df: DataFrame, group_by: Sequence[str], aggregations, order_by: Sequence[str] = (), approximate: bool = False) -> DataFrame:
     """Aggregates per group, null keys kept; without group_by one row. Columns are {column}_{function} or the alias.
 
-    aggregations: [{column, function, alias?}] or {column: function}. first/last take the non-null value first/last by order_by.
+    aggregations: [{column, function, alias?}] or {column: function}. first/last take the non-null value first/last by order_by; of values that tie there, the least/greatest.
     """
     if isinstance(aggregations, dict):
         aggregations = [{"column": c, "function": f} for c, f in aggregations.items()]

@@ -129,7 +129,7 @@ add("jn5_null_safe_join", lambda s, d: transform.join(holed(s, d).groupBy("user_
 # --- aggregations -------------------------------------------------------------------------------------------------------------
 AGGS = {
     "sum": "sum(l_extendedprice)", "mean": "avg(l_extendedprice)", "min": "min(l_extendedprice)", "max": "max(l_extendedprice)", "count": "count(l_extendedprice)", "median": "median(l_extendedprice)", "std": "stddev_samp(l_extendedprice)", "var": "var_samp(l_extendedprice)",
-    "first": "arg_min(l_extendedprice, (l_orderkey, l_linenumber))", "last": "arg_max(l_extendedprice, (l_orderkey, l_linenumber))", "count_distinct": "count(DISTINCT l_extendedprice)", "p50": "quantile_cont(l_extendedprice, 0.5)", "p95": "quantile_cont(l_extendedprice, 0.95)",
+    "first": "arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice))", "last": "arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice))", "count_distinct": "count(DISTINCT l_extendedprice)", "p50": "quantile_cont(l_extendedprice, 0.5)", "p95": "quantile_cont(l_extendedprice, 0.95)",
 }
 for n, (f, sql) in enumerate(AGGS.items(), 1):
     digits = 0 if f == "var" else 4 if f in ("median", "p50") else 2
