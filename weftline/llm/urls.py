@@ -113,6 +113,7 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     shape = F.concat_ws(" ", F.filter(path_tokens(F.col("path")), lambda t: ~t.rlike("^[0-9]")))
     shapes = rows.select(shape.alias("shape")).distinct()
     shape_odds = shapes.select("shape", F.explode(F.split("shape", " ")).alias("token")).join(odds, "token").groupBy("shape").agg(F.sum("odds").alias("path_odds"))
+    shape_odds = cut(shape_odds, "shapes")  # else the join keeps the aggregation's partitions, and AQE can't split a frequent shape
     about = cut(split.select("host", "words").join(host_odds, "host", "left"), "about_hosts")
     out = rows.withColumn("shape", shape).join(about, "host", "left").join(shape_odds, "shape", "left")
     score = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
