@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 
+#: A block of documents ends before it holds more documents or more code points than this (a longer text is a block of its own).
+BLOCK_DOCS, BLOCK_CHARS = 4000, 16 << 20
+#: Rows that a task of count_pieces gathers before it packs them by block.
+GATHERED = 1 << 20
+
 #: Fixed values of the tokenizer's file: its split pattern, in Python's regex syntax, and its special strings.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -67,8 +72,25 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], pa.DataType]]:
+    """(ids, texts, type of the ids) of blocks of BLOCK_DOCS documents and BLOCK_CHARS code points at most."""
+    ids, texts, held, kind = [], [], 0, None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text or ""
+            if texts and (len(texts) == BLOCK_DOCS or held + len(text) > BLOCK_CHARS):
+                yield ids, texts, kind
+                ids, texts, held = [], [], 0
+            ids.append(name)
+            texts.append(text)
+            held += len(text)
+    if texts:
+        yield ids, texts, kind
+
+
 def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """Pre-token frequencies, a row for each block of documents (an Arrow batch, bounded in rows and bytes).
+    """Pre-token frequencies, a row for each block of documents. The larger a block, the fewer rows its words take in all.
 
     block, vocab (the block's distinct pre-tokens), ids, n_bytes, n_distinct (per document), codes (places in vocab, document after
     document) and counts, both packed.
@@ -76,8 +98,7 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for k, (doc_ids, texts, id_type) in enumerate(in_blocks(batches)):
             words: dict[str, int] = {}
             per_doc = []
             for text in texts:
@@ -106,7 +127,7 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
             place[order] = np.arange(len(vocab))
             names = list(vocab)
             arrays = [
-                pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([[names[i] for i in order]], pa.list_(pa.string())), pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)),
+                pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([[names[i] for i in order]], pa.list_(pa.string())), pa.array([doc_ids], pa.list_(id_type)),
                 pa.array([[len(t.encode()) for t in texts]], pa.list_(pa.int64())), pa.array([distinct], pa.list_(pa.int32())), pa.array([_pack(place[all_codes])]), pa.array([_pack(np.concatenate(counts) if counts else all_codes)]),
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["block", "vocab", "ids", "n_bytes", "n_distinct", "codes", "counts"])
@@ -115,14 +136,24 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
 
 
 def count_pieces(named: DataFrame, path: str) -> DataFrame:
-    """(block, place, pieces) for rows (block, place, word): the library's tokens of each word.
+    """(block, counted) for rows (block, place, word): the library's tokens of each word, packed as ascending places' steps, then pieces.
 
     Rows are dealt and sorted by word, so each distinct word of all blocks is counted once, and its count goes to every block that holds it. A word has at
-    most one row in a block, so a frequent word has as many small rows as there are blocks.
+    most one row in a block, so a frequent word has as many small rows as there are blocks. A task gathers GATHERED rows and packs them by block; a block may
+    get several rows from a task.
     """
 
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        block, place, pieces = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, block))
+        block, place, pieces = block[order], place[order], pieces[order]
+        begin = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        end = np.append(begin[1:], len(block))
+        made = [_pack(np.concatenate([np.diff(place[b:e], prepend=0), pieces[b:e]])) for b, e in zip(begin.tolist(), end.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(block[begin]), pa.array(made, pa.binary())], ["block", "counted"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_count = None, 0
+        last, last_count, held, n = None, 0, [], 0
         for batch in batches:
             words = batch.column(2).dictionary_encode()
             distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
@@ -133,10 +164,16 @@ def count_pieces(named: DataFrame, path: str) -> DataFrame:
             counts = np.fromiter((made[w] for w in distinct), np.int32, len(distinct))
             if len(at):
                 last, last_count = distinct[at[-1]], int(counts[at[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts[at], pa.int32())], ["block", "place", "pieces"])
+                held.append((batch.column(0).to_numpy().copy(), batch.column(1).to_numpy().copy(), counts[at]))
+                n += len(at)
+            if n >= GATHERED:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
 
     parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return named.select("block", "place", "word").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block long, place int, pieces int")
+    return named.select("block", "place", "word").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block long, counted binary")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -151,17 +188,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     blocks = cut(frequencies(docs, path), "frequencies")
     named = blocks.select("block", F.posexplode("vocab").alias("place", "word"))
-    each = count_pieces(named, path).groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("pieces"))
+    each = count_pieces(named, path).groupBy("block").agg(F.collect_list("counted").alias("counted"))
     rows = blocks.drop("vocab").join(each, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, n_bytes, n_distinct, codes, counts, pieces = (batch.column(name)[k] for name in ("ids", "n_bytes", "n_distinct", "codes", "counts", "pieces"))
-                held = pieces.values
-                table = np.zeros(len(held) if held is not None else 0, np.int64)
-                if len(table):
-                    table[held.field("place").to_numpy()] = held.field("pieces").to_numpy()
+                ids, n_bytes, n_distinct, codes, counts, counted = (batch.column(name)[k] for name in ("ids", "n_bytes", "n_distinct", "codes", "counts", "counted"))
+                held = [_unpack(x).astype(np.int64) for x in counted.as_py() or []]
+                table = np.zeros(sum(map(len, held)) // 2, np.int64)
+                for x in held:
+                    table[np.cumsum(x[: len(x) // 2])] = x[len(x) // 2 :]
                 codes, counts, n = _unpack(codes.as_py()), _unpack(counts.as_py()), n_distinct.values.to_numpy()
                 sums = np.concatenate([[0], np.cumsum(table[codes] * counts.astype(np.int64))]) if len(codes) else np.zeros(1, np.int64)
                 ends = np.cumsum(n)
