@@ -187,6 +187,50 @@ def test_quality_and_toxicity(spark):
     assert any(text[s.begin : s.end] in ("moron", "scum", "idiot") for s in t[0].spans)
 
 
+TOXIC = ("moron", "scum", "idiot")
+
+
+def planted(spark, n, toxic):
+    rng = random.Random(5)
+    rows = []
+    for k in range(n):
+        words = ["".join(rng.choice(("an", "the", "in", "or", "re", "sh", "ti")) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+        if k in toxic:
+            for at in rng.sample(range(60), 6):
+                words[at] = rng.choice(TOXIC)
+        rows.append((k, " ".join(words), "en", "s", 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_few_toxic_labels_still_drop_toxic_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    toxic = [k for k in range(300) if k % 15 == 0]
+    df = planted(spark, 300, set(toxic))
+    known = [k for k in toxic if zlib.crc32(str(k).encode()) % 3 != 1][:4]  # the stage leaves out a third of the ids
+    labels = [(k, 1) for k in known] + [(k, 0) for k in range(300) if k not in toxic]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, df, str(tmp_path)).collect()}
+    clean = {r.doc_id for r in df.collect() if not set(r.text.split()) & set(TOXIC)}
+    assert not kept - clean and len(kept) >= 0.97 * len(clean)
+
+
+def test_rare_toxic_labels_are_all_sampled(spark):
+    toxic = {k for k in range(600) if k % 60 == 0}
+    df = planted(spark, 600, toxic)
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id for r in toxicity.score_toxicity(df, toxicity.train(df, labels, labelled=20)).collect() if r.predicted}
+    assert toxic <= got and len(got - toxic) <= 30
+
+
+def test_tagger_exists_whenever_both_classes_do(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, ""), (4, None)], "doc_id long, text string")
+    for labels in ([(1, 1), (2, 0)], [(3, 1), (4, 0)]):
+        tagger = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert tagger is not None and toxicity.score_toxicity(df, tagger).where("score between 0 and 1").count() == 4
+    assert toxicity.train(df, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")) is None
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.example.net/en/1?x"), (2, "https://example.net/fr/"), (3, "http://m.example.com/de/3#t"), (4, "http://x.org/fr/x"), (5, "http://network/"), (6, None), (7, "no scheme"),

@@ -113,7 +113,10 @@ class Tagger:
 
 
 def one_of_each_family(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of labelled documents that share their smallest hash of four words in a row, one: copies of a text mustn't vote often."""
+    """Of labelled documents of a class that share their smallest hash of four words in a row, one: copies of a text mustn't vote often.
+
+    A family with labels of both classes keeps one of each, so that no class is lost here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,14 +127,15 @@ def one_of_each_family(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(families, pa.int64()), batch.column(1), batch.column(2)], ["family", "doc_id", "toxic"])
 
     rows = docs.join(F.broadcast(labels), "doc_id").select("text", "doc_id", "toxic").mapInArrow(run, f"family long, doc_id {dict(docs.dtypes)['doc_id']}, toxic int")
-    return cut(rows.groupBy("family").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic"), "labelled")
+    return cut(rows.groupBy("family", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "labelled")
 
 
 def indicative_features(docs: DataFrame, labels: DataFrame, least: int = 5, share: float = 0.03, most: int = 4000, odds: float = 6.0, evidence: float = 25.0) -> dict[str, float]:
     """Features that toxic documents hold much more often than others: feature -> log odds. At most ``most`` reach the driver.
 
     A feature needs ``least`` toxic documents and that share of them (a few copies of one text mustn't make its words features), the odds, and
-    ``evidence``: toxic documents times log odds.
+    ``evidence``: toxic documents times log odds. Below 2 * ``least`` toxic documents, ``least`` and ``evidence`` shrink with their number.
+    If no feature passes, those with at least half of the best one's evidence are taken, with counts smoothed by 0.5.
 
     labels: doc_id, toxic of at most a bounded number of rows, broadcast. Documents are counted, not tokens.
     """
@@ -150,9 +154,18 @@ def indicative_features(docs: DataFrame, labels: DataFrame, least: int = 5, shar
     if not n1 or not n0:
         return {}
     counts = both.select("text", F.col("toxic").cast("int")).mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = ((F.col("toxic") + 0.1) / (n1 + 0.2)) / ((F.col("clean") + 0.1) / (n0 + 0.2))
-    best = counts.where(F.col("toxic") >= max(least, share * n1)).withColumn("ratio", ratio).where((F.col("ratio") >= odds) & (F.log("ratio") * F.col("toxic") >= evidence))
-    rows = best.orderBy((F.log("ratio") * F.col("toxic")).desc(), "feature").limit(most).collect()
+    counts = cut(counts.where("toxic > 0"), "features")
+    few = min(1.0, n1 / (2 * least))
+
+    def best(smooth: float, passes) -> list:
+        ratio = ((F.col("toxic") + smooth) / (n1 + 2 * smooth)) / ((F.col("clean") + smooth) / (n0 + 2 * smooth))
+        scored = counts.withColumn("ratio", ratio).withColumn("evidence", F.log("ratio") * F.col("toxic")).where(passes)
+        return scored.orderBy(F.col("evidence").desc(), "feature").limit(most).collect()
+
+    rows = best(0.1, (F.col("toxic") >= max(least * few, share * n1)) & (F.col("ratio") >= odds) & (F.col("evidence") >= evidence * few))
+    if not rows:
+        rows = best(0.5, F.col("ratio") > 1)
+        rows = [r for r in rows if r["evidence"] >= rows[0]["evidence"] / 2]
     return {r["feature"]: float(np.log(r["ratio"])) for r in rows}
 
 
@@ -204,19 +217,19 @@ def calibrate(sums: np.ndarray, toxic: np.ndarray, steps: int = 50) -> tuple[flo
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, chain: int = 800) -> Tagger | None:
-    """Fit on at most about ``labelled`` labelled rows (for the features) and ``chain`` of them (for the chain), chosen by a hash of the id.
+    """Fit on at most about ``labelled`` labelled rows of each class (for the features) and ``chain`` of them (for the chain), chosen by a hash of the id.
 
     labels: doc_id, toxic; the caller leaves out held-out rows; null labels are left out. The token labels come from the
     document labels: in a toxic document the tokens with an indicative feature are toxic, all others are clean.
-    None if one of the classes is missing.
+    The classes are sampled apart, so that a rare one isn't lost. None only if one of the classes is missing.
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select("doc_id", "text")
-    known = one_of_each_family(texts, sampled(known, labelled))
-    found = indicative_features(texts, known)
-    if not found:
+    known = one_of_each_family(texts, sampled(known.where("toxic = 1"), labelled).union(sampled(known.where("toxic = 0"), labelled)))
+    if known.select("toxic").distinct().count() < 2:
         return None
+    found = indicative_features(texts, known)
     names = sorted(found)
     place = {f: k for k, f in enumerate(names)}
 
