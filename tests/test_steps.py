@@ -124,6 +124,26 @@ def test_lineage_edges_and_walk(spark):
     assert {r.node for r in lineage.impact(edge, "load", "a").collect()} == {"load:a", "named:x", "sums:x"}
 
 
+def test_lineage_and_joins_take_all_rows(spark, tmp_path):
+    from weftline.plans.queries import QUERIES
+
+    sf = str(tmp_path)
+    spark.range(40).selectExpr("id AS event_id", "id % 7 AS user_id").write.parquet(f"{sf}/events.parquet")
+    spark.range(30).selectExpr("id AS o_custkey", "id AS o_orderkey", "'F' AS o_orderstatus").union(spark.range(110, 113).selectExpr("id", "id", "'O'")).write.parquet(f"{sf}/orders.parquet")
+    spark.range(25).selectExpr("id AS c_custkey", "'n' AS c_name", "1.0D AS c_acctbal").write.parquet(f"{sf}/customer.parquet")
+    runs = {str(k) for k in range(7)}
+    assert QUERIES["lin1_edges"](spark, sf).count() == 40
+    assert {r.run_id for r in QUERIES["lin4_column_pairs_all_runs"](spark, sf).collect()} == {r.run_id for r in QUERIES["lin5_openlineage"](spark, sf).collect()} == runs
+    links = {(str(k % 7), f"s{k % 4}:c{k // 4 % 3}", f"s{k % 4 + 1}:c{k // 8 % 3}") for k in range(40)}
+    for name, start, a, b in (("lin2_ancestry_all_runs", "s4:c0", 2, 1), ("lin3_impact_all_runs", "s0:c1", 1, 2)):
+        want = {(x[0], start) for x in links if x[a] == start}
+        for _ in range(4):
+            want |= {(x[0], x[b]) for x in links if (x[0], x[a]) in want}
+        assert {(r.run_id, r.node) for r in QUERIES[name](spark, sf).collect()} == want
+    for how, n in (("jn1_inner", 3), ("jn2_left", 33), ("jn3_right", 25), ("jn4_outer", 55)):
+        assert QUERIES[f"{how}_join_all_rows"](spark, sf).count() == n
+
+
 def test_pipeline_check_and_save(spark, people, tmp_path):
     steps = [{"name": "p", "type": "load", "table": "people"}, {"name": "f", "type": "filter", "input": "p", "column": "v", "operator": "gt", "value": 0}]
     made = pipeline.run(steps, {"people": people}, observe=True)

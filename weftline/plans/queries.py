@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.masks import apply_policies
 from ..operators import catalog, contracts, drift, lineage, profile, quality, reshape, runs, sqlstep, transform, udf
@@ -123,6 +124,18 @@ def _sides(s, d):
 for n, how in enumerate(("inner", "left", "right", "outer"), 1):
     add(f"jn{n}_{how}_join", lambda s, d, how=how: transform.join(*_sides(s, d), "id", how),
         f"SELECT coalesce(l.id, r.id) AS id, o_orderkey, l.name AS name_left, r.name AS name_right, c_acctbal FROM (SELECT o_custkey AS id, o_orderkey, o_orderstatus AS name FROM orders WHERE o_custkey % 3 <> 0) l {'FULL OUTER' if how == 'outer' else how} JOIN (SELECT c_custkey AS id, c_name AS name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0) r ON l.id = r.id")
+
+
+def _all_sides(s, d):
+    """All orders and all customers; the customers' keys are shifted by 100, so that either side has keys that the other lacks."""
+    left = t(s, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.col("o_orderstatus").alias("name"))
+    right = t(s, d, "customer").select((F.col("c_custkey") + 100).alias("id"), F.col("c_name").alias("name"), "c_acctbal")
+    return left, right
+
+
+for n, how in enumerate(("inner", "left", "right", "outer"), 1):
+    add(f"jn{n}_{how}_join_all_rows", lambda s, d, how=how: transform.join(*_all_sides(s, d), "id", how),
+        f"SELECT coalesce(l.id, r.id) AS id, o_orderkey, l.name AS name_left, r.name AS name_right, c_acctbal FROM (SELECT o_custkey AS id, o_orderkey, o_orderstatus AS name FROM orders) l {'FULL OUTER' if how == 'outer' else how} JOIN (SELECT c_custkey + 100 AS id, c_name AS name, c_acctbal FROM customer) r ON l.id = r.id")
 add("jn5_null_safe_join", lambda s, d: transform.join(holed(s, d).groupBy("user_id").agg(F.count("*").alias("n")), holed(s, d).groupBy("user_id").agg(F.max("value").alias("v")), "user_id", "inner", null_safe=True),
     f"WITH h AS {HOLED} SELECT a.user_id, n, v FROM (SELECT user_id, count(*) AS n FROM h GROUP BY 1) a JOIN (SELECT user_id, max(value) AS v FROM h GROUP BY 1) b ON a.user_id IS NOT DISTINCT FROM b.user_id")
 
@@ -395,15 +408,35 @@ def event_lineage(s, d):
 LINEAGE = "(SELECT user_id::VARCHAR AS run_id, 's' || (event_id % 4 + 1) AS step, 's' || (event_id % 4) AS in_step, 'c' || ((event_id // 4) % 3) AS in_col, 'c' || ((event_id // 8) % 3) AS out_col FROM events WHERE user_id % 10 = 0)"
 
 
-def _walk_sql(start, a, b):
-    return f"WITH RECURSIVE l AS {LINEAGE}, g AS (SELECT DISTINCT run_id, in_step || ':' || in_col AS a, step || ':' || out_col AS b FROM l), w(run_id, node, depth) AS (SELECT DISTINCT run_id, '{start}', 0 FROM g WHERE {b} = '{start}' UNION SELECT w.run_id, g.{a}, depth + 1 FROM w JOIN g ON g.run_id = w.run_id AND g.{b} = w.node WHERE depth < 10) SELECT run_id, node, min(depth) AS depth FROM w GROUP BY 1, 2"
+def all_lineage(s, d):
+    """Edges of every run (one per user), expanded from a step record for each event: steps s1 and s3 rename, s2 and s4 run SQL."""
+    e = t(s, d, "events")
+    name = lambda of: F.concat(F.lit("c"), F.floor(F.col("event_id") / of) % 3)
+    made = {
+        "run_id": F.col("user_id").cast("string"), "step": F.concat(F.lit("s"), F.col("event_id") % 4 + 1), "step_type": F.when(F.col("event_id") % 2 == 0, "rename").otherwise("sql"), "inputs": F.array(F.concat(F.lit("s"), F.col("event_id") % 4)),
+        "input_columns": F.array(F.array(name(4))), "mapping": F.create_map(name(4), name(8)), "output_columns": F.array(name(8)),
+    }
+    kinds = [(f.name, f.dataType) for f in T._parse_datatype_string(lineage.RECORD)]
+    return lineage.edges(e.select(*[made.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds]))
+
+
+ALL_LINEAGE = "(SELECT user_id::VARCHAR AS run_id, 's' || (event_id % 4 + 1) AS step, CASE WHEN event_id % 2 = 0 THEN 'rename' ELSE 'sql' END AS step_type, 's' || (event_id % 4) AS in_step, 'c' || ((event_id // 4) % 3) AS in_col, 'c' || ((event_id // 8) % 3) AS out_col, false AS is_join_key FROM events)"
+
+
+def _walk_sql(start, a, b, source=LINEAGE):
+    return f"WITH RECURSIVE l AS {source}, g AS (SELECT DISTINCT run_id, in_step || ':' || in_col AS a, step || ':' || out_col AS b FROM l), w(run_id, node, depth) AS (SELECT DISTINCT run_id, '{start}', 0 FROM g WHERE {b} = '{start}' UNION SELECT w.run_id, g.{a}, depth + 1 FROM w JOIN g ON g.run_id = w.run_id AND g.{b} = w.node WHERE depth < 10) SELECT run_id, node, min(depth) AS depth FROM w GROUP BY 1, 2"
 
 
 add("lin2_ancestry", lambda s, d: lineage.ancestry(event_lineage(s, d), "s4", "c0", 10), _walk_sql("s4:c0", "a", "b"))
 add("lin3_impact", lambda s, d: lineage.impact(event_lineage(s, d), "s0", "c1", 10), _walk_sql("s0:c1", "b", "a"))
 add("lin4_column_pairs", lambda s, d: lineage.column_pairs(event_lineage(s, d).groupBy("run_id", F.col("step").alias("step_name")).agg(F.collect_set("in_col").alias("columns_in"), F.collect_set("out_col").alias("columns_out"))),
     f"WITH l AS {LINEAGE} SELECT DISTINCT a.run_id, a.step AS step_name, a.in_col, b.out_col FROM l a JOIN l b ON a.run_id = b.run_id AND a.step = b.step")
-QUERIES["lin5_openlineage"] = lambda s, d: lineage.open_lineage(event_lineage(s, d).select("run_id").distinct().select("run_id", F.concat(F.lit("p"), "run_id").alias("name"), F.lit("completed").alias("status"), F.lit(NOW).alias("completed_at")), event_lineage(s, d))
+add("lin1_edges", all_lineage, f"SELECT * FROM {ALL_LINEAGE}")
+add("lin2_ancestry_all_runs", lambda s, d: lineage.ancestry(all_lineage(s, d), "s4", "c0", 10), _walk_sql("s4:c0", "a", "b", ALL_LINEAGE))
+add("lin3_impact_all_runs", lambda s, d: lineage.impact(all_lineage(s, d), "s0", "c1", 10), _walk_sql("s0:c1", "b", "a", ALL_LINEAGE))
+add("lin4_column_pairs_all_runs", lambda s, d: lineage.column_pairs(all_lineage(s, d).groupBy("run_id", F.col("step").alias("step_name")).agg(F.collect_set("in_col").alias("columns_in"), F.collect_set("out_col").alias("columns_out"))),
+    f"WITH l AS {ALL_LINEAGE} SELECT DISTINCT a.run_id, a.step AS step_name, a.in_col, b.out_col FROM l a JOIN (SELECT DISTINCT run_id, step, out_col FROM l) b ON a.run_id = b.run_id AND a.step = b.step")
+QUERIES["lin5_openlineage"] = lambda s, d: lineage.open_lineage(all_lineage(s, d).select("run_id").distinct().select("run_id", F.concat(F.lit("p"), "run_id").alias("name"), F.lit("completed").alias("status"), F.lit(NOW).alias("completed_at")), all_lineage(s, d))
 
 
 # --- pipelines --------------------------------------------------------------------------------------------------------------------------
