@@ -124,6 +124,23 @@ def test_lineage_edges_and_walk(spark):
     assert {r.node for r in lineage.impact(edge, "load", "a").collect()} == {"load:a", "named:x", "sums:x"}
 
 
+def test_rename_candidates_by_file_are_all_found(spark, tmp_path):
+    from weftline.plans.queries import QUERIES
+
+    users = {("view", 1): (1, 2, 5, 61, 70), ("view", 2): (2, 11, 12, 15, 50), ("view", 4): (21, 1, 63), ("click", 1): (3, 33), ("click", 3): (13, 30)}
+    rows = [(kind, f"2024-01-0{day}", u) for (kind, day), us in users.items() for u in us]
+    spark.createDataFrame(rows, "event_type string, ts string, user_id long").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    held = {}
+    for kind, day, u in rows:
+        held.setdefault(f"{kind}-{u // 40}", {}).setdefault(int(day[-1]), set()).add(f"c{u % 40}")
+    want = set()
+    for file, days in held.items():
+        for a, b in zip(sorted(days), sorted(days)[1:]):
+            want |= {(file, b, x, y) for x in days[a] - days[b] for y in days[b] - days[a] if drift.winkler(x, y) >= 0.85}
+    got = QUERIES["drf3_rename_candidates_by_file"](spark, str(tmp_path)).collect()
+    assert len(want) > 3 and sorted((r.file_id, r.captured_at.day, r.old_name, r.new_name) for r in got) == sorted(want)
+
+
 def test_lineage_and_joins_take_all_rows(spark, tmp_path):
     from weftline.plans.queries import QUERIES
 

@@ -70,17 +70,19 @@ def similarity() -> Callable:
     return of
 
 
-def rename_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs of a removed and an added column that look like one renamed: old_name, new_name, similarity, type_match, confidence.
+def rename_candidates(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a removed and an added column that look like one renamed: key, old_name, new_name, similarity, type_match, confidence.
 
-    old, new: (column, semantic_type) of one table; schemas are narrow, so all removed columns meet all added ones.
+    old, new: (key, column, semantic_type); key columns keep many tables apart, without them old and new are one table. Schemas are narrow, so within a
+    table all removed columns meet all added ones.
     """
-    removed = old.join(new, "column", "left_anti").select(F.col("column").alias("old_name"), F.col("semantic_type").alias("old_type"))
-    added = new.join(old, "column", "left_anti").select(F.col("column").alias("new_name"), F.col("semantic_type").alias("new_type"))
-    pairs = removed.withColumn("__k", F.lit(1)).join(added.withColumn("__k", F.lit(1)), "__k").withColumn("s", similarity()("old_name", "new_name")).where(F.col("s") >= THRESHOLD)
+    removed = old.join(new, [*key, "column"], "left_anti").select(*key, F.col("column").alias("old_name"), F.col("semantic_type").alias("old_type"))
+    added = new.join(old, [*key, "column"], "left_anti").select(*key, F.col("column").alias("new_name"), F.col("semantic_type").alias("new_type"))
+    both = removed.join(added, list(key)) if key else removed.withColumn("__k", F.lit(1)).join(added.withColumn("__k", F.lit(1)), "__k")
+    pairs = both.withColumn("s", similarity()("old_name", "new_name")).where(F.col("s") >= THRESHOLD)
     match = F.coalesce(F.col("old_type") == F.col("new_type"), F.lit(False))
-    out = pairs.select("old_name", "new_name", F.round("s", 4).alias("similarity"), match.alias("type_match"), F.round(F.least(F.lit(1.0), F.col("s") * F.when(match, BONUS).otherwise(1.0)), 4).alias("confidence"))
-    return out.orderBy(F.desc("confidence"), "old_name", "new_name")
+    out = pairs.select(*key, "old_name", "new_name", F.round("s", 4).alias("similarity"), match.alias("type_match"), F.round(F.least(F.lit(1.0), F.col("s") * F.when(match, BONUS).otherwise(1.0)), 4).alias("confidence"))
+    return out.orderBy(F.desc("confidence"), *key, "old_name", "new_name")
 
 
 def match_columns(queries: DataFrame, available: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -299,6 +299,24 @@ def drf3_rename_candidates(s, d):
     return found.where(F.lower("new_name") == F.concat(F.lower("old_name"), F.lit("x"))).select("old_name", "new_name", "similarity")
 
 
+FILES = "(SELECT DISTINCT event_type || '-' || (user_id // 40) AS file_id, ts::DATE AS captured_at, 'c' || (user_id % 40)::VARCHAR AS \"column\", CASE WHEN day(ts) % 2 = 0 THEN 'int' ELSE 'string' END AS semantic_type FROM events)"
+
+
+@query(f"""WITH f AS {FILES}, n AS (SELECT file_id, captured_at, lead(captured_at) OVER (PARTITION BY file_id ORDER BY captured_at) AS next FROM (SELECT DISTINCT file_id, captured_at FROM f)),
+o AS (SELECT f.file_id, n.next AS captured_at, f."column", f.semantic_type FROM f JOIN n ON f.file_id = n.file_id AND f.captured_at = n.captured_at WHERE n.next IS NOT NULL),
+gone AS (SELECT * FROM o ANTI JOIN f USING (file_id, captured_at, "column")), come AS (SELECT * FROM f ANTI JOIN o USING (file_id, captured_at, "column")),
+p AS (SELECT file_id, captured_at, gone."column" AS old_name, come."column" AS new_name, jaro_winkler_similarity(gone."column", come."column") AS s, gone.semantic_type = come.semantic_type AS type_match FROM gone JOIN come USING (file_id, captured_at))
+SELECT file_id, captured_at, old_name, new_name, round(s, 4) AS similarity, type_match, round(least(1.0, s * CASE WHEN type_match THEN 1.2 ELSE 1.0 END), 4) AS confidence FROM p WHERE s >= 0.85""")
+def drf3_rename_candidates_by_file(s, d):
+    """All candidates between each snapshot of a file and the one before it; a file is an event type and a block of 40 users, its columns are the users."""
+    e = t(s, d, "events")
+    kind = F.when(F.dayofmonth("ts") % 2 == 0, "int").otherwise("string")
+    taken = e.select(F.concat_ws("-", "event_type", F.floor(F.col("user_id") / 40).cast("string")).alias("file_id"), F.to_date("ts").alias("captured_at"), F.concat(F.lit("c"), F.col("user_id") % 40).alias("column"), kind.alias("semantic_type")).distinct()
+    days = taken.select("file_id", "captured_at").distinct().withColumn("next", F.lead("captured_at").over(Window.partitionBy("file_id").orderBy("captured_at")))
+    old = taken.join(days, ["file_id", "captured_at"]).where("next is not null").select("file_id", F.col("next").alias("captured_at"), "column", "semantic_type")
+    return drift.rename_candidates(old, taken, ("file_id", "captured_at"))
+
+
 @query("""WITH q AS (SELECT DISTINCT lower(n_name) AS name FROM nation UNION SELECT DISTINCT n_name || 's' FROM nation), p AS (SELECT q.name, n.n_name AS m, CASE WHEN lower(q.name) = lower(n.n_name) THEN 2.0 ELSE jaro_winkler_similarity(lower(q.name), lower(n.n_name)) END AS s FROM q, nation n)
 SELECT q.name, b.m AS "match" FROM q LEFT JOIN (SELECT name, arg_max(m, (s, m)) AS m FROM p WHERE s >= 0.85 GROUP BY 1) b ON b.name = q.name""")
 def drf5_match_columns(s, d):
