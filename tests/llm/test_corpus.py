@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import embed_dedup, fingerprints, jaccard, mixing, packing, quality, sharding, tokens, toxicity, urls
+from weftline.llm.common import components
 from weftline.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string"
@@ -146,6 +147,52 @@ def test_jaccard_against_brute_force(docs, texts):
     assert {r.doc_id for r in jaccard.one_per_class(docs.union(docs)).collect()} == {k for k in sets if root(k) == k}
 
 
+def test_jaccard_of_text_ids_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(9)
+    a, b = ([f"w{rng.randint(0, 500)}" for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [("1", " ".join(a)), ("1", " ".join(b)), ("2", near(b)), ("3", near(a)), ("4", "x y"), ("4", "x y"), (None, " ".join(a)), (None, " ".join(a)), ("5", ""), ("6", None)]
+    df = spark.createDataFrame([(*r, k, "s") for k, r in enumerate(rows)], "doc_id string, text string, text_name int, class string")
+    got = sorted((r.doc_id or "", r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df).collect())
+    assert got == [("", 56, None), ("", 56, None), ("1", 56, "1"), ("1", 56, "1"), ("2", 56, "1"), ("3", 56, "1"), ("4", 1, "4"), ("4", 1, "4"), ("5", 0, "5"), ("6", 0, "6")]
+    kept = jaccard.one_per_class(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or "", r.text or "") for r in kept.collect()) == sorted([("", rows[0][1]), ("", rows[0][1]), ("1", rows[0][1]), ("1", rows[1][1]), ("4", "x y"), ("5", ""), ("6", "")])
+
+
+@pytest.mark.parametrize("common", [3, 50])
+def test_jaccard_of_families_against_brute_force(spark, monkeypatch, common):
+    """Families around the limit of similarity, passages that many texts share, chunks smaller than the families; frequent shingles few and many."""
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rng = random.Random(common)
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for k in range(260):
+        if k % 3 == 0 or not rows:
+            words = [f"w{rng.randint(0, 900)}" for _ in range(rng.randint(3, 60))] + (passage if rng.random() < 0.4 else [])
+        else:
+            words = rng.choice(rows)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"w{rng.randint(0, 900)}"
+        rows.append((k, " ".join(words)))
+    sets = {k: set(jaccard.shingles(jaccard.words_of(t)).tolist()) for k, t in rows}
+    low = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id int, text string").repartition(5)).collect()}
+    assert got == low and len(links) > 100
+
+
+def test_components_of_a_long_chain(spark):
+    rng = random.Random(1)
+    ids = rng.sample(range(100_000), 5001)
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert len(got) == 5001 and {r.component for r in got} == {min(ids)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_divide_skip_finds_what_counting_finds(seed):
     rng = np.random.default_rng(seed)
@@ -158,7 +205,7 @@ def test_divide_skip_finds_what_counting_finds(seed):
     index = jaccard.Index(sets)
     for q in sets:
         want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 75 * len(np.union1d(q, s))]
-        assert sorted(index.search(q, lambda d: False)) == want
+        assert sorted(index.search(q, len(q), lambda d: False)) == want
 
 
 def test_quality_and_toxicity(spark):

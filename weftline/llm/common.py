@@ -1,12 +1,14 @@
-"""Helpers shared by the corpus operators: reading, cutting lineage, components of a graph."""
+"""Helpers shared by the corpus operators: reading, batch sizes, components of a graph."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, cut_at, discard
+
+__all__ = ["DOCUMENT_COLUMNS", "components", "cut", "cut_at", "discard", "prepare", "private", "table"]
+
 #: Column order of ``documents``; pipeline stages return exactly these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -16,49 +18,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a Python worker's memory doesn't depend on the partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Keep Arrow batches small, so that a Python worker's memory doesn't depend on the partition.
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where unset, one below the warehouse."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (where or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
+    Only settings that the session hasn't set itself are changed; they must still hold when the caller runs the lazy result.
+    """
+    for key, value, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000", "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20), str(64 << 20))):
+        if spark.conf.get(key, default).removesuffix("B") in (default, "67108864", "64m"):
+            spark.conf.set(key, value)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+def private(columns: list[str], name: str) -> str:
+    """name, made longer until no column (in any case) has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (id, component), component = smallest id reachable.
 
     edges: long columns a, b; nodes without an edge to another node don't appear. Alternates
-    the large-star and small-star contractions until nothing changes. Each round is two
-    aggregations with map-side combine and two equi-joins, which AQE may split where a hub is hot;
-    rounds are written to the shared folder.
+    the large-star and small-star contractions until the edges repeat, however many rounds that takes. Each round is two
+    aggregations with map-side combine and two equi-joins, which AQE may split where a hub is hot; rounds are written to
+    the shared folder, and each replaces the one before it.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = cut_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.union(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
+        after, new_path = cut_at(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        discard(spark, path)
+        now, path = after, new_path
+        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if new == mark or not new[0]:
             break
-        mark = tuple(new)
+        mark = new
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(roots.select("id", F.col("id").alias("component")))

@@ -10,26 +10,26 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, cut, prepare
+from .common import components, cut, prepare, private
 
 #: Words of a shingle; documents link from this percentage of common shingles on.
 WORDS, PERCENT = 5, 75
-#: Bands and rows of the min-hash signature that brings similar documents into one shard. Two documents at the limit
-#: miss all bands with probability (1 - 0.75 ** ROWS) ** BANDS = 2.5e-7; more similar ones far more rarely.
-BANDS, ROWS = 40, 4
 #: Documents of an index chunk.
 CHUNK = 1024
 #: Shingle hashes keep this many bits: 6 bytes each in files. Within a pair of documents a collision has probability below 1e-8.
 BITS = 48
+#: Frequent shingles are found on about so many texts: those in at least COMMON of them, FREQUENT at most. They come last in the order of
+#: shingles, whatever their number; any order gives the same links, so the sample bounds work and not results.
+SAMPLE, COMMON, FREQUENT = 5000, 20, 100_000
+#: Rows that a Python worker hands over at once, and texts whose names it remembers.
+ROWS, SEEN = 200_000, 1_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_rng = np.random.default_rng(20240607)
-_A = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_P = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+_P = np.random.default_rng(20240607).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,37 +38,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, bytes]:
-    """(sorted distinct shingle hashes, digest of the normalised words) of a whole text.
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z lower-cased, words [^\\x20\\x09-\\x0D]+, as bytes: there lower and split know ASCII only."""
+    return (text or "").encode().lower().split()
 
-    A-Z lower-cased, words [^\\x20\\x09-\\x0D]+; fewer than WORDS words are one shingle; none without words.
-    """
-    words = (text or "").encode().lower().split()  # bytes: ASCII letters and ASCII white space only
+
+def name_of(words: list[bytes]) -> int | None:
+    """A number below 2^63 that texts of equal words share; None without words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words), 1) >> 1 if words else None
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's words; fewer than WORDS words are one shingle; none without words."""
     if not words:
-        return np.zeros(0, np.uint64), b""
+        return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(hashes)
     if n < WORDS:
         made = (hashes * _P[:n]).sum(keepdims=True) + np.uint64(n)  # its own family: the length enters
     else:
         made = sum(hashes[k : n - WORDS + 1 + k] * _P[k] for k in range(WORDS))
-    return np.unique(_mix(made) >> np.uint64(64 - BITS)), xxhash.xxh3_128_digest(b" ".join(words))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the signature's bands, each of ROWS minima."""
-    x = (hashes ^ (hashes >> np.uint64(17))).astype(np.uint32)
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 256):  # a table of shingles by hash functions that stays in the cache
-        y = x[at : at + 256, None] * _A
-        y += _B
-        y ^= y >> np.uint32(15)
-        y *= np.uint32(0x85EBCA6B)
-        np.minimum(low, y.min(0), out=low)
-    keys = np.zeros(BANDS, np.uint64)
-    for r in range(ROWS):
-        keys = _mix(keys + low[r::ROWS].astype(np.uint64) + np.uint64(1))
-    return (_mix(keys + np.arange(BANDS, dtype=np.uint64) * _M1) >> np.uint64(1)).astype(np.int64)
+    return np.unique(_mix(made) >> np.uint64(64 - BITS))
 
 
 def pack(hashes: np.ndarray) -> bytes:
@@ -84,16 +74,20 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 class Index:
-    """Inverted lists over a chunk of documents; each list holds ascending places of documents."""
+    """Inverted lists over a chunk of documents; each list holds ascending places of documents.
+
+    sets: the shingles that a document shares with any other one; sizes: the numbers of all its shingles.
+    """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
+        held = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.sizes = held if sizes is None else np.asarray(sizes, np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets)), held)
         order = np.argsort(flat, kind="stable")
         self.keys, begin = np.unique(flat[order], return_index=True)
-        self.owner, self.begin = owner[order], np.append(begin, len(flat))
-        self.held = self.owner.tolist()
+        self.begin = np.append(begin, len(flat))
+        self.held = owner[order].tolist()
 
     def lists(self, query: np.ndarray) -> list[tuple[int, int]]:
         """Begin and end of the lists of the query's shingles, short ones first."""
@@ -106,32 +100,24 @@ class Index:
         order = np.argsort(end - begin, kind="stable")
         return list(zip(begin[order].tolist(), end[order].tolist()))
 
-    def search(self, query: np.ndarray, skip: Callable[[int], bool]) -> Iterator[int]:
+    def search(self, query: np.ndarray, size: int, skip: Callable[[int], bool]) -> Iterator[int]:
         """Places of the documents that link with the query: those that occur in at least T of its lists.
 
         DivideSkip: the longest lists are set aside; the short ones are merged by a heap, and a document that occurs there often enough is
         looked up in the long ones by binary search, until it has T or cannot reach it. T depends on the document's size; the smallest T
-        that any can have divides the lists. Documents that skip names are passed over.
+        that any can have divides the lists. Documents that skip names are passed over. size: the number of all shingles of the query.
         """
-        n = len(query)
         lists = self.lists(query)
-        least = -(-PERCENT * n // 100)  # |x & y| >= 0.75 |x | y| >= 0.75 |x|
+        least = -(-PERCENT * size // 100)  # |x & y| >= 0.75 |x | y| >= 0.75 |x|
         if len(lists) < least:
             return
         longest = lists[-1][1] - lists[-1][0]
         aside = min(least - 1, int(least / (0.02 * np.log2(longest + 1) + 1)))
-        while aside and lists[-aside][1] - lists[-aside][0] <= 2:  # only long ones are worth setting aside
-            aside -= 1
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        if sum(e - b for b, e in short) > 2 * len(self.sizes):  # merging so much is a count by place
-            count = np.bincount(np.concatenate([self.owner[b:e] for b, e in short]), minlength=len(self.sizes))
-            merged = [(d, int(count[d])) for d in np.flatnonzero(count >= least - aside).tolist()]
-        else:
-            merged = self._heap_merge([self.held[b:e] for b, e in short], least - aside)
-        for doc, seen in merged:
+        for doc, seen in self._heap_merge([self.held[b:e] for b, e in short], least - aside):
             m = int(self.sizes[doc])
-            need = -(-PERCENT * (n + m) // (100 + PERCENT))
-            if need > min(n, m) or seen + aside < need or skip(doc):
+            need = -(-PERCENT * (size + m) // (100 + PERCENT))
+            if need > min(size, m) or seen + aside < need or skip(doc):
                 continue
             for k, (b, e) in enumerate(long):
                 if seen >= need or seen + aside - k < need:
@@ -142,123 +128,322 @@ class Index:
                 yield doc
 
     @staticmethod
-    def _heap_merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    def _heap_merge(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
         """(document, lists that hold it) for those in at least ``least`` of the lists."""
-        out, last, seen = [], -1, 0
+        last, seen = -1, 0
         for doc in heapq.merge(*lists):
             if doc != last:
                 if seen >= least and last >= 0:
-                    out.append((last, seen))
+                    yield last, seen
                 last, seen = doc, 0
             seen += 1
         if seen >= least and last >= 0:
-            out.append((last, seen))
-        return out
+            yield last, seen
+
+
+#: name, label of its class so far, number of all shingles, the lists that it is searched in (ascending), the shared shingles (packed).
+Member = tuple[int, int, int, list[int], bytes]
 
 
-def link_chunks(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None) -> list[tuple[int, int]]:
+def link_chunks(left: list[Member], right: list[Member] | None, here: int) -> list[tuple[int, int]]:
     """Links within left (right None) or between left and right, as the edges of a spanning forest.
 
-    Both sides are (id, set). Documents that are already joined aren't compared again, so a group of near copies costs about a comparison each.
+    Two documents are compared in the first of their common lists only (here: this one). Documents whose labels are already joined aren't compared
+    again, so a group of near copies costs about a comparison each.
     """
-    index = Index([s for _, s in left])
-    queries = left if right is None else right
-    parent = list(range(len(left) + (len(right) if right else 0)))
+    parent: dict[int, int] = {}
 
     def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
+        while (up := parent.get(k, k)) != k:
+            parent[k] = k = parent.get(up, up)
         return k
 
-    edges = []
-    for q, (name, query) in enumerate(queries):
-        me = q if right is None else len(left) + q
-        for doc in index.search(query, lambda d: root(d) == root(me)):
-            a, b = root(doc), root(me)
+    elsewhere: dict[int, int] = {}  # earlier list: bits of the places in left that are in it too
+    for place, (_, _, _, lists, _) in enumerate(left):
+        for k in lists:
+            if k >= here:
+                break
+            elsewhere[k] = elsewhere.get(k, 0) | 1 << place
+    every = (1 << len(left)) - 1
+    index, edges = None, []
+    for at, (name, label, size, lists, held) in enumerate(left if right is None else right):
+        met = 0
+        for k in lists:
+            if k >= here:
+                break
+            met |= elsewhere.get(k, 0)
+        here_only, mine = every & ~met & (every if right is not None else (1 << at) - 1), root(label)
+        wanted = set()
+        while here_only:
+            bit = here_only & -here_only
+            here_only ^= bit
+            place = bit.bit_length() - 1
+            n = left[place][2]
+            if 100 * min(n, size) >= PERCENT * max(n, size) and root(left[place][1]) != mine:
+                wanted.add(place)
+        if not wanted:
+            continue
+        index = index or Index([unpack(m[4]) for m in left], [m[2] for m in left])
+        for doc in index.search(unpack(held), size, lambda d: d not in wanted or root(left[d][1]) == root(label)):
+            a, b = root(left[doc][1]), root(label)
             parent[max(a, b)] = min(a, b)
             edges.append((name, left[doc][0]))
     return edges
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the normalised words), shingles (packed), bands of every text."""
+def _new(names: list[int | None], seen: set[int]) -> list[bool]:
+    """Whether each name is met for the first time in this task (again, if more than SEEN others lie between); None never is."""
+    out = []
+    for name in names:
+        out.append(name is not None and name not in seen)
+        if out[-1]:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(name)
+    return out
+
+
+def _is_in(hashes: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(hashes), bool)
+    at = np.searchsorted(sorted_keys, hashes)
+    at[at == len(sorted_keys)] = 0
+    return sorted_keys[at] == hashes
+
+
+def text_facts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """doc_id, n_shingles, text_name (null without shingles or id) and the text's shingles among ``frequent`` (packed) of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(t) for t in batch.column(1).to_pylist()]
-            keys = [bands(h) if len(h) else h.astype(np.int64) for h, _ in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h, _ in made], pa.int64()), pa.array([d for _, d in made], pa.binary()), pa.array([pack(h) for h, _ in made], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "shingles", "bands"])
+            names, sizes, held = [], [], []
+            for known, text in zip(batch.column(0).is_valid().to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                made = shingles(words)
+                among = made[_is_in(made, frequent)]
+                names.append(name_of(words) if known else None)
+                sizes.append(len(made))
+                held.append(pack(among) if known and len(among) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "n_shingles", "text_name", "frequent"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, shingles binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, text_name long, frequent binary")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: classes of documents linked by 100 * common >= 75 * all of their distinct shingles.
+def shingle_rows(docs: DataFrame, without: np.ndarray) -> DataFrame:
+    """(text_name, hash) of the shingles, but for those among ``without``, of texts that have an id. A task takes equal texts once."""
 
-    Equal word sequences are one class from the start. One representative of each goes on; band keys name the shards in which
-    documents that can link meet; a shard that has more than CHUNK documents is searched by pairs of chunks, so that no task
-    holds more than two. What the tasks return are spanning forests; their components are the classes.
-    Null and empty texts have no shingles and link with nothing; a null doc_id keeps a null component and links with nothing; rows that repeat a
-    doc_id are repeated in the result; an empty table gives no rows; other columns are left aside.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, n, seen = [], [], 0, set()
+        put = lambda: pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), list(map(len, held)))), pa.array(np.concatenate(held).astype(np.int64))], ["text_name", "hash"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                name = name_of(words)
+                if not _new([name], seen)[0]:
+                    continue
+                hashes = shingles(words)
+                names.append(name)
+                held.append(hashes[~_is_in(hashes, without)])
+                n += len(hashes)
+                if n >= ROWS:
+                    yield put()
+                    names, held, n = [], [], 0
+        if names:
+            yield put()
+
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "text_name long, hash long")
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that very many texts hold, by a sample bounded by SAMPLE: at most FREQUENT."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
+    some = docs.where(part < int((1 << 30) * min(1.0, SAMPLE / max(1, docs.count()))))
+    counts = shingle_rows(some, np.zeros(0, np.uint64)).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["hash"] for r in counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()], np.int64)).astype(np.uint64)
+
+
+def shared_sets(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """text_name, n, own, prefix, shared of the texts that can link with another one.
+
+    shared: the shingles that at least one other text holds, packed; own: how many others the text has. In the order rare before frequent, a text's
+    first n - ceil(0.75 n) + 1 shingles are its prefix: linked texts have one of their prefixes' shingles in common. The text's own
+    shingles come first; ``prefix`` are the shared ones among them, and texts without any are left out.
+    Shingles are counted in one shuffle, for which the texts are read again: their sets are never written. Those of ``frequent`` stay out of it.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    sets = cut(shingle_sets(docs), "shingles")
-    usable = sets.where("n_shingles > 0 and doc_id is not null")
-    # written first: a join right after the aggregation would keep its partitions, and AQE couldn't split a hot digest
-    same = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    same = cut(same.where("n > 1").drop("n"), "same")
-    copies = usable.select("doc_id", "digest").join(same, "digest").select("doc_id", "rep")
-    copies = cut(copies.where("doc_id <> rep").distinct(), "copies")
-    reps = usable.select("doc_id", "bands").join(copies.select("doc_id").hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    keys = reps.select(F.col("doc_id").cast("long").alias("id"), F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    meet = keys.join(shared, "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    shards = cut(components(meet), "shards")
-
-    # a document's chunk in its shard; chunks of a shard meet in pairs
-    sizes = shards.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    member = shards.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    k = F.sequence(F.lit(0), F.col("chunks") - 1)
-    to = F.transform(k, lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
-    member = member.select("id", "component", "chunk", F.explode(to).alias("to")).select("id", "component", "chunk", "to.i", "to.j")
-    # both sides grow with the input, so the join is by shuffle at every size
-    held = usable.select(F.col("doc_id").cast("long").alias("id"), "shingles").join(member.hint("merge"), "id").dropDuplicates(["component", "i", "j", "id"])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = held.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "chunk", "id")
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            yield batch.filter(pa.array(_new(batch.column(0).to_pylist(), seen)))
+
+    heads = facts.where("text_name is not null").select("text_name", "n_shingles", "frequent").mapInArrow(head, "text_name long, n_shingles long, frequent binary")
+    of_one = Window.partitionBy("hash")
+    new = F.coalesce(F.lag("text_name").over(of_one.orderBy("text_name")) != F.col("text_name"), F.lit(True))  # a text may come from several tasks
+    counted = shingle_rows(docs, frequent).withColumn("new", new).withColumn("df", F.sum(F.col("new").cast("int")).over(of_one))
+    counted = counted.where("new and df > 1").select("text_name", F.col("df").cast("int").alias("df"), "hash", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("frequent"))
+    rows = counted.union(heads.select("text_name", F.lit(0), F.lit(-1).cast("long"), "n_shingles", "frequent"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "text_name").sortWithinPartitions("text_name", "df", "hash")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts():
+            name, n, last, held = None, 0, None, []
+            for batch in batches:
+                names, df, hashes = (batch.column(k).to_numpy() for k in range(3))
+                begin = 0
+                for end in np.append(np.flatnonzero(np.diff(names)) + 1, len(names)).tolist() if len(names) else ():
+                    if names[begin] != name:
+                        if name is not None:
+                            yield name, n, last, held
+                        name, held = int(names[begin]), []
+                        n, last = batch.column(3)[begin].as_py(), batch.column(4)[begin].as_py()
+                    held.append(hashes[begin:end][df[begin:end] > 0].astype(np.uint64))
+                    begin = end
+            if name is not None:
+                yield name, n, last, held
+
+        rows = []
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        put = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["text_name", "n", "own", "prefix", "shared"])
+        for name, n, last, held in texts():
+            order = np.concatenate([*held, unpack(last)] if last else held)
+            own = n - len(order)
+            first = order[: max(0, n - -(-PERCENT * n // 100) + 1 - own)]
+            if len(first):
+                rows.append((name, n, own, first.astype(np.int64), pack(np.sort(order))))
+                if len(rows) >= 2000:
+                    yield put()
+                    rows = []
+        if rows:
+            yield put()
+
+    return rows.mapInArrow(gather, "text_name long, n long, own long, prefix array<long>, shared binary")
+
+
+def search_groups(members: DataFrame, live: DataFrame) -> DataFrame:
+    """(a, b) links found by T-occurrence search within each group (key, i, j).
+
+    members: key, i, j, side, text_name, label, lists; where i = j rows of side 0 are searched among themselves, else those of side 1 among those of
+    side 0. The shared shingles are joined here, by shuffle at every size; a group holds two chunks at most.
+    """
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = members.join(live.select("text_name", "n", "shared").hint("merge"), "text_name")
+    held = held.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "text_name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
             key, rows = None, []
             for batch in batches:
-                for c, i, j, chunk, name, data in zip(*(batch.column(x).to_pylist() for x in ("component", "i", "j", "chunk", "id", "shingles"))):
+                for c, i, j, side, *row in zip(*(batch.column(x).to_pylist() for x in ("key", "i", "j", "side", "text_name", "label", "n", "lists", "shared"))):
                     if (c, i, j) != key:
                         if rows:
                             yield key, rows
                         key, rows = (c, i, j), []
-                    rows.append((chunk, name, unpack(data)))
+                    rows.append((side, row))
             if rows:
                 yield key, rows
 
-        for (_, i, j), rows in groups():
-            first = [(name, s) for chunk, name, s in rows if chunk == i]
-            edges = link_chunks(first, None if i == j else [(name, s) for chunk, name, s in rows if chunk == j])
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
+        found: list[tuple[int, int]] = []
+        put = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        for (key, i, j), rows in groups():
+            found += link_chunks([r for side, r in rows if not side], None if i == j else [r for side, r in rows if side], key)
+            if len(found) >= 5000:
+                yield put()
+                found = []
+        if found:
+            yield put()
 
-    links = held.mapInArrow(run, "a long, b long")
-    near = links.union(copies.select(F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b")))
-    classes = components(near)
-    kind = dict(docs.dtypes)["doc_id"]
-    out = sets.select("doc_id", "n_shingles").join(classes, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.col("component").cast(kind), F.col("doc_id")).alias("component_id"))
+    return held.mapInArrow(run, "a long, b long")
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """One inverted list (s) of each membership, with its rows' number and its leader; lists of one text are left out."""
+    leader = F.min(F.struct("own", "text_name", "n"))  # the text with the fewest shingles of its own is most like the others
+    about = rows.groupBy("s").agg(F.count("*").alias("texts"), F.bit_xor(F.xxhash64("text_name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "text_name")).alias("y"), leader.alias("leader"))
+    same = about.where("texts > 1").groupBy("texts", "x", "y").agg(F.min(F.struct("s", "leader")).alias("list"))
+    return same.select("list.s", "texts", F.col("list.leader.text_name").alias("leader"), F.col("list.leader.n").alias("leader_n"))
+
+
+def text_classes(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(text_name, class) of the texts that link with another one: class = the smallest name reachable.
+
+    Exact for the shingle hashes: linked texts share a prefix shingle, so each pair meets in one of the inverted lists of prefix shingles. First every list's
+    leader is searched among the others, a group for each leader; this joins groups of near copies. Then the lists that still hold texts of different classes are
+    searched, without the leader, in pairs of chunks; a pair only in the first of its common lists.
+    """
+    live = cut(shared_sets(docs, facts, frequent), "shared")
+    every = live.select(F.explode("prefix").alias("s"), "text_name", "n", "own")
+    lists = cut(_lists(every), "lists")  # written first: else the join keeps the aggregation's partitions, and AQE can't split a hot list
+    rows = cut(every.join(lists, "s").where("text_name <> leader"), "list_rows")
+
+    near = (F.lit(100) * F.least("n", "leader_n")) >= (F.lit(PERCENT) * F.greatest("n", "leader_n"))
+    pairs = cut(rows.where(near).select("leader", "text_name").distinct(), "leaders")
+    sizes = cut(pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "leader_chunks")
+    none = F.array().cast("array<long>")
+    follow = pairs.join(sizes, "leader").select(F.col("leader").alias("key"), F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "text_name", F.col("text_name").alias("label"), none.alias("lists"))
+    lead = sizes.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), F.col("leader").alias("text_name"), F.col("leader").alias("label"), none.alias("lists"))
+    stars = cut(components(search_groups(follow.union(lead), live)).select(F.col("id").alias("text_name"), F.col("component").alias("label")), "stars")
+
+    known = rows.where("texts > 2").select("s", "text_name", "own", "n").join(stars, "text_name", "left").withColumn("label", F.coalesce("label", "text_name"))
+    known = cut(known, "labelled_rows")
+    mixed = known.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
+    rest = cut(known.join(mixed, "s", "left_semi"), "mixed_rows")
+    left = cut(_lists(rest).select("s", F.ceil(F.col("texts") / CHUNK).cast("int").alias("chunks")), "mixed_lists")
+    member = cut(rest.join(left, "s"), "members")
+    at = member.groupBy("text_name").agg(F.array_sort(F.collect_list("s")).alias("lists"))  # a text's own, so no more than its shingles
+    member = member.join(cut(at, "lists_of_texts"), "text_name").withColumn("chunk", F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
+    member = member.select(F.col("s").alias("key"), "chunk", F.explode(to).alias("to"), "text_name", "label", "lists")
+    member = member.select("key", "to.i", "to.j", (F.col("chunk") != F.col("to.i")).cast("int").alias("side"), "text_name", "label", "lists")
+    more = search_groups(member, live)
+    found = components(more.union(stars.select("text_name", "label")))
+    return found.select(F.col("id").alias("text_name"), F.col("component").alias("class"))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, text_name, class of every row; text_name and class are null for rows that link with nothing."""
+    prepare(docs.sparkSession)
+    frequent = frequent_shingles(docs)
+    facts = cut(text_facts(docs, frequent), "facts")
+    classes = cut(text_classes(docs, facts, frequent), "classes")
+    out = facts.select("doc_id", "n_shingles", "text_name").join(classes, "text_name", "left")
+    return cut(out.select("doc_id", "n_shingles", "text_name", F.coalesce("class", "text_name").alias("class")), "classified")
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: classes of rows linked by 100 * common >= 75 * all of their distinct shingles.
+
+    Rows of equal words are one text from the start, named by 63 bits of a hash of its words (among 10^9 texts two share a name with
+    probability 0.06). Texts that can link meet in inverted lists; see text_classes. Links go from row to row, so rows that repeat a doc_id
+    with another text have classes of their own.
+    doc_id may be of any type that has an order. Null and empty texts have no shingles and link with nothing; a null doc_id keeps a null component and links
+    with nothing; rows that repeat are repeated in the result; an empty table gives no rows; other columns are left aside.
+    """
+    rows = _classes(docs)
+    low = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low")), "lowest")
+    return rows.join(low, "class", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each class the row with the smallest doc_id; of rows that repeat it, one. Rows without an id stay."""
-    classes = jaccard_classes(docs).where("doc_id is not null").dropDuplicates(["doc_id"])
-    gone = classes.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns).union(kept.where("doc_id is null").select(*docs.columns))
+    """docs without near copies: of each class the row with the smallest doc_id.
+
+    Of rows that repeat both its id and its words, one stays; so of rows that repeat an id without any words. Rows without an id stay. Columns of docs
+    keep their names and values whatever they are called.
+    """
+    rows = _classes(docs).where("class is not null")
+    kept = cut(rows.groupBy("class").agg(F.min(F.struct("doc_id", "text_name")).alias("kept")), "kept")
+    gone = rows.join(kept, "class").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("text_name") != F.col("kept.text_name"))).select("doc_id", "text_name").distinct()
+    name, tie, id_ = (private(docs.columns, n) for n in ("text_name", "tie", "gone_id"))
+    at = docs.columns.index("text")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [name_of(words_of(t)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], [*batch.schema.names, name])
+
+    every = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    every = every.withColumn(tie, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_name").alias(name + "_gone"))
+    left = every.join(gone.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.col(name) == F.col(name + "_gone")), "left_anti")
+    return left.dropDuplicates(["doc_id", name, tie]).select(*docs.columns)
