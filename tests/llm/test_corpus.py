@@ -306,3 +306,36 @@ def test_pipeline_stages(spark, tmp_path):
         if k < 4:
             assert before.columns == docs.columns and {r.doc_id for r in before.select("doc_id").collect()} <= ids
     assert before.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "mix", "pack"]
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 8):
+        for _ in range(5):
+            tagger = toxicity.Tagger({}, -1.3, rng.normal(size=(2, 2)))
+            emit = np.where(rng.random(n) < 0.5, rng.normal(size=n), 0.0)
+            weight, single, double = 0.0, np.zeros(n), {}
+            for tags in np.ndindex(*[2] * n):
+                score = sum(t * (e + tagger.bias) for t, e in zip(tags, emit)) + sum(tagger.trans[a, b] for a, b in zip(tags, tags[1:]))
+                weight += np.exp(score)
+                single += np.exp(score) * np.array(tags)
+                for k in range(n - 1):
+                    double.setdefault(k, np.zeros((2, 2)))[tags[k], tags[k + 1]] += np.exp(score)
+            at, p, pairs = tagger.marginals(emit, joint=True)
+            assert at.tolist() == np.flatnonzero(emit).tolist() and np.allclose(p, (single / weight)[at])
+            for k, (a, b) in enumerate(zip(at, at[1:])):
+                if b == a + 1:
+                    assert np.allclose(pairs[k], double[a] / weight)
+    long = toxicity.Tagger({}, -2.0, np.array([[0.5, -1.0], [-1.0, 0.7]]))
+    emit = np.zeros(60_000)
+    emit[[0, 50_000]] = 3.0
+    assert np.isfinite(long.marginals(emit)[1]).all() and np.allclose(long._run(5000), long._run(50_000))
+
+
+def test_calibration_of_separable_and_single_valued_data():
+    for sums, toxic in (([0.0, 0.0, 5.0, 6.0] * 50, [0, 0, 1, 1] * 50), ([0.0] * 10, [0, 1] * 5), ([0.0, 4.0], [0, 1]), ([4.0, 0.0], [0, 1])):
+        a, b = toxicity.calibrate(np.array(sums), np.array(toxic, float))
+        assert np.isfinite([a, b]).all() and abs(a) < 50 and abs(b) < 50
+    a, b = toxicity.calibrate(np.array([0.0, 0.0, 5.0, 6.0] * 50), np.array([0.0, 0.0, 1.0, 1.0] * 50))
+    score = lambda x: 1 / (1 + np.exp(-a - b * np.log(x + 1e-3)))
+    assert 0 < score(0) < 0.1 and 0.9 < score(5) < 1

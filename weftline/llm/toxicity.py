@@ -22,6 +22,8 @@ PREFIXES = (3, 4, 5, 6)
 #: Words kept in a worker's table at most.
 CACHE = 300_000
 _NOT_WORD = re.compile(r"[\W_]+")
+#: Features of a token whose neighbour before or after it has an indicative feature.
+AFTER, BEFORE = "\tafter", "\tbefore"
 
 
 def token_features(token: str) -> list[str]:
@@ -47,10 +49,10 @@ class Tagger:
     a: float = 0.0
     b: float = 1.0
     _seen: dict[str, float] = field(default_factory=dict)
-    _runs: list[np.ndarray] = field(default_factory=list)
+    _runs: dict[int, np.ndarray] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {**self.__dict__, "_seen": {}, "_runs": []}
+        return {**self.__dict__, "_seen": {}, "_runs": {}}
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         seen, get = self._seen, self.weights.get
@@ -58,17 +60,24 @@ class Tagger:
             seen.clear()
         for token in set(tokens).difference(seen):
             seen[token] = sum(get(f, 0.0) for f in set(token_features(token)))
-        return np.fromiter(map(seen.__getitem__, tokens), np.float64, len(tokens))
+        emit = np.fromiter(map(seen.__getitem__, tokens), np.float64, len(tokens))
+        at = np.flatnonzero(emit)
+        if len(at):
+            np.add.at(emit, at[at > 0] - 1, get(BEFORE, 0.0))
+            np.add.at(emit, at[at < len(emit) - 1] + 1, get(AFTER, 0.0))
+        return emit
 
     def _run(self, k: int) -> np.ndarray:
         """trans, then k tokens without features each followed by trans; scaled to a largest entry of 1."""
-        t = np.exp(self.trans)
-        if not self._runs:
-            self._runs.append(t / t.max())
-        while len(self._runs) <= min(k, 4096):
-            m = self._runs[-1] * np.array([1.0, np.exp(self.bias)]) @ t
-            self._runs.append(m / m.max())
-        return self._runs[min(k, 4096)]  # by then the power has converged
+        found = self._runs.get(k)
+        if found is None:
+            t = np.exp(self.trans)
+            step = np.array([[1.0], [np.exp(self.bias)]]) * t
+            found = t @ np.linalg.matrix_power(step / np.abs(np.linalg.eigvals(step)).max(), k)  # largest eigenvalue 1: powers neither overflow nor vanish
+            found = found / found.max()
+            if len(self._runs) < 10_000:
+                self._runs[k] = found
+        return found
 
     def marginals(self, emit: np.ndarray, joint: bool = False) -> tuple:
         """(places of the tokens with features, probability that each is toxic), by forward-backward over the whole text.
@@ -169,68 +178,101 @@ def indicative_features(docs: DataFrame, labels: DataFrame, least: int = 5, shar
     return {r["feature"]: float(np.log(r["ratio"])) for r in rows}
 
 
-def fit_chain(sequences: list[tuple[list[list[int]], list[int], list[int], int, int]], names: list[str], steps: int = 30, rate: float = 0.2, decay: float = 2e-3) -> Tagger:
-    """Maximum likelihood of the labelled tokens by Adam on forward-backward expectations.
+@dataclass
+class Sequence:
+    """A document for the fit: places of its tokens with features, those features (flat, and how many each place has), its length and label."""
+
+    places: np.ndarray
+    flat: np.ndarray
+    width: np.ndarray
+    length: int
+    toxic: int
+    tags: np.ndarray | None = None
+
+    def emit(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.length)
+        out[self.places] = np.bincount(np.repeat(np.arange(len(self.places)), self.width), weights[self.flat], len(self.places))
+        out[self.places[out[self.places] == 0]] = 1e-9  # a token with features stays in sight
+        return out
+
+
+def fit_chain(sequences: list[Sequence], n: int, start: np.ndarray | None = None, steps: int = 20, rate: float = 0.2, decay: float = 2e-3) -> np.ndarray:
+    """Maximum likelihood of the labelled tokens by Adam on forward-backward expectations: n weights, the bias, the four transitions.
 
-    sequences: per document the features of its tokens with features, the tokens' labels, their places, the number of tokens and the document's
-    label. Runs without features are steps of one matrix power here too.
+    Runs without features are steps of one matrix power here too.
     """
-    n = len(names)
-    w, trans, bias = np.full(n, 1.0), np.zeros((2, 2)), -3.0
-    theta = np.concatenate([w, [bias], trans.ravel()])
+    theta = np.concatenate([np.full(n, 1.0), [-3.0], np.zeros(4)]) if start is None else start.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         tagger = Tagger({}, theta[n], theta[n + 1 :].reshape(2, 2))
         grad = np.zeros_like(theta)
         tokens = 0
-        for feats, tags, places, length, _ in sequences:
-            if not feats:
+        for s in sequences:
+            if not len(s.places):
                 continue
-            emit = np.zeros(length)
-            emit[places] = [sum(theta[f] for f in fs) or 1e-9 for fs in feats]
-            _, p, pairs = tagger.marginals(emit, joint=True)
-            diff = np.asarray(tags, float) - p
-            for fs, d in zip(feats, diff):
-                grad[fs] += d
+            _, p, pairs = tagger.marginals(s.emit(theta[:n]), joint=True)
+            diff = s.tags - p
+            grad[:n] += np.bincount(s.flat, np.repeat(diff, s.width), n)
             grad[n] += diff.sum()
-            tokens += len(feats)
-            for i in np.flatnonzero(np.diff(places) == 1):  # transitions are learned where both tokens have features
+            tokens += len(diff)
+            for i in np.flatnonzero(np.diff(s.places) == 1):  # transitions are learned where both tokens have features
                 grad[n + 1 :] -= pairs[i].ravel()
-                grad[n + 1 + 2 * tags[i] + tags[i + 1]] += 1
+                grad[n + 1 + 2 * int(s.tags[i]) + int(s.tags[i + 1])] += 1
         grad = grad / max(1, tokens) * 100 - decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta[n] = np.clip(theta[n], -8, -1)
         theta[n + 1 :] = np.clip(theta[n + 1 :], -2, 2)
-    return Tagger(dict(zip(names, theta[:n].tolist())), float(theta[n]), theta[n + 1 :].reshape(2, 2))
+    return theta
+
+
+def refine(sequences: list[Sequence], theta: np.ndarray, n: int) -> None:
+    """Label tokens anew under their document's label: in a toxic document those with a marginal of a half or more, and at least the likeliest one; else none."""
+    tagger = Tagger({}, theta[n], theta[n + 1 :].reshape(2, 2))
+    for s in sequences:
+        if s.toxic and len(s.places):
+            p = tagger.marginals(s.emit(theta[:n]))[1]
+            s.tags = (p >= min(0.5, p.max())).astype(float)
 
 
-def calibrate(sums: np.ndarray, toxic: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """a, b of P(toxic) = sigmoid(a + b log(sum of marginals + 0.001)), by Newton's method with a small ridge."""
+def calibrate(sums: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.1, steps: int = 100) -> tuple[float, float]:
+    """a, b of P(toxic) = sigmoid(a + b log(sum of marginals + 0.001)): ridge logistic regression by Newton steps, each halved until the loss falls.
+
+    The ridge keeps a and b finite where the classes can be told apart without error. weight: of each document.
+    """
     x = np.stack([np.ones(len(sums)), np.log(sums + 1e-3)], 1)
+    weight = np.ones(len(sums)) if weight is None else weight
     w = np.array([0.0, 1.0])
+    loss = lambda w: (weight * np.logaddexp(0, (1 - 2 * toxic) * (x @ w))).sum() + ridge / 2 * (w @ w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w + np.linalg.solve(h, x.T @ (toxic - p) - 1e-2 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        step, size = np.linalg.solve(h, x.T @ (weight * (toxic - p)) - ridge * w), 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-9:
+            break
+        w = w + size * step
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, chain: int = 800) -> Tagger | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, chain: int = 800, rounds: int = 3) -> Tagger | None:
     """Fit on at most about ``labelled`` labelled rows of each class (for the features) and ``chain`` of them (for the chain), chosen by a hash of the id.
 
-    labels: doc_id, toxic; the caller leaves out held-out rows; null labels are left out. The token labels come from the
-    document labels: in a toxic document the tokens with an indicative feature are toxic, all others are clean.
-    The classes are sampled apart, so that a rare one isn't lost. None only if one of the classes is missing.
+    labels: doc_id, toxic; the caller leaves out held-out rows; null labels are left out. The token labels are hidden: at first the tokens of a toxic
+    document with an indicative feature are toxic, all others clean; then the chain is fitted and the tokens are labelled anew by it, ``rounds`` times (hard EM
+    under the document labels). The classes are sampled apart, so that a rare one isn't lost; the calibration weighs them half way (geometrically) back to the labels' shares.
+    None only if one of the classes is missing. An empty table has no classes.
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select("doc_id", "text")
+    share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     known = one_of_each_family(texts, sampled(known.where("toxic = 1"), labelled).union(sampled(known.where("toxic = 0"), labelled)))
     if known.select("toxic").distinct().count() < 2:
         return None
     found = indicative_features(texts, known)
-    names = sorted(found)
+    names = [*sorted(found), BEFORE, AFTER]
     place = {f: k for k, f in enumerate(names)}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +280,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, chain: int =
             rows = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = (text or "").lower().split()
-                at = {k: fs for k, t in enumerate(tokens) if (fs := sorted({place[f] for f in token_features(t) if f in place}))}
+                own = {k: fs for k, t in enumerate(tokens) if (fs := sorted({place[f] for f in token_features(t) if f in place}))}
+                at = {k: list(own.get(k, ())) for k in sorted({k + d for k in own for d in (-1, 0, 1) if 0 <= k + d < len(tokens)})}
+                for k in own:
+                    if k:
+                        at[k - 1].append(place[BEFORE])
+                    if k + 1 < len(tokens):
+                        at[k + 1].append(place[AFTER])
                 rows.append((list(at.values()), list(at), len(tokens), toxic))
             kinds = (pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["features", "places", "tokens", "toxic"])
@@ -247,14 +295,23 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, chain: int =
     ids = known.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(chain).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(chain))
     rows = texts.join(F.broadcast(ids), "doc_id").select("text", "toxic").mapInArrow(reduce, "features array<array<int>>, places array<int>, tokens int, toxic int").collect()
     rows.sort(key=lambda r: (r["toxic"], r["tokens"], r["places"], r["features"]))  # the order in which tasks end mustn't matter
-    tagger = fit_chain([(r["features"], [r["toxic"]] * len(r["places"]), r["places"], r["tokens"], r["toxic"]) for r in rows], names)
-    sums = []
-    weights = np.array([tagger.weights[f] for f in names])
+    n = len(names)
+    sequences = []
     for r in rows:
-        emit = np.zeros(r["tokens"])
-        emit[r["places"]] = [weights[fs].sum() for fs in r["features"]]
-        sums.append(tagger.marginals(emit)[1].sum())
-    tagger.a, tagger.b = calibrate(np.array(sums), np.array([r["toxic"] for r in rows], float))
+        flat = np.array([f for fs in r["features"] for f in fs], np.int64)
+        s = Sequence(np.array(r["places"], np.int64), flat, np.array([len(fs) for fs in r["features"]], np.int64), r["tokens"], r["toxic"])
+        s.tags = np.array([float(s.toxic and any(f < n - 2 for f in fs)) for fs in r["features"]])
+        sequences.append(s)
+    theta = fit_chain(sequences, n)
+    for _ in range(rounds):
+        refine(sequences, theta, n)
+        theta = fit_chain(sequences, n, theta, steps=8)
+    tagger = Tagger(dict(zip(names, theta[:n].tolist())), float(theta[n]), theta[n + 1 :].reshape(2, 2))
+    toxic = np.array([s.toxic for s in sequences], float)
+    sums = np.array([tagger.marginals(s.emit(theta[:n]))[1].sum() for s in sequences])
+    held = {k: max(1, (toxic == k).sum()) for k in (0, 1)}
+    weight = np.where(toxic == 1, share[1] / held[1], share[0] / held[0])
+    tagger.a, tagger.b = calibrate(sums, toxic, np.sqrt(weight) / np.sqrt(weight).sum() * len(weight))
     return tagger
 
 
