@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger finds toxic go."""
     labels = table(spark, sf_dir, "labels").where(quality.fold("doc_id", 3) != 1)
     tagger = toxicity.train(docs, labels)
-    return _kept(docs, lambda d: toxicity.with_toxicity(d, tagger, threshold=0.7), 1)
+    return _kept(docs, lambda d: toxicity.with_toxicity(d, tagger, threshold=0.7, spans=False), 1)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
