@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import embed_dedup, fingerprints, jaccard, mixing, packing, quality, sharding, tokens, toxicity, urls
 from weftline.llm.common import components
@@ -117,12 +118,48 @@ def test_packing(docs, texts):
         assert at == n if n else at <= 1024 and not at & (at - 1)
 
 
-def test_shards(docs):
-    rows = sharding.shard_documents(docs.union(docs.where("doc_id = 3")), shards=5).collect()
+def test_shards(docs, texts):
+    rows = sharding.shard_documents(docs.union(docs.where("doc_id = 3")).withColumn("shard", F.lit("x")).withColumn("vslot", F.lit("x")), shards=5).collect()
     assert len(rows) == 83
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data))
     for shard in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
-    assert {r.law for r in rows} == {"bytes"} and {r.version for r in rows} == {2}
+    assert {r.law for r in rows} == {"bytes"} and {r.version for r in rows} == {2} and {r.shard for r in rows} <= set(range(5))
+
+
+def test_stored_slot_map_is_edited_with_few_moves(spark, tmp_path):
+    rng = random.Random(8)
+    path = str(tmp_path / "map")
+    make = lambda ids: spark.createDataFrame([(k, "x" * rng.randint(0, 400)) for k in ids], "doc_id long, text string")
+    placed = lambda df, shards: {r.doc_id: (r.shard, r.size, r.vslot, r.version) for r in sharding.shard_documents(df, shards, 256, path).collect()}
+
+    def spread(got, shards):
+        loads = [sum(size for s, size, *_ in got.values() if s == k) for k in range(shards)]
+        return max(loads) - min(loads), sum(loads) / shards
+
+    df = make(range(900)).persist()
+    one = placed(df, 6)
+    gap, mean = spread(one, 6)
+    assert gap < 0.03 * mean and {v for *_, v in one.values()} == {2}
+    again = placed(df, 6)
+    assert again == one or max(v for *_, v in again.values()) == 3  # balanced: hardly anything moves
+    assert sum(one[k][0] != again[k][0] for k in one) <= 6
+    before = again
+    more = df.union(make(range(900, 960))).persist()
+    after = placed(more, 6)
+    need = sum(max(0, sum(x[1] for k, x in after.items() if before.get(k, x)[0] == s) - sum(x[1] for x in after.values()) / 6) for s in range(6))
+    moved = sum(after[k][1] for k in before if before[k][0] != after[k][0])
+    assert moved <= need + 3000 and all(before[k][2] == after[k][2] for k in before)
+    grown = placed(more, 7)
+    gap, mean = spread(grown, 7)
+    assert gap < 0.05 * mean and {grown[k][0] for k in after if grown[k][0] != after[k][0]} == {6}
+    shrunk = placed(more, 5)
+    gap, mean = spread(shrunk, 5)
+    assert {x[0] for x in shrunk.values()} == set(range(5)) and gap < 0.05 * mean
+    versions = {r.version for r in sharding.load_map(spark, path).collect()}
+    assert versions == set(range(1, max(versions) + 1)) and sharding.load_map(spark, path).count() == 256 * len(versions)
 
 
 def test_jaccard_against_brute_force(docs, texts):
