@@ -55,19 +55,57 @@ def test_fingerprints(docs, texts):
     assert got[77].fingerprint == got[78].fingerprint and got[77].near_next == 1.0 and got[78].near_edited > 0.6
 
 
-def test_mix(docs, texts):
-    rows = mixing.mix_documents(docs.union(docs.where("doc_id = 3"))).collect()
-    again = mixing.mix_documents(docs.union(docs.where("doc_id = 3")).repartition(5)).collect()
+def wanted_targets(sizes):
+    """By hand: shares by weight, the excess over three times a source's size reshared until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(order)}
+    target, full = {}, set()
+    while True:
+        free = sum(sizes.values()) - sum(3 * sizes[s] for s in full)
+        every = sum(weight[s] for s in order if s not in full)
+        target = {s: 3.0 * sizes[s] if s in full else free * weight[s] / every for s in order}
+        above = {s for s in order if s not in full and target[s] > 3 * sizes[s]}
+        if not above:
+            return target
+        full |= above
+
+
+@pytest.mark.parametrize("blocks, shards", [(256, 16), (3, 5), (1, 1)])
+def test_mix(docs, texts, blocks, shards):
+    df = docs.union(docs.where("doc_id = 3"))
+    mix = lambda d: mixing.mix_documents(d, blocks=blocks, shards=shards)
+    rows = mix(df).collect()
+    again = mix(df.repartition(5)).collect()
     assert sorted((r.doc_id, r.placed) for r in rows) == sorted((r.doc_id, r.placed) for r in again)
-    total = sum(r.size for r in rows)
     by = {r.source: (r.source_size, r.target) for r in rows}
-    assert sum(t for _, t in by.values()) == pytest.approx(total)
+    want = wanted_targets({s: n for s, (n, _) in by.items()})
     for source, (size, target) in by.items():
         mine = [r for r in rows if r.source == source]
-        assert sum(r.size for r in mine) == size and target <= 3 * size + 1e-9
+        assert sum(r.size for r in mine) == size and target == pytest.approx(want[source])
         assert abs(sum(r.size * len(r.placed) for r in mine) - target) <= max([r.size for r in mine])
-    assert all(len(r.placed) <= 3 for r in rows) and {r.size for r in rows if r.doc_id in (75, 76, 79)} == {0}
-    assert mixing.mixed_rows(mixing.mix_documents(docs)).count() == sum(len(r.placed) for r in mixing.mix_documents(docs).collect())
+    assert all(len(r.placed) <= 3 and set(r.placed) <= set(range(shards)) for r in rows) and {r.size for r in rows if r.doc_id in (75, 76, 79)} == {0}
+    written = mixing.mixed_rows(mix(df)).collect()
+    assert sorted((r.doc_id, r.shard) for r in written) == sorted((r.doc_id, s) for r in rows for s in r.placed)
+
+
+def test_split_tree_is_exact_and_disjoint(spark):
+    tickets = spark.createDataFrame([(f"s{s}", b, r) for s in range(9) for b in range(40) for r in range(1, 1 + s % 3)], "source string, block int, round int")
+    got = mixing.split_tree(tickets, 6, 1).collect()
+    counts = [sum(r.shard == k for r in got) for k in range(6)]
+    assert len({(r.source, r.block, r.round) for r in got}) == len(got) == tickets.count() and max(counts) - min(counts) <= 2
+    share = [sum(r.shard == 0 and r.source == f"s{s}" for r in got) / sum(r.source == f"s{s}" for r in got) for s in (1, 2, 4, 5, 7, 8)]
+    assert all(0.02 < x < 0.4 for x in share)
+
+
+def test_mix_keeps_clashing_columns(docs):
+    names = "rounds room whole last shards s_ b_ t_ e_ p_ key block part crc doc n key_ block_ order order_ partial edge_part dealt begin".split()
+    wide = docs.select("*", *[F.lit(f"mine-{n}").alias(n) for n in names], *[F.lit("gone").alias(n) for n in ("placed", "target", "copy", "shard")])
+    mixed = mixing.mix_documents(wide)
+    rows = mixing.mixed_rows(mixed)
+    for df in (mixed, rows):
+        assert set(names) <= set(df.columns) and len(set(df.columns)) == len(df.columns)
+        assert {tuple(r) for r in df.select(*names).distinct().collect()} == {tuple(f"mine-{n}" for n in names)}
+    assert dict(rows.dtypes)["shard"] == "int" and rows.count() == mixing.mixed_rows(mixing.mix_documents(docs)).count()
 
 
 def test_tokens(docs, texts):
