@@ -53,6 +53,47 @@ def test_fingerprints(docs, texts):
         assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[k].n_chars == len(texts[k])
         assert 0 <= got[k].near_edited <= 1 and (got[k].fingerprint == got[k].edited_fingerprint) == (edited == texts[k])
     assert got[77].fingerprint == got[78].fingerprint and got[77].near_next == 1.0 and got[78].near_edited > 0.6
+    for r in got.values():
+        assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint)
+
+
+def test_likeness_follows_the_kept_share():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghiäöü") for _ in range(rng.randint(1, 9)))
+    for n in (5, 40, 45, 80, 300, 3000, 20_000):
+        text, other = (" ".join(word() for _ in range(n)) for _ in range(2))
+        for share in (0.25, 0.5):
+            cut = int(len(text) * share)
+            edited = text[: len(text) - cut] + other[:cut].ljust(cut)
+            near = fingerprints.likeness(fingerprints.Tree(text).fingerprint, fingerprints.Tree(edited).fingerprint)
+            assert 0 <= near < 1 and (n < 40 or abs(near - (1 - share)) <= 0.15), (n, share, near)
+        assert fingerprints.likeness(fingerprints.Tree(text).fingerprint, fingerprints.Tree(other).fingerprint) < 0.2
+        assert len(fingerprints.Tree(text).fingerprint) < 1200
+    for text in ("a" * 3000, "ab cd\n" * 400, "x " * 900):
+        near = fingerprints.likeness(fingerprints.Tree(text).fingerprint, fingerprints.Tree(fingerprints.edited_by_next(text, other)).fingerprint)
+        assert abs(near - 0.75) <= 0.15, (text[:5], near)
+    empty = fingerprints.Tree("").fingerprint
+    assert fingerprints.likeness(empty, empty) == 1 and fingerprints.likeness(empty, fingerprints.Tree("a").fingerprint) == 0
+
+
+def test_tree_covers_texts_and_locates_edits(docs):
+    def by_hand(text):
+        tree = fingerprints.Tree(text)
+        sections = [hashlib.sha256(b"\1" + b"".join(tree.paragraphs[a:b])).digest() for _, a, b in tree.sections]
+        assert [s[0] for s in tree.sections] == sections and tree.sections[0][1] == 0 and tree.sections[-1][2] == len(text.split("\n"))
+        return hashlib.sha256(b"\2" + b"".join(sections)).hexdigest()
+
+    lines = [f"line {k} of some text" for k in range(50)]
+    text = "\n".join(lines)
+    tree = fingerprints.Tree(text)
+    assert tree.root == by_hand(text)
+    for k in (0, 20, 49):
+        changed = "\n".join([*lines[:k], "another", *lines[k + 1 :]])
+        section, paragraph = tree.first_difference(fingerprints.Tree(changed))
+        assert paragraph == k and tree.sections[section][1] <= k
+    assert fingerprints.Tree("a\nb").root != fingerprints.Tree("ab").root != fingerprints.Tree("a\n\nb").root
+    rows = {r.doc_id: r for r in fingerprints.trees(docs.union(docs.where("doc_id in (75, 77)"))).collect()}
+    assert rows[75].fingerprint == rows[76].fingerprint == fingerprints.Tree("").fingerprint and len(rows[75].sections) == 1
 
 
 def wanted_targets(sizes):

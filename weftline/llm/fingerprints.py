@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -14,8 +15,10 @@ from .common import prepare
 
 #: A section ends after a blank line, or after a paragraph whose digest begins below this (1 in 8), so that edits elsewhere don't move it.
 SECTION_BELOW = 32
-#: A passage (the tree's leaf below paragraphs) ends where a hash of four code points has these bits clear: about 16 code points.
-PASSAGE_BITS = np.uint64(15)
+#: A passage (a leaf of the tree) ends where a hash of four code points has these bits clear, at a line's end, and after PASSAGE code points: about 8 code points.
+PASSAGE_BITS, PASSAGE = np.uint64(7), 32
+#: Leaves that a fingerprint holds at most: those with the smallest digests, of so many bits.
+LEAVES, LEAF_BITS = 160, 24
 #: Stands for a missing id: it orders last.
 LAST = (1 << 63) - 1
 
@@ -32,19 +35,14 @@ def _power(n: int) -> list[np.ndarray]:
 
 
 class Tree:
-    """Digests of the root, the sections and the paragraphs of a text, and hashes of its passages."""
+    """Digests of the root, the sections, the paragraphs and the passages of a text.
+
+    A paragraph's digest is of its text and its passages' digests, a section's of its paragraphs', the root of the sections'.
+    """
 
     def __init__(self, text: str):
         self.text = text
         lines = text.split("\n")
-        self.paragraphs = [hashlib.sha256(b"\0" + line.encode()).digest() for line in lines]
-        self.sections: list[tuple[bytes, int, int]] = []
-        begin = 0
-        for k, (line, digest) in enumerate(zip(lines, self.paragraphs), 1):
-            if k == len(lines) or not line.strip() or digest[0] < SECTION_BELOW:
-                self.sections.append((hashlib.sha256(b"\1" + b"".join(self.paragraphs[begin:k])).digest(), begin, k))
-                begin = k
-        self.root = hashlib.sha256(b"\2" + b"".join(s[0] for s in self.sections)).hexdigest()
         code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
         n = len(code)
         up, down = _power(n + 1)
@@ -55,26 +53,33 @@ class Tree:
         ends = np.flatnonzero((((near >> np.uint64(40)) & PASSAGE_BITS) == 0) | (code == 10)) + 1
         if n and (not len(ends) or ends[-1] != n):
             ends = np.append(ends, n)
+        if n:  # long passages are cut at equal steps from their start
+            pieces = -(-np.diff(ends, prepend=0) // PASSAGE)
+            step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
+            ends = np.minimum(np.repeat(np.concatenate([[0], ends[:-1]]), pieces) + PASSAGE * step, np.repeat(ends, pieces))
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * up[:n])])
-        mixed = (sums[ends] - sums[starts]) * down[starts] if n else np.zeros(0, np.uint64)
-        mixed ^= mixed >> np.uint64(31)
-        self.passages, first, self.counts = np.unique(mixed * np.uint64(0xBF58476D1CE4E5B9), return_index=True, return_counts=True)
-        self.lengths = (ends - starts)[first] if n else np.zeros(0, np.int64)
-        self.size = n
-
-    def likeness(self, other: Tree) -> float:
-        """1 for equal roots; else the code points in passages that both have, times 2, over all code points (below 1)."""
-        if self.root == other.root:
-            return 1.0
-        if not self.size or not other.size:
-            return 0.0
-        at = np.searchsorted(other.passages, self.passages)
-        at[at == len(other.passages)] = 0
-        same = other.passages[at] == self.passages
-        both = (np.minimum(self.counts, other.counts[at]) * self.lengths)[same].sum()
-        total = self.size + other.size
-        return float(min(2 * both, total - 1) / total)
+        leaves = (sums[ends] - sums[starts]) * down[starts] if n else np.zeros(0, np.uint64)
+        leaves = (leaves ^ (leaves >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        leaves ^= leaves >> np.uint64(29)
+        data = leaves.astype("<u8").tobytes()
+        line_ends = np.searchsorted(ends, np.flatnonzero(code == 10) + 1) + 1 if n else np.zeros(0, np.int64)  # leaves up to each line's end
+        self.paragraphs, at = [], 0
+        for k, line in enumerate(lines):
+            to = int(line_ends[k]) if k < len(line_ends) else len(leaves)
+            self.paragraphs.append(hashlib.sha256(b"\0" + data[8 * at : 8 * to] + line.encode()).digest())
+            at = to
+        self.sections: list[tuple[bytes, int, int]] = []
+        begin = 0
+        for k, (line, digest) in enumerate(zip(lines, self.paragraphs), 1):
+            if k == len(lines) or not line.strip() or digest[0] < SECTION_BELOW:
+                self.sections.append((hashlib.sha256(b"\1" + b"".join(self.paragraphs[begin:k])).digest(), begin, k))
+                begin = k
+        self.root = hashlib.sha256(b"\2" + b"".join(s[0] for s in self.sections)).hexdigest()
+        digest, place = np.unique(leaves >> np.uint64(64 - LEAF_BITS), return_inverse=True)
+        size = np.bincount(place, ends - starts, len(digest)) if n else np.zeros(0)
+        head = np.ascontiguousarray(digest[:LEAVES].astype("<u4").view(np.uint8).reshape(-1, 4)[:, : LEAF_BITS // 8])
+        self.fingerprint = f"{self.root}:{base64.b64encode(bytes([len(digest) > LEAVES]) + head.tobytes() + np.minimum(size[:LEAVES], 65535).astype('<u2').tobytes()).decode()}"
 
     def first_difference(self, other: Tree) -> tuple[int, int] | None:
         """(section, paragraph) at which the trees first part, going down only where digests differ; None for equal trees."""
@@ -86,8 +91,35 @@ class Tree:
         return k, begin + next((i for i, (a, b) in enumerate(zip(mine, theirs)) if a != b), min(len(mine), len(theirs)))
 
 
+def _leaves(fingerprint: str) -> tuple[str, np.ndarray, np.ndarray, int]:
+    """Of a fingerprint: root, leaf digests, code points in leaves of each digest, and the digest up to which leaves are all there."""
+    root, _, rest = fingerprint.partition(":")
+    data = base64.b64decode(rest)
+    n = (len(data) - 1) // (LEAF_BITS // 8 + 2)
+    digest = np.zeros((n, 4), np.uint8)
+    digest[:, : LEAF_BITS // 8] = np.frombuffer(data, np.uint8, n * LEAF_BITS // 8, 1).reshape(n, LEAF_BITS // 8)
+    digest = digest.view("<u4").ravel()
+    return root, digest, np.frombuffer(data, "<u2", n, 1 + n * LEAF_BITS // 8).astype(np.int64), int(digest[-1]) if data[0] else 1 << LEAF_BITS
+
+
+def likeness(a: str, b: str) -> float:
+    """How alike the texts of two fingerprints are, from the fingerprints alone: 1 for equal roots; else, below 1, twice the code points in leaves
+    that both have over those in all leaves. Of texts with more than LEAVES leaves these are the leaves with the smallest digests, so both texts' samples agree.
+    """
+    (root, x, size, whole), (root_b, y, size_b, whole_b) = _leaves(a), _leaves(b)
+    if root == root_b:
+        return 1.0
+    if not len(x) or not len(y):
+        return 0.0
+    upto = min(whole, whole_b)
+    x, size, y, size_b = x[x <= upto], size[x <= upto], y[y <= upto], size_b[y <= upto]
+    total = int(size.sum() + size_b.sum())
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return float(min(2 * np.minimum(size[i], size_b[j]).sum(), total - 1) / total) if total else 0.0
+
+
 def trees(docs: DataFrame) -> DataFrame:
-    """The tree of every text: doc_id, fingerprint (root digest), sections (digest and the digests of their paragraphs).
+    """The tree of every text: doc_id, fingerprint (root digest, and leaves for likeness), sections (digest and the digests of their paragraphs).
 
     A null text counts as empty; an empty text has one section with one empty paragraph; rows with equal texts have equal
     trees; other columns are left aside.
@@ -98,7 +130,7 @@ def trees(docs: DataFrame) -> DataFrame:
         for batch in batches:
             made = [Tree(t or "") for t in batch.column(1).to_pylist()]
             sections = [[{"digest": d.hex(), "paragraphs": [p.hex() for p in t.paragraphs[a:b]]} for d, a, b in t.sections] for t in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.root for t in made]), pa.array(sections, SECTIONS)], ["doc_id", "fingerprint", "sections"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.fingerprint for t in made]), pa.array(sections, SECTIONS)], ["doc_id", "fingerprint", "sections"])
 
     SECTIONS = pa.list_(pa.struct([("digest", pa.string()), ("paragraphs", pa.list_(pa.string()))]))
     kind = dict(docs.dtypes)["doc_id"]
@@ -155,7 +187,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                     edited = edited_by_next(mine.text, text)
                     other = Tree(edited)
                     where = mine.first_difference(other) or (None, None)
-                    out.append((held[0], len(mine.text), hashlib.sha256(edited.encode()).hexdigest(), mine.root, other.root, mine.likeness(other), mine.likeness(tree), *where))
+                    out.append((held[0], len(mine.text), hashlib.sha256(edited.encode()).hexdigest(), mine.fingerprint, other.fingerprint, likeness(mine.fingerprint, other.fingerprint), likeness(mine.fingerprint, tree.fingerprint), *where))
                 held = None if halo else (doc_id, bucket, tree)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
