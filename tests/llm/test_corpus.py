@@ -409,15 +409,66 @@ def test_tagger_exists_whenever_both_classes_do(spark):
 def test_urls(spark):
     rows = [
         (1, "http://A.example.net/en/1?x"), (2, "https://example.net/fr/"), (3, "http://m.example.com/de/3#t"), (4, "http://x.org/fr/x"), (5, "http://network/"), (6, None), (7, "no scheme"),
-        (8, "ftp://casinowin.example.com?/en/"), (9, "http://river.example.com/a/b"), (10, "http://net"), (11, "HTTP://CheapPills.shop/x://y"),
+        (8, "ftp://casinowin.example.com?/en/"), (9, "http://river.example.com/a/b"), (10, "http://net"), (11, "HTTP://CheapPills.shop/x://y"), (12, "http://bigwin.shop/"), (12, "http://bigwin.shop/"),
     ]
-    rows += [(100 + k, f"http://river{k % 7}.example.com/en/{k}") for k in range(60)]
-    df = spark.createDataFrame([(*r, "<title>river water</title>") for r in rows], "page_id long, url string, html string")
+    rows += [(100 + k, f"http://river{k % 7}.example.com/en/{k}") for k in range(60)] + [(200 + k, f"http://win{'-' * (k % 2)}casino.example.com/en/{k}") for k in range(6)]
+    df = spark.createDataFrame([(*r, "<title>river water</title><script>junk</script><p>big cheap <b>win</b> pills&nbsp;casino", "x") for r in rows], "page_id long, url string, html string, host string")
     got = {r.page_id: r for r in urls.judge_urls(df).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")
     assert got[2].rule == "net/" and got[3].rule == "example.com/de/" and got[4].rule == "org/fr/" and got[5].rule is None
     assert (got[6].host, got[6].path, got[7].verdict) == ("", "", "allow") and (got[10].rule, got[10].path) == (None, "")
-    assert got[8].verdict == "block" and got[8].words[:2] == ["casino", "win"] and got[8].path == "" and got[9].verdict == "allow" and got[11].verdict == "block"
+    assert got[8].verdict == "block" and got[8].words == ["casino", "win", "example"] and got[8].path == "" and got[9].verdict == "allow" and got[11].verdict == "block"
+    assert got[12].words == ["big", "win"] and not set(got[12].words) & set(urls.SEEDS) and got[12].verdict == "block"  # by a word learned from other hosts
+    assert urls.judge_urls(df.withColumn("html", F.lit(None).cast("string"))).count() == len(rows)
+
+
+def test_visible_words_and_names(spark):
+    df = spark.createDataFrame([("<html><TITLE>Äb c1d</TITLE><!-- no --><style>no{}</style><p class='no'>e&amp;f<ScRiPt>no</script >g", "a-b1c.d-e.co.uk"), (None, "localhost"), ("", "x.y.com:80"), ("a<b", "www.x.org.")], "html string, host string")
+    got = df.select(urls.visible_words(F.col("html")).alias("w"), urls.names_of(F.col("host")).alias("n")).collect()
+    assert [r.w for r in got] == [["äb", "c", "d", "e", "f", "g"], None, [], ["a", "b"]]
+    assert [r.n for r in got] == [["a", "b", "c", "d", "e"], ["localhost"], ["x", "y"], ["www", "x"]]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_viterbi_against_all_splits(seed):
+    rng = random.Random(seed)
+    name = "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
+    counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): rng.randint(1, 50) for _ in range(8)}
+    total = 100.0
+    cost = lambda w: min(np.log(total / counts[w]) if w in counts else np.inf, np.log(total) + (len(w) - 1) * np.log(10))
+    every = [[name[i:j] for i, j in zip((0, *at), (*at, len(name)))] for k in range(1 << (len(name) - 1)) for at in [[p + 1 for p in range(len(name) - 1) if k >> p & 1]]]
+    spans = [(i, j, counts[name[i:j]]) for i in range(len(name)) for j in range(i + 1, len(name) + 1) if name[i:j] in counts]
+    got = urls.best_split(name, spans, np.log(total))
+    assert "".join(got) == name and np.isclose(sum(map(cost, got)), min(sum(map(cost, s)) for s in every))
+
+
+def test_segments_of_long_and_unknown_names(spark):
+    counts = spark.createDataFrame([("river", 50.0), ("boat", 20.0)], "word string, n double")
+    names = ["riverboat", "zzzz", "zzriverzz", "q" * 300, "river" * 40]
+    got = {r.name: r.words for r in urls.segment(spark.createDataFrame([(n,) for n in names], "name string"), counts).collect()}
+    assert got == {"riverboat": ["river", "boat"], "zzzz": ["zzzz"], "zzriverzz": ["zz", "river", "zz"], "q" * 300: ["q" * 300], "river" * 40: ["river"] * 40}
+
+
+def test_bayes_against_counts_by_hand(spark):
+    hosts = [("h1", ["casino", "win"], 4), ("h2", ["river", "win"], 3), ("h3", ["casino"], 2), ("h4", ["poker", "casino", "river"], 1), ("h5", ["river"], 10), ("h6", [], 5)]
+    shapes = [("h1", "en", 4), ("h2", "de", 3), ("h3", "en", 2), ("h4", "", 1), ("h5", "en casino", 10), ("h6", "de", 5)]
+    seeds = {"casino", "poker"}
+    b, a = {w: 0 for w in seeds}, {w: 0 for w in seeds}
+    for _, words, n in hosts:
+        for w in words:
+            others = set(words) - {w}
+            if others & seeds or w not in seeds:
+                side = b if others & seeds else a
+                side[w] = side.get(w, 0) + n
+    label = {h: bool(set(w) & seeds) for h, w, _ in hosts}
+    for h, shape, n in shapes:
+        for w in shape.split():
+            side = b if label[h] else a
+            side[w] = side.get(w, 0) + n
+    every = set(a) | set(b)
+    odds = lambda w: np.log((b.get(w, 0) + (50 if w in seeds else 1)) / (sum(b.values()) + len(every) + 1)) - np.log((a.get(w, 0) + 1) / (sum(a.values()) + len(every) + 1))
+    got, prior = urls.token_odds(spark.createDataFrame(hosts, "host string, words array<string>, pages long"), spark.createDataFrame(shapes, "host string, shape string, pages long"), sorted(seeds))
+    assert {r.token: pytest.approx(r.odds) for r in got.collect()} == {w: odds(w) for w in every} and prior == pytest.approx(np.log((7 + 1) / (25 - 7 + 1)))
 
 
 def test_pipeline_stages(spark, tmp_path):
