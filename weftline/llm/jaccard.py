@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +19,14 @@ from .common import components, cut, prepare, private
 #: Words of a shingle; documents link from this percentage of common shingles on.
 WORDS, PERCENT = 5, 75
 #: Documents of an index chunk.
-CHUNK = 1024
+CHUNK = 256
 #: Shingle hashes keep this many bits: 6 bytes each in files. Within a pair of documents a collision has probability below 1e-8.
 BITS = 48
 #: Frequent shingles are found on about so many texts: those in at least COMMON of them, FREQUENT at most. They come last in the order of
 #: shingles, whatever their number; any order gives the same links, so the sample bounds work and not results.
 SAMPLE, COMMON, FREQUENT = 5000, 20, 100_000
-#: Rows that a Python worker hands over at once, and texts whose names it remembers.
-ROWS, SEEN = 200_000, 1_000_000
+#: Shingles that a task bundles before it deals them, shingles of a bucket that is counted at once, and texts whose names a task remembers.
+BUNDLE, BUCKET, SEEN = 1 << 20, 1 << 22, 1_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.random.default_rng(20240607).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -141,23 +141,15 @@ class Index:
             yield last, seen
 
 
-#: name, label of its class so far, number of all shingles, the lists that it is searched in (ascending), the shared shingles (packed).
-Member = tuple[int, int, int, list[int], bytes]
+#: name, label of its class so far, number of all shingles, the lists that it is searched in (ascending), the shared shingles (packed; None before they are needed).
+Member = tuple[int, int, int, list[int], bytes | None]
 
 
-def link_chunks(left: list[Member], right: list[Member] | None, here: int) -> list[tuple[int, int]]:
-    """Links within left (right None) or between left and right, as the edges of a spanning forest.
+def comparable(left: list[Member], right: list[Member] | None, here: int) -> Iterator[tuple[int, int]]:
+    """(place in right or, if that is None, in left; bits of the places in left) of the pairs to be searched for in list ``here``.
 
-    Two documents are compared in the first of their common lists only (here: this one). Documents whose labels are already joined aren't compared
-    again, so a group of near copies costs about a comparison each.
+    A pair belongs to the first of its common lists; sizes and labels must allow a new link.
     """
-    parent: dict[int, int] = {}
-
-    def root(k: int) -> int:
-        while (up := parent.get(k, k)) != k:
-            parent[k] = k = parent.get(up, up)
-        return k
-
     elsewhere: dict[int, int] = {}  # earlier list: bits of the places in left that are in it too
     for place, (_, _, _, lists, _) in enumerate(left):
         for k in lists:
@@ -165,22 +157,50 @@ def link_chunks(left: list[Member], right: list[Member] | None, here: int) -> li
                 break
             elsewhere[k] = elsewhere.get(k, 0) | 1 << place
     every = (1 << len(left)) - 1
-    index, edges = None, []
-    for at, (name, label, size, lists, held) in enumerate(left if right is None else right):
-        met = 0
+    same: dict[int, int] = {}  # label: bits of its places in left
+    for place, m in enumerate(left):
+        same[m[1]] = same.get(m[1], 0) | 1 << place
+    order = sorted(range(len(left)), key=lambda p: left[p][2])
+    sizes, upto = [left[p][2] for p in order], [0]
+    for p in order:
+        upto.append(upto[-1] | 1 << p)
+    for at, (_, label, size, lists, _) in enumerate(left if right is None else right):
+        met = same.get(label, 0)
         for k in lists:
             if k >= here:
                 break
             met |= elsewhere.get(k, 0)
-        here_only, mine = every & ~met & (every if right is not None else (1 << at) - 1), root(label)
-        wanted = set()
-        while here_only:
-            bit = here_only & -here_only
-            here_only ^= bit
-            place = bit.bit_length() - 1
-            n = left[place][2]
-            if 100 * min(n, size) >= PERCENT * max(n, size) and root(left[place][1]) != mine:
-                wanted.add(place)
+        low, high = bisect_left(sizes, -(-PERCENT * size // 100)), bisect_right(sizes, 100 * size // PERCENT)
+        bits = every & ~met & upto[high] & ~upto[low]
+        if right is None:
+            bits &= (1 << at) - 1
+        if bits:
+            yield at, bits
+
+
+def _places(bits: int) -> Iterator[int]:
+    while bits:
+        bit = bits & -bits
+        bits ^= bit
+        yield bit.bit_length() - 1
+
+
+def link_chunks(left: list[Member], right: list[Member] | None, here: int) -> list[tuple[int, int]]:
+    """Links within left (right None) or between left and right, as the edges of a spanning forest.
+
+    Documents whose labels are already joined aren't compared again, so a group of near copies costs about a comparison each.
+    """
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (up := parent.get(k, k)) != k:
+            parent[k] = k = parent.get(up, up)
+        return k
+
+    index, edges = None, []
+    for at, bits in comparable(left, right, here):
+        name, label, size, _, held = (left if right is None else right)[at]
+        wanted = {p for p in _places(bits) if root(left[p][1]) != root(label)}
         if not wanted:
             continue
         index = index or Index([unpack(m[4]) for m in left], [m[2] for m in left])
@@ -230,36 +250,104 @@ def text_facts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, text_name long, frequent binary")
 
 
-def shingle_rows(docs: DataFrame, without: np.ndarray) -> DataFrame:
-    """(text_name, hash) of the shingles, but for those among ``without``, of texts that have an id. A task takes equal texts once."""
+def _bundles(batches: Iterator[pa.RecordBatch], without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(names, hashes) of the shingles of rows (text), but for those among ``without``, by ascending hash. A task takes equal texts once."""
+    names, held, n, seen = [], [], 0, set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, n, seen = [], [], 0, set()
-        put = lambda: pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), list(map(len, held)))), pa.array(np.concatenate(held).astype(np.int64))], ["text_name", "hash"])
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                name = name_of(words)
-                if not _new([name], seen)[0]:
-                    continue
+    def put():
+        flat = np.concatenate(held)
+        order = np.argsort(flat)
+        return np.repeat(np.array(names, np.int64), list(map(len, held)))[order], flat[order]
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = words_of(text)
+            name = name_of(words)
+            if _new([name], seen)[0]:
                 hashes = shingles(words)
                 names.append(name)
                 held.append(hashes[~_is_in(hashes, without)])
                 n += len(hashes)
-                if n >= ROWS:
+                if n >= BUNDLE:
                     yield put()
                     names, held, n = [], [], 0
-        if names:
-            yield put()
+    if names:
+        yield put()
+
+
+def _deal(names: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of a bundle: steps from hash to hash and places among the row's names, by byte planes, compressed."""
+    bucket = ((hashes >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows = []
+    for b, e in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist()):
+        own, place = np.unique(names[b:e], return_inverse=True)
+        planes = np.concatenate([np.diff(hashes[b:e], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, : BITS // 8], place.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]], 1)
+        rows.append((zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1), own.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *(pa.array(c, pa.binary()) for c in (zip(*rows) if rows else ((), ())))], ["bucket", "shingles", "names"])
+
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "text_name long, hash long")
+def _dealt(shingles_: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(names, hashes) of a row that _deal made."""
+    planes = np.frombuffer(zstandard.decompress(shingles_), np.uint8).reshape(BITS // 8 + 3, -1)
+    wide = np.zeros((planes.shape[1], 16), np.uint8)
+    wide[:, : BITS // 8], wide[:, 8:11] = planes[: BITS // 8].T, planes[BITS // 8 :].T
+    both = wide.view("<u8")
+    return np.frombuffer(names, np.int64)[both[:, 1].astype(np.int64)], np.cumsum(both[:, 0])
+
+
+def shared_shingles(docs: DataFrame, without: np.ndarray, total: int) -> DataFrame:
+    """(text_name, df, hash) of the shingles, but for those among ``without``, that df > 1 texts with an id hold. total: about how many shingles there are.
+
+    Shingles are dealt by ranges of hashes into buckets of about BUCKET; a task counts a bucket at a time.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 30, max(parts, -(-total // BUCKET)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, hashes in _bundles(batches, without):
+            yield _deal(names, hashes, buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def held():
+            key, rows = None, []
+            for batch in batches:
+                for bucket, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                    if bucket != key:
+                        if rows:
+                            yield rows
+                        key, rows = bucket, []
+                    rows.append((x, y))
+            if rows:
+                yield rows
+
+        for rows in held():
+            names, hashes = (np.concatenate(c) for c in zip(*(_dealt(*r) for r in rows)))
+            order = np.lexsort((names, hashes))
+            names, hashes = names[order], hashes[order]
+            new = np.ones(len(names), bool)  # a text may come from several tasks
+            new[1:] = (names[1:] != names[:-1]) | (hashes[1:] != hashes[:-1])
+            names, hashes = names[new], hashes[new]
+            begin = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)))
+            df = np.diff(np.append(begin, len(hashes)))
+            df = np.repeat(df, df)
+            some = df > 1
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(df[some].astype(np.int32)), pa.array(hashes[some].astype(np.int64))], ["text_name", "df", "hash"])
+
+    dealt = docs.where("doc_id is not null").select("text").mapInArrow(deal, "bucket long, shingles binary, names binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "text_name long, df int, hash long")
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles that very many texts hold, by a sample bounded by SAMPLE: at most FREQUENT."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     some = docs.where(part < int((1 << 30) * min(1.0, SAMPLE / max(1, docs.count()))))
-    counts = shingle_rows(some, np.zeros(0, np.uint64)).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes in _bundles(batches, np.zeros(0, np.uint64)):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64))], ["hash"])
+
+    counts = some.where("doc_id is not null").select("text").mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return np.sort(np.array([r["hash"] for r in counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()], np.int64)).astype(np.uint64)
 
 
@@ -278,10 +366,8 @@ def shared_sets(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Data
             yield batch.filter(pa.array(_new(batch.column(0).to_pylist(), seen)))
 
     heads = facts.where("text_name is not null").select("text_name", "n_shingles", "frequent").mapInArrow(head, "text_name long, n_shingles long, frequent binary")
-    of_one = Window.partitionBy("hash")
-    new = F.coalesce(F.lag("text_name").over(of_one.orderBy("text_name")) != F.col("text_name"), F.lit(True))  # a text may come from several tasks
-    counted = shingle_rows(docs, frequent).withColumn("new", new).withColumn("df", F.sum(F.col("new").cast("int")).over(of_one))
-    counted = counted.where("new and df > 1").select("text_name", F.col("df").cast("int").alias("df"), "hash", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("frequent"))
+    total = facts.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    counted = shared_shingles(docs, frequent, total).select("text_name", "df", "hash", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("frequent"))
     rows = counted.union(heads.select("text_name", F.lit(0), F.lit(-1).cast("long"), "n_shingles", "frequent"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "text_name").sortWithinPartitions("text_name", "df", "hash")
@@ -321,32 +407,66 @@ def shared_sets(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Data
     return rows.mapInArrow(gather, "text_name long, n long, own long, prefix array<long>, shared binary")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], shared: bool) -> Iterator[tuple[tuple[int, int, int], list[tuple[int, Member]]]]:
+    """((key, i, j), [(side, member)]) of sorted rows."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [batch.column(x).to_pylist() for x in ("key", "i", "j", "side", "text_name", "label", "n", "lists", *(["shared"] if shared else []))]
+        for c, i, j, side, *row in zip(*columns):
+            if (c, i, j) != key:
+                if rows:
+                    yield key, rows
+                key, rows = (c, i, j), []
+            rows.append((side, row if shared else [*row, None]))
+    if rows:
+        yield key, rows
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "text_name")
+
+
+MEMBERS = "key long, i int, j int, side int, text_name long, label long, n long, lists array<long>"
+
+
+def needed_members(members: DataFrame) -> DataFrame:
+    """The members that have a pair to be searched for in their group: without the others the shared shingles go to few groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        put = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in MEMBERS.split(", ")])
+        for (key, i, j), rows in _groups(batches, False):
+            left, right = [r for side, r in rows if not side], None if i == j else [r for side, r in rows if side]
+            first, second = 0, 0
+            for at, bits in comparable(left, right, key):
+                first |= bits
+                second |= 1 << at
+            if right is None:
+                first |= second
+            out += [(key, i, j, 0, *left[p][:4]) for p in _places(first)] + [(key, i, j, 1, *right[p][:4]) for p in _places(second) if right is not None]
+            if len(out) >= 2000:
+                yield put()
+                out = []
+        if out:
+            yield put()
+
+    return _grouped(members).mapInArrow(run, MEMBERS)
+
+
 def search_groups(members: DataFrame, live: DataFrame) -> DataFrame:
     """(a, b) links found by T-occurrence search within each group (key, i, j).
 
-    members: key, i, j, side, text_name, label, lists; where i = j rows of side 0 are searched among themselves, else those of side 1 among those of
+    members: key, i, j, side, text_name, label, n, lists; where i = j rows of side 0 are searched among themselves, else those of side 1 among those of
     side 0. The shared shingles are joined here, by shuffle at every size; a group holds two chunks at most.
     """
-    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = members.join(live.select("text_name", "n", "shared").hint("merge"), "text_name")
-    held = held.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "text_name")
+    held = _grouped(members.join(live.select("text_name", "shared").hint("merge"), "text_name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            key, rows = None, []
-            for batch in batches:
-                for c, i, j, side, *row in zip(*(batch.column(x).to_pylist() for x in ("key", "i", "j", "side", "text_name", "label", "n", "lists", "shared"))):
-                    if (c, i, j) != key:
-                        if rows:
-                            yield key, rows
-                        key, rows = (c, i, j), []
-                    rows.append((side, row))
-            if rows:
-                yield key, rows
-
         found: list[tuple[int, int]] = []
         put = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-        for (key, i, j), rows in groups():
+        for (key, i, j), rows in _groups(batches, True):
             found += link_chunks([r for side, r in rows if not side], None if i == j else [r for side, r in rows if side], key)
             if len(found) >= 5000:
                 yield put()
@@ -378,25 +498,28 @@ def text_classes(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Dat
     rows = cut(every.join(lists, "s").where("text_name <> leader"), "list_rows")
 
     near = (F.lit(100) * F.least("n", "leader_n")) >= (F.lit(PERCENT) * F.greatest("n", "leader_n"))
-    pairs = cut(rows.where(near).select("leader", "text_name").distinct(), "leaders")
-    sizes = cut(pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "leader_chunks")
+    pairs = cut(rows.where(near).select("leader", "leader_n", "text_name", "n").distinct(), "leaders")
+    sizes = cut(pairs.groupBy("leader", "leader_n").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "leader_chunks")
     none = F.array().cast("array<long>")
-    follow = pairs.join(sizes, "leader").select(F.col("leader").alias("key"), F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "text_name", F.col("text_name").alias("label"), none.alias("lists"))
-    lead = sizes.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), F.col("leader").alias("text_name"), F.col("leader").alias("label"), none.alias("lists"))
+    follow = pairs.join(sizes.drop("leader_n"), "leader").select(F.col("leader").alias("key"), F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "text_name", F.col("text_name").alias("label"), "n", none.alias("lists"))
+    lead = sizes.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), F.col("leader").alias("text_name"), F.col("leader").alias("label"), F.col("leader_n").alias("n"), none.alias("lists"))
     stars = cut(components(search_groups(follow.union(lead), live)).select(F.col("id").alias("text_name"), F.col("component").alias("label")), "stars")
 
     known = rows.where("texts > 2").select("s", "text_name", "own", "n").join(stars, "text_name", "left").withColumn("label", F.coalesce("label", "text_name"))
     known = cut(known, "labelled_rows")
     mixed = known.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
     rest = cut(known.join(mixed, "s", "left_semi"), "mixed_rows")
-    left = cut(_lists(rest).select("s", F.ceil(F.col("texts") / CHUNK).cast("int").alias("chunks")), "mixed_lists")
+    # large lists first: they hold most pairs, so few lists have pairs of their own
+    key = F.shiftleft(F.lit(32767).cast("long") - F.least("texts", F.lit(32767)), BITS) + F.col("s")
+    left = cut(_lists(rest).select("s", key.alias("key"), F.ceil(F.col("texts") / CHUNK).cast("int").alias("chunks")), "mixed_lists")
     member = cut(rest.join(left, "s"), "members")
-    at = member.groupBy("text_name").agg(F.array_sort(F.collect_list("s")).alias("lists"))  # a text's own, so no more than its shingles
+    at = member.groupBy("text_name").agg(F.array_sort(F.collect_list("key")).alias("lists"))  # a text's own, so no more than its shingles
     member = member.join(cut(at, "lists_of_texts"), "text_name").withColumn("chunk", F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
-    member = member.select(F.col("s").alias("key"), "chunk", F.explode(to).alias("to"), "text_name", "label", "lists")
-    member = member.select("key", "to.i", "to.j", (F.col("chunk") != F.col("to.i")).cast("int").alias("side"), "text_name", "label", "lists")
-    more = search_groups(member, live)
+    member = member.select("key", "chunk", F.explode(to).alias("to"), "text_name", "label", "n", "lists")
+    member = member.select("key", "to.i", "to.j", (F.col("chunk") != F.col("to.i")).cast("int").alias("side"), "text_name", "label", "n", "lists")
+    needed = cut(needed_members(member), "needed")
+    more = search_groups(needed, live)
     found = components(more.union(stars.select("text_name", "label")))
     return found.select(F.col("id").alias("text_name"), F.col("component").alias("class"))
 
