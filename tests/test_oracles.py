@@ -1,8 +1,11 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import datetime
+import decimal
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from weftline.plans import queries as tabular
@@ -11,9 +14,18 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
+def cell(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
+        return "NULL"
+    if isinstance(v, (datetime.date, pd.Timestamp)):
+        return str(pd.Timestamp(v))
+    if isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf":
+        return f"{float(v):.9g}"
+    return str(v)
+
+
 def normal(df):
     df = df[sorted(df.columns)]
-    cell = lambda v: "NULL" if v is None or v != v else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
     return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False, name=None))
 
 

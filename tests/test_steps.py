@@ -187,3 +187,27 @@ def test_stream_with_dead_letters(spark, tmp_path):
     assert batches.stats["dead_letters"] == 3
     with pytest.raises(StepError):
         streams.topic_name("_bad")
+
+
+def test_save_step_writes_and_reports(spark, tmp_path):
+    from weftline.plans import pipeline
+
+    df = spark.createDataFrame([(1, 2.0), (2, float("nan")), (3, None)], "id int, v double")
+    for kind, form in (("csv", "csv"), ("json", "json"), ("parquet", "parquet"), ("txt", "csv")):
+        path = str(tmp_path / f"out.{kind}")
+        steps = [{"name": "in", "type": "load", "table": "t"}, {"name": "some", "type": "filter", "input": "in", "column": "id", "operator": "greater_than", "value": 1}, {"name": "out", "type": "save", "input": "some", "path": path}]
+        made = pipeline.run(steps, {"t": df})
+        report = made["out"].report
+        assert report["rows"] == 2 and report["format"] == form and report["path"] == path and report["bytes"] > 0
+        assert (made["some"].rows_in, made["some"].rows_out, made["out"].rows_in, made["out"].rows_out) == (3, 2, 2, 2) and made["out"].seconds > 0
+        pipeline.release(made)
+        back = spark.read.csv(path, header=True) if form == "csv" else getattr(spark.read, form)(path)
+        assert back.count() == 2
+
+
+def test_healed_runs_are_complete(spark):
+    from weftline.operators import lineage
+
+    runs = spark.createDataFrame([("r", "p", "healed", "2024-01-01")], "run_id string, name string, status string, completed_at string")
+    edge = spark.createDataFrame([("r", "s1", "sql", "s0", "a", "b", False)], "run_id string, step string, step_type string, in_step string, in_col string, out_col string, is_join_key boolean")
+    assert lineage.open_lineage(runs, edge).first().event_type == "COMPLETE"

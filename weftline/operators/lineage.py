@@ -88,7 +88,7 @@ def open_lineage(runs: DataFrame, edge: DataFrame) -> DataFrame:
     of = lambda df, name: df.groupBy("run_id").agg(F.sort_array(F.collect_list("name")).alias(name))
     columns = edge.groupBy("run_id").agg(F.sort_array(F.collect_set(F.struct(F.concat_ws(":", "step", "out_col").alias("output"), F.concat_ws(":", "in_step", "in_col").alias("input")))).alias("columnLineage"))
     status = F.lower("status")
-    kind = F.when(status.isin("completed", "success"), "COMPLETE").when(status == "failed", "FAIL").when(status == "cancelled", "ABORT").when(status == "running", "RUNNING").otherwise("START")
+    kind = F.when(status.isin("completed", "success", "healed"), "COMPLETE").when(status == "failed", "FAIL").when(status == "cancelled", "ABORT").when(status == "running", "RUNNING").otherwise("START")
     out = runs.join(of(sources, "inputs"), "run_id", "left").join(of(sinks, "outputs"), "run_id", "left").join(columns, "run_id", "left")
     event = F.to_json(F.struct(kind.alias("eventType"), F.col("completed_at").alias("eventTime"), F.struct(F.col("run_id").alias("runId")).alias("run"), F.struct(F.col("name")).alias("job"), "inputs", "outputs", "columnLineage"))
     return out.select("run_id", kind.alias("event_type"), event.alias("event"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arguments import StepError
 from ..operators import contracts, quality, reshape, sqlstep, transform, udf
+from ..sources import tables as tables_io
 
 
 @dataclass
@@ -20,10 +22,20 @@ class StepResult:
     frame: DataFrame
     columns_in: list[str] = field(default_factory=list)
     seen: Observation | None = None
+    inputs: list[StepResult] = field(default_factory=list)
+    report: dict | None = None
+    seconds: float = 0.0
+
+    @property
+    def rows_in(self) -> int:
+        """Rows of all the steps that this one reads; a load step reads its own rows."""
+        return sum(r.rows_out for r in self.inputs) if self.inputs else self.rows_out
 
     @property
     def rows_out(self) -> int:
-        """Counted while an action ran over the frame."""
+        """Counted while an action ran over the frame; a save step knows it from writing."""
+        if self.report:
+            return self.report["rows"]
         return self.seen.get["rows"] if self.seen else self.frame.count()
 
 
@@ -45,7 +57,6 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "deduplicate": lambda df, s: reshape.deduplicate(df, **_keep(s, "subset", "keep", "order_by")),
     "fill_nulls": lambda df, s: reshape.fill_nulls(df, s.get("columns", []), s["strategy"], **_keep(s, "constant_value", "order_by", "partition_by")),
     "compute": lambda df, s: udf.checked(udf.compute(df, s["function"], s["input_columns"], s["output_column"])),
-    "save": lambda df, s: df,
 }
 
 
@@ -53,7 +64,8 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
     """A StepResult per step, lazy until an action. tables: by the name that load steps give in ``table`` (or file_id).
 
     A step names its ``input`` (join: left and right); a validate step raises if a rule of severity error fails; ``contract`` on a step
-    is checked likewise. A step that several others read is persisted. save steps only name their file: write their frame with sources.tables.save.
+    is checked likewise. A step that several others read is persisted; release gives it up. A save step writes its input to ``path`` (or file_name) at once, by
+    the file's extension, and its report holds rows, format, bytes and path. seconds: how long a step took to plan, and a save or validate step to run.
     """
     made: dict[str, StepResult] = {}
     readers = Counter(x for s in steps for x in (s.get("input"), s.get("left"), s.get("right")) if x)
@@ -68,6 +80,7 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
         if name in made:
             raise StepError(f"two steps are called {name!r}")
         before: list[str] = []
+        began, report = time.monotonic(), None
         if kind == "load":
             source = step.get("table", step.get("file_id"))
             if source not in tables:
@@ -86,6 +99,10 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
             before = frame.columns
             if not (result := quality.verdict(quality.validate(frame, step["rules"])))["passed"]:
                 raise StepError(f"step {name!r}: {result['errors']} rules failed")
+        elif kind == "save":
+            frame = of(step["input"], step)
+            before = frame.columns
+            report = tables_io.save(frame, step["path"] if "path" in step else step["file_name"], step.get("mode", "overwrite"))
         elif kind in STEPS:
             source_frame = of(step["input"], step)
             before = source_frame.columns
@@ -102,10 +119,18 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
             frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
         if readers[name] > 1 and kind != "load":
             frame = frame.persist()
-        made[name] = StepResult(name, kind, frame, before, seen)
+        inputs = [made[x] for x in (step.get("input"), step.get("left"), step.get("right"), *step.get("inputs", {}).values()) if x in made]
+        made[name] = StepResult(name, kind, frame, before, seen, inputs, report, time.monotonic() - began)
     return made
 
 
+def release(made: dict[str, StepResult]) -> None:
+    """Give up what run persisted."""
+    for r in made.values():
+        if r.kind != "load":
+            r.frame.unpersist()
+
+
 def trial(steps: list[dict], tables: dict[str, DataFrame], rows: int = 100) -> dict:
     """The steps on at most ``rows`` rows of each table: success, columns of the last step, error."""
     try:
