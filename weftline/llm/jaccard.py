@@ -508,6 +508,7 @@ def text_classes(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Dat
     known = rows.where("texts > 2").select("s", "text_name", "own", "n").join(stars, "text_name", "left").withColumn("label", F.coalesce("label", "text_name"))
     known = cut(known, "labelled_rows")
     mixed = known.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
+    mixed = cut(mixed, "mixed")  # as with lists
     rest = cut(known.join(mixed, "s", "left_semi"), "mixed_rows")
     # large lists first: they hold most pairs, so few lists have pairs of their own
     key = F.shiftleft(F.lit(32767).cast("long") - F.least("texts", F.lit(32767)), BITS) + F.col("s")
