@@ -109,8 +109,15 @@ def test_winkler():
 
 
 def test_semantic_types(spark):
-    df = spark.createDataFrame([(k, f"u{k}@x.org", "yes" if k % 2 else "no", 1.5 * k) for k in range(50)], "user_id int, mail string, ok string, price double")
-    assert {r["column"]: r["semantic_type"] for r in profile.semantic_types(df).collect()} == {"user_id": "integer_id", "mail": "email", "ok": "boolean", "price": "currency"}
+    rows = [(k, f"u{k}@x.org", "yes" if k % 2 else "no", 1.5 * k, f"+1 555 01{k:02}", f"2024-01-{k % 28 + 1:02}T10:00:00", f"2024-01-{k % 28 + 1:02}", f"{k:08x}-0000-0000-0000-000000000000", "NSEW"[k % 4], None, f"note {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "user_id int, m string, ok string, price double, mobile string, created string, day string, u string, region string, dob string, words string")
+    found = {r["column"]: (r["semantic_type"], set(r["flags"])) for r in profile.semantic_types(df).collect()}
+    assert {c: kind for c, (kind, _) in found.items()} == {
+        "user_id": "integer_id", "m": "email", "ok": "boolean", "price": "currency", "mobile": "phone", "created": "datetime", "day": "phone", "u": "identifier", "region": "categorical", "dob": "text", "words": "text",
+    }
+    assert {"likely_id", "high_cardinality"} <= found["user_id"][1] and "likely_email" in found["m"][1] and found["ok"][1] == {"likely_boolean"}
+    assert {"likely_pii", "likely_phone"} <= found["mobile"][1] and {"likely_pii", "high_null_rate"} <= found["dob"][1] and "likely_date" in found["created"][1]
+    assert "dob" in profile.pii_columns(profile.semantic_types(df)) and not any(r["flags"] for r in profile.semantic_types(df.limit(0)).collect())
 
 
 def test_lineage_edges_and_walk(spark):
@@ -211,3 +218,53 @@ def test_healed_runs_are_complete(spark):
     runs = spark.createDataFrame([("r", "p", "healed", "2024-01-01")], "run_id string, name string, status string, completed_at string")
     edge = spark.createDataFrame([("r", "s1", "sql", "s0", "a", "b", False)], "run_id string, step string, step_type string, in_step string, in_col string, out_col string, is_join_key boolean")
     assert lineage.open_lineage(runs, edge).first().event_type == "COMPLETE"
+
+
+def test_lag_of_progress():
+    source = lambda latest, end: {"sources": [{"latestOffset": latest, "endOffset": end}]}
+    assert streams.lag(source({"t": {"0": 10, "1": 7}, "u": {"0": 3}}, {"t": {"0": 4, "1": 9}})) == 9
+    assert streams.lag(source(None, {"logOffset": 3})) is None and streams.lag({"sources": []}) is None
+
+    class Report:
+        json = '{"sources": [{"latestOffset": {"t": {"0": 5}}, "endOffset": {"t": {"0": 2}}}]}'
+
+    assert streams.lag(Report()) == 3
+
+
+def test_stream_stops_after_failures_in_a_row(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FAILURES", 2)
+    steps = [{"name": "in", "type": "stream_consume"}, {"name": "x", "type": "filter", "input": "in", "column": "gone", "operator": "gt", "value": 1}]
+    dead = []
+    batches = streams.Batches(steps, T.StructType([T.StructField("id", T.LongType())]), lambda df, b: None, lambda df, b: dead.append(df.count()))
+    batch = spark.createDataFrame([(bytearray(b"k"), bytearray(b'{"id": 1}'), "t", 0, 0)], "key binary, value binary, topic string, partition int, offset long")
+    batches(batch, 0)
+    with pytest.raises(StepError):
+        batches(batch, 1)
+    assert dead == [1] and batches.stats["failed_batches"] == 2
+
+
+def test_compute_runs_once_and_stops_beyond_the_limit(spark):
+    df = spark.range(200).selectExpr("id * 1.0D AS v")
+    with pytest.raises(StepError, match="failed on 40 of 200"):
+        udf.checked(udf.compute(df, lambda v: 1 / (int(v) % 5), ["v"], "out"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        calls.add(len(v))
+        return v + 1
+
+    made = udf.checked(udf.compute(df, counted, ["v"], "out"))
+    assert made.agg(F.sum("out")).first()[0] == 20100.0 and made.count() == 200 and calls.value == 200
+
+
+def test_lineage_event_has_facets(spark):
+    runs = spark.createDataFrame([("r", "p", "success", "2024-01-01", 12), ("q", "p", "pending", None, None)], "run_id string, name string, status string, completed_at string, duration_ms int")
+    edge = spark.createDataFrame([("r", "s1", "load", "in.csv", "a", "b", False), ("r", "s2", "sql", "s1", "b", "c", False)], "run_id string, step string, step_type string, in_step string, in_col string, out_col string, is_join_key boolean")
+    said = {r.run_id: json.loads(r.event) for r in lineage.open_lineage(runs, edge).collect()}
+    whole = said["r"]
+    assert (whole["eventType"], whole["run"]["facets"]["runMetrics"]["durationMs"], whole["job"]["facets"]["jobType"]["jobType"]) == ("COMPLETE", 12, "PIPELINE")
+    (source,), (sink,) = whole["inputs"], whole["outputs"]
+    assert (source["namespace"], source["name"], sink["name"]) == ("file", "in.csv", "s2")
+    assert source["facets"]["columnLineage"]["fields"] == {"s1:b": {"inputFields": [{"namespace": "file", "name": "in.csv", "field": "a"}]}}
+    assert sink["facets"]["columnLineage"]["fields"]["c"]["inputFields"][0]["field"] == "b"
+    assert said["q"]["eventType"] == "START" and said["q"]["inputs"] == [] == said["q"]["outputs"]

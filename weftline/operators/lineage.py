@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
+#: Fixed values of the OpenLineage format, and the name that this library gives as its producer.
+SCHEMA_URL = "https://openlineage.io/spec/2-0-2/OpenLineage.json"
+BASE_FACET, PRODUCER = f"{SCHEMA_URL}#/definitions/BaseFacet", "weftline"
+
 RECORD = "run_id string, step string, step_type string, inputs array<string>, input_columns array<array<string>>, columns array<string>, mapping map<string,string>, join_key string, aggregations array<struct<column: string, function: string>>, group_by array<string>, index array<string>, value_column string, output_columns array<string>"
 
 
@@ -77,18 +81,48 @@ def column_pairs(results: DataFrame) -> DataFrame:
     return results.select("run_id", "step_name", F.explode("columns_in").alias("in_col"), "columns_out").select("run_id", "step_name", "in_col", F.explode("columns_out").alias("out_col"))
 
 
-def open_lineage(runs: DataFrame, edge: DataFrame) -> DataFrame:
-    """run_id, event_type and the event as JSON, with sources, sinks and column lineage. runs: run_id, name, status, completed_at.
+def _dataset(space, name, fields):
+    """An OpenLineage dataset; fields: map of a column to the (namespace, name, field) it has to do with."""
+    linked = F.transform_values(fields, lambda _, v: F.struct(v.alias("inputFields")))
+    return F.struct(space.alias("namespace"), name.alias("name"), F.struct(F.struct(F.lit(PRODUCER).alias("_producer"), F.lit(BASE_FACET).alias("_schemaURL"), linked.alias("fields")).alias("columnLineage")).alias("facets"))
+
+
+def _namespace(name):
+    file = name.startswith("file:") | name.rlike(r"\.(csv|json|parquet)$")
+    topic = name.startswith("kafka://") | name.rlike("[.-]topic$")
+    return F.when(file, "file").when(topic, "kafka").otherwise("pipeline")
+
+
+def open_lineage(runs: DataFrame, edge: DataFrame, namespace: str = "weftline") -> DataFrame:
+    """run_id, event_type and the OpenLineage run event as JSON: run and job facets, a dataset per source (step that nothing goes into) and sink with its column lineage.
 
-    Fixed values: the event types START, RUNNING, COMPLETE, FAIL, ABORT.
+    runs: run_id, name, status, completed_at and, if known, started_at, duration_ms, output_rows. Statuses: success, completed, healed (and unknown ones) are
+    COMPLETE, failed FAIL, cancelled ABORT, running RUNNING, pending START. A run without edges has no datasets.
     """
-    steps = edge.select("run_id", "step", "in_step").distinct()
-    sources = steps.select("run_id", F.col("in_step").alias("name")).join(steps.select("run_id", F.col("step").alias("name")), ["run_id", "name"], "left_anti").distinct()
-    sinks = steps.select("run_id", F.col("step").alias("name")).join(steps.select("run_id", F.col("in_step").alias("name")), ["run_id", "name"], "left_anti").distinct()
-    of = lambda df, name: df.groupBy("run_id").agg(F.sort_array(F.collect_list("name")).alias(name))
-    columns = edge.groupBy("run_id").agg(F.sort_array(F.collect_set(F.struct(F.concat_ws(":", "step", "out_col").alias("output"), F.concat_ws(":", "in_step", "in_col").alias("input")))).alias("columnLineage"))
+    links = edge.select("run_id", "step", "in_step", "in_col", "out_col").distinct()
+    sources = links.join(links.select("run_id", F.col("step").alias("in_step")).distinct(), ["run_id", "in_step"], "left_anti")
+    sinks = links.join(links.select("run_id", F.col("in_step").alias("step")).distinct(), ["run_id", "step"], "left_anti")
+
+    def datasets(rows: DataFrame, owner: str, column, label: str) -> DataFrame:
+        """Per run the array of datasets: fields by column, then columns by dataset, then datasets by run."""
+        used = F.struct(_namespace(F.col("in_step")).alias("namespace"), F.col("in_step").alias("name"), F.col("in_col").alias("field"))
+        fields = rows.groupBy("run_id", owner, column.alias("field")).agg(F.sort_array(F.collect_set(used)).alias("of"))
+        whole = fields.groupBy("run_id", owner).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "of")))).alias("fields"))
+        made = whole.select("run_id", F.struct(F.col(owner).alias("k"), _dataset(_namespace(F.col(owner)), F.col(owner), F.col("fields")).alias("d")).alias("x"))
+        return made.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["k"] < b["k"], -1).otherwise(1)), lambda x: x["d"]).alias(label))
+
+    inputs = datasets(sources, "in_step", F.concat_ws(":", "step", "out_col"), "inputs")
+    outputs = datasets(sinks, "step", F.col("out_col"), "outputs")
     status = F.lower("status")
-    kind = F.when(status.isin("completed", "success", "healed"), "COMPLETE").when(status == "failed", "FAIL").when(status == "cancelled", "ABORT").when(status == "running", "RUNNING").otherwise("START")
-    out = runs.join(of(sources, "inputs"), "run_id", "left").join(of(sinks, "outputs"), "run_id", "left").join(columns, "run_id", "left")
-    event = F.to_json(F.struct(kind.alias("eventType"), F.col("completed_at").alias("eventTime"), F.struct(F.col("run_id").alias("runId")).alias("run"), F.struct(F.col("name")).alias("job"), "inputs", "outputs", "columnLineage"))
-    return out.select("run_id", kind.alias("event_type"), event.alias("event"))
+    kind = F.when(status == "failed", "FAIL").when(status == "cancelled", "ABORT").when(status == "running", "RUNNING").when(status == "pending", "START").otherwise("COMPLETE")
+    known = lambda name, cast: (F.col(name) if name in runs.columns else F.lit(None)).cast(cast)
+    base = (F.lit(PRODUCER).alias("_producer"), F.lit(BASE_FACET).alias("_schemaURL"))
+    metrics = F.struct(*base, known("duration_ms", "long").alias("durationMs"), known("output_rows", "long").alias("outputRowCount"), known("started_at", "string").alias("startedAt"))
+    job_type = F.struct(*base, F.lit("BATCH").alias("processingType"), F.lit("SPARK").alias("integration"), F.lit("PIPELINE").alias("jobType"))
+    event = F.to_json(F.struct(
+        kind.alias("eventType"), F.coalesce(F.col("completed_at").cast("string"), known("started_at", "string")).alias("eventTime"), F.lit(PRODUCER).alias("producer"), F.lit(SCHEMA_URL).alias("schemaURL"),
+        F.struct(F.col("run_id").alias("runId"), F.struct(metrics.alias("runMetrics")).alias("facets")).alias("run"),
+        F.struct(F.lit(namespace).alias("namespace"), F.col("name").alias("name"), F.struct(job_type.alias("jobType")).alias("facets")).alias("job"),
+        F.coalesce("inputs", F.array()).alias("inputs"), F.coalesce("outputs", F.array()).alias("outputs"),
+    ))
+    return runs.join(inputs, "run_id", "left").join(outputs, "run_id", "left").select("run_id", kind.alias("event_type"), event.alias("event"))

@@ -8,16 +8,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Hints in column names and patterns of values for semantic types.
+#: Hints in column names, patterns of values with the share that must match, and flags by name.
 NAME_HINTS = {
-    "integer_id": ("id", "key", "ref", "code", "num"), "currency": ("price", "cost", "revenue", "amount", "salary", "fee", "charge", "payment"),
-    "pii": ("email", "phone", "ssn", "name", "address", "birth", "passport", "credit"),
-}
+    "integer_id": ("id", "key", "ref", "code", "num"),
+    "currency": ("price", "cost", "revenue", "amount", "salary", "fee", "charge", "payment"),
+    "email": ("email", "mail"),
+    "phone": ("phone", "mobile", "tel", "contact"),
+    "url": ("url", "link", "href", "website"),
+    "datetime": ("date", "time", "at", "on", "created", "updated", "modified", "timestamp"),
+    "identifier": ("id", "uuid", "guid", "key", "code", "ref", "sku", "hash"),
+}
 PATTERNS = {
-    "email": r"^[\w.+-]+@[\w-]+\.[\w.]+$", "url": r"^https?://", "phone": r"^[+]?[\d\s().-]{7,15}$",
-    "datetime": r"^\d{4}-\d{2}-\d{2}|^\d{2}/\d{2}/\d{4}",
+    "email": (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", 0.8),
+    "phone": (r"^[\+\d\-\(\)\s]{7,15}$", 0.7),
+    "url": (r"^https?://", 0.5),
+    "identifier": (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", 0.5),
+    "likely_email": (r"@.*\.", 0.7),
+}
+FLAG_HINTS = {
+    "likely_pii": (
+        "name", "email", "phone", "mobile", "address", "ssn", "passport", "dob", "birthdate", "birth_date", "gender", "sex", "age", "salary", "income", "credit", "bank", "account",
+        "ip_address", "ip",
+    ),
+    "likely_id": ("_id", "id_", "_key", "uuid", "guid"),
+    "likely_date": ("date", "time", "at", "_on", "created", "updated", "timestamp"),
 }
-BOOLEAN_WORDS = ("true", "false", "yes", "no", "0", "1", "t", "f", "y", "n")
+BOOLEAN_WORDS = ("true", "false", "yes", "no", "1", "0", "t", "f", "y", "n")
+DATE_FORMS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy", "MMM d, yyyy", "d MMM yyyy")
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -98,41 +115,64 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def semantic_types(df: DataFrame) -> DataFrame:
-    """column, semantic_type and flags: from the share of values that match each pattern, distinct counts and name hints, in one aggregate over all rows."""
+    """column, semantic_type and flags, from name hints, distinct counts and the share of values that match each pattern.
+
+    One aggregate over all rows, no sample. The type of a text column is the first of boolean, email, phone, url, datetime, identifier, categorical that
+    fits, else text: each by its name hint or by its pattern (datetime: by hint, and all values must be readable as dates). Texts such as 2024-01-05 fit
+    the pattern of phone numbers, which comes first. Flags of an empty table: none.
+    """
     aggs = [F.count(F.lit(1)).alias("total")]
-    for k, n in enumerate(df.columns):
-        c = F.col(f"`{n}`")
-        text = c.cast("string")
-        aggs += [F.count(c).alias(f"n__{k}"), F.count_distinct(c).alias(f"d__{k}"), F.avg(F.lower(text).isin(*BOOLEAN_WORDS).cast("double")).alias(f"boolean__{k}"), F.avg(F.length(text)).alias(f"length__{k}")]
-        aggs += [F.avg(text.rlike(p).cast("double")).alias(f"{m}__{k}") for m, p in PATTERNS.items()]
+    for k, field in enumerate(df.schema.fields):
+        c = F.col(f"`{field.name}`")
+        aggs += [F.count(c).alias(f"n__{k}"), F.count_distinct(c).alias(f"d__{k}")]
+        if isinstance(field.dataType, T.StringType):
+            share = {m: c.rlike(p) for m, (p, _) in PATTERNS.items()} | {"boolean": F.lower(c).isin(*BOOLEAN_WORDS)}
+            if _hinted(field.name, NAME_HINTS["datetime"]):
+                share["datetime"] = F.coalesce(c.try_cast("timestamp"), *[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMS]).isNotNull() | c.isNull()
+            aggs += [F.avg(x.cast("double")).alias(f"{m}__{k}") for m, x in share.items()]
     got = df.agg(*aggs).first().asDict()
     rows = []
     for k, field in enumerate(df.schema.fields):
-        name, low, kind = field.name, field.name.lower(), field.dataType
-        n, d, total = got[f"n__{k}"], got[f"d__{k}"], got["total"]
-        share = lambda m: got[f"{m}__{k}"] or 0.0  # noqa: B023, E731
-        unique = d / total if total else 0.0
-        if isinstance(kind, T.BooleanType):
-            found = "boolean"
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            found = "datetime"
-        elif isinstance(kind, T.NumericType):
-            whole = isinstance(kind, T.IntegralType)
-            found = "integer_id" if n and whole and unique > 0.9 and any(x in low for x in NAME_HINTS["integer_id"]) else "currency" if n and any(x in low for x in NAME_HINTS["currency"]) else "numeric"
-        elif not n:
-            found = "text"
-        elif share("boolean") == 1.0:
-            found = "boolean"
-        else:
-            found = next((m for m in ("email", "url", "datetime", "phone") if share(m) > 0.8), None) or ("identifier" if unique > 0.9 and (got[f"length__{k}"] or 0) < 50 else "categorical" if n and d / n < 0.1 or d <= 20 else "text")
-        null_rate = 1 - n / total if total else 0.0
-        flags = [f for f, yes in (
-            ("likely_pii", found in ("email", "phone") or any(x in low for x in NAME_HINTS["pii"])), ("likely_id", found in ("integer_id", "identifier")), ("likely_date", found == "datetime"), ("likely_boolean", found == "boolean"),
-            ("likely_email", found == "email"), ("likely_phone", found == "phone"), ("high_cardinality", unique > 0.9), ("low_cardinality", 1 < d <= 10), ("high_null_rate", null_rate > 0.2), ("constant", d == 1),
-        ) if yes]
-        rows.append((name, found, flags))
+        of = {m.removesuffix(f"__{k}"): v for m, v in got.items() if m.endswith(f"__{k}")} | {"total": got["total"]}
+        rows.append((field.name, _type_of(field, of), _flags_of(field, of)))
     return df.sparkSession.createDataFrame(rows, "column string, semantic_type string, flags array<string>")
 
 
+def _hinted(name: str, hints: tuple) -> bool:
+    return any(x in name.lower() for x in hints)
+
+
+def _type_of(field: T.StructField, of: dict) -> str:
+    name, kind, total = field.name, field.dataType, max(of["total"], 1)
+    if isinstance(kind, T.BooleanType):
+        return "boolean"
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return "datetime"
+    if isinstance(kind, T.NumericType):
+        if of["n"] and isinstance(kind, T.IntegralType) and of["d"] / total > 0.9 and _hinted(name, NAME_HINTS["integer_id"]):
+            return "integer_id"
+        return "currency" if of["n"] and _hinted(name, NAME_HINTS["currency"]) else "numeric"
+    if not isinstance(kind, T.StringType) or not of["n"]:
+        return "text"
+    if of["boolean"] == 1.0:
+        return "boolean"
+    fits = {m: _hinted(name, NAME_HINTS[m]) or of[m] > PATTERNS[m][1] for m in ("email", "phone", "url", "identifier")}
+    fits |= {"datetime": of.get("datetime") == 1.0, "categorical": of["d"] / total < 0.05}
+    return next((m for m in ("email", "phone", "url", "datetime", "identifier", "categorical") if fits[m]), "text")
+
+
+def _flags_of(field: T.StructField, of: dict) -> list[str]:
+    if not of["total"]:
+        return []
+    unique, name = of["d"] / of["total"], field.name
+    found = {flag: _hinted(name, hints) for flag, hints in FLAG_HINTS.items()}
+    found |= {
+        "likely_boolean": of["d"] <= 2, "likely_email": (of.get("likely_email") or 0.0) > PATTERNS["likely_email"][1], "likely_phone": (of.get("phone") or 0.0) > PATTERNS["phone"][1],
+        "high_cardinality": unique > 0.9, "low_cardinality": unique < 0.01 and of["d"] > 1, "high_null_rate": 1 - of["n"] / of["total"] > 0.2, "constant": of["d"] == 1,
+    }
+    return [flag for flag, yes in found.items() if yes]
+
+
 def pii_columns(types: DataFrame) -> list[str]:
+    """The columns flagged likely_pii in semantic_types' result, a row per column of one table."""
     return [r["column"] for r in types.where(F.array_contains("flags", "likely_pii")).select("column").collect()]

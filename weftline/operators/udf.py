@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.arguments import StepError, need_columns, need_numeric
+from ..sources.shared import cut
 
 
 def compute(df: DataFrame, function: Callable, input_columns: Sequence[str], output_column: str) -> DataFrame:
@@ -42,8 +43,13 @@ def compute(df: DataFrame, function: Callable, input_columns: Sequence[str], out
 
 
 def checked(made: DataFrame) -> DataFrame:
-    """compute's result without __error; fails if more than max(10, a tenth) of the rows failed. One aggregate is run."""
-    rows, bad = made.agg(F.count("*"), F.count("__error")).first()
+    """compute's result without __error; fails if more than max(10, a tenth) of the rows failed.
+
+    The result is written once to the shared folder and counted while it is written, so that the function runs once for the check and for all that reads the result.
+    """
+    seen = Observation()
+    written = cut(made.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("__error").alias("bad")), "compute")
+    rows, bad = seen.get["rows"], seen.get["bad"]
     if bad > max(10, rows // 10):
         raise StepError(f"compute: the function failed on {bad} of {rows} rows")
-    return made.drop("__error")
+    return written.drop("__error")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arguments import StepError
 from ..operators import contracts, quality, reshape, sqlstep, transform, udf
 from ..sources import tables as tables_io
+from ..sources.shared import cut
 
 
 @dataclass
@@ -66,6 +67,7 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
     A step names its ``input`` (join: left and right); a validate step raises if a rule of severity error fails; ``contract`` on a step
     is checked likewise. A step that several others read is persisted; release gives it up. A save step writes its input to ``path`` (or file_name) at once, by
     the file's extension, and its report holds rows, format, bytes and path. seconds: how long a step took to plan, and a save or validate step to run.
+    observe: count each step's rows while an action runs. A sort's input is then written first: a sort by ranges reads its input twice, which would count its rows twice.
     """
     made: dict[str, StepResult] = {}
     readers = Counter(x for s in steps for x in (s.get("input"), s.get("left"), s.get("right")) if x)
@@ -106,6 +108,8 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
         elif kind in STEPS:
             source_frame = of(step["input"], step)
             before = source_frame.columns
+            if observe and kind == "sort":
+                source_frame = cut(source_frame, "before-sort")
             frame = STEPS[kind](source_frame, step)
         else:
             raise StepError(f"step {name!r}: unknown type {kind!r}")

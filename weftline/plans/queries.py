@@ -510,8 +510,11 @@ for name, f in BENCH.items():
 
 
 def queries() -> dict[str, Query]:
+    from . import report_queries, stream_queries  # noqa: F401  they register themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

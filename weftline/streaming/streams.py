@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -126,24 +127,26 @@ def start(stream: DataFrame, batches: Batches, checkpoint: str, every: str = "5
 
 def stream_stats(query) -> dict:
     """Of a query's progress: batches, input rows, rows per second, batch duration and lag."""
-    progress = query.recentProgress
-    last = progress[-1] if progress else None
-    if not last:
+    progress = [_plain(p) for p in query.recentProgress]
+    if not progress:
         return {"batches": 0, "messages": 0, "rows_per_second": 0.0, "batch_ms": None, "lag": None}
-    return {"batches": len(progress), "messages": sum(p["numInputRows"] for p in progress), "rows_per_second": last["processedRowsPerSecond"], "batch_ms": last["batchDuration"] if "batchDuration" in last else None, "lag": lag(last)}
+    last = progress[-1]
+    return {"batches": len(progress), "messages": sum(p["numInputRows"] for p in progress), "rows_per_second": last.get("processedRowsPerSecond", 0.0), "batch_ms": last.get("batchDuration"), "lag": lag(last)}
 
 
-def lag(progress) -> int | None:
-    """Latest offsets less end offsets, summed over partitions; None where the source doesn't tell."""
-    import json
+def _plain(progress) -> dict:
+    """A progress report as a dict; PySpark's own objects hold offsets as the text of Python dicts, their JSON has them whole."""
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
+
 
+def lag(progress) -> int | None:
+    """Latest offsets less end offsets, summed over partitions, a partition without an end offset from 0; None where the source doesn't tell offsets by topic."""
     total, told = 0, False
-    for source in progress["sources"]:
-        latest, end = source["latestOffset"], source["endOffset"]
-        latest, end = (json.loads(x) if isinstance(x, str) and x.startswith("{") else x for x in (latest, end))
-        if isinstance(latest, dict) and isinstance(end, dict):
-            told = True
-            total += sum(max(0, n - end.get(t, {}).get(p, 0)) for t, parts in latest.items() for p, n in parts.items())
+    for source in _plain(progress)["sources"]:
+        latest, end = source.get("latestOffset"), source.get("endOffset")
+        if isinstance(latest, dict) and all(isinstance(parts, dict) for parts in latest.values()):
+            told, end = True, end if isinstance(end, dict) else {}
+            total += sum(max(0, n - end.get(topic, {}).get(p, 0)) for topic, parts in latest.items() for p, n in parts.items())
     return total if told else None
 
 
