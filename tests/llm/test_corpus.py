@@ -209,6 +209,43 @@ def test_packing(docs, texts):
         assert at == n if n else at <= 1024 and not at & (at - 1)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bm25_against_the_formula(seed):
+    rng = np.random.default_rng(seed)
+    whole = [rng.zipf(1.4, rng.integers(1, 90)) % 400 for _ in range(40)]
+    whole[7] = whole[3]
+    n, mean = len(whole), float(np.mean([len(x) for x in whole]))
+    df = np.bincount(np.concatenate([np.unique(x) for x in whole]), minlength=65536)
+    idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+    # documents of 32 ids and more show the index the rest and their packed terms
+    shown = [(x[len(x) - len(x) % 32 :].astype("<u2").tobytes(), packing.packed_terms(x.astype("<u2")) if len(x) >= 32 else None, len(x)) for x in whole]
+    index, used = packing.Shard(shown, idf, mean), np.zeros(n, bool)
+    used[[2, 5]] = True
+    for k, x in enumerate(whole):
+        score = []
+        for y in whole:
+            tf = np.bincount(y, minlength=400)[np.unique(x)]
+            score.append(float((idf[np.unique(x)] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(y) / mean))).sum()))
+        got = index.neighbours(k, used).tolist()
+        assert sorted(got) == [j for j in range(n) if not used[j]]
+        assert np.allclose([score[j] for j in got], sorted((score[j] for j in got), reverse=True))
+
+
+def test_document_frequencies_are_of_whole_documents(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    texts = [" ".join(f"w{k % 9}" for k in range(n)) + tail for n, tail in ((5, " end"), (700, ""), (2500, " last"), (0, ""))]
+    pieces = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    want = np.zeros(65538, np.int64)
+    for x in ids:
+        want[list(set(x))] += 1
+        want[65536:] += (1, len(x))
+    assert (packing.document_frequencies(pieces) == want).all()
+
+
 def test_shards(docs, texts):
     rows = sharding.shard_documents(docs.union(docs.where("doc_id = 3")).withColumn("shard", F.lit("x")).withColumn("vslot", F.lit("x")), shards=5).collect()
     assert len(rows) == 83

@@ -83,8 +83,9 @@ def encoder(path: str) -> Encoder:
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """The ids of every document and END after them, cut into full windows and a rest.
 
-    doc_id, start, length, ids_crc32, doc_tokens; for the rest (under a window) also ids and two keys of lexical likeness: the
-    smallest hashes of its pairs of neighbouring ids, under two hash functions.
+    doc_id, start, length, ids_crc32, doc_tokens; for the rest (under a window) also its ids and two keys of lexical likeness: the
+    smallest hashes of the whole document's pairs of neighbouring ids, under two hash functions. The last piece of a document of a window or more has
+    terms: the document's distinct ids and how often each occurs. A vocabulary beyond 65,536 ids is refused.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -95,51 +96,74 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
             out = []
             for doc_id, data in zip(batch.column(0).to_pylist(), encoder(path).encode([t or "" for t in batch.column(1).to_pylist()])):
                 data += end
-                n = len(data) // 4
+                ids = np.frombuffer(data, "<u4")
+                n, short = len(ids), ids.astype("<u2")
+                if ids.max() > 65535:
+                    raise ValueError(f"packing: id {ids.max()} is beyond 65535")
+                terms = packed_terms(short) if n >= window else None
                 for at in range(0, len(data) - step + 1, step):
-                    out.append((doc_id, at // 4, window, zlib.crc32(data[at : at + step]), n, None, None, None))
-                rest = data[len(data) - len(data) % step :]
-                if rest:
-                    ids = np.frombuffer(rest, "<u4").astype(np.uint64)
-                    pair = ids[:-1] << np.uint64(17) | ids[1:] if len(ids) > 1 else ids
+                    last = at + step == len(data)
+                    out.append((doc_id, at // 4, window, zlib.crc32(data[at : at + step]), n, None, terms if last else None, None, None))
+                if left := n % window:
+                    wide = ids.astype(np.uint64)
+                    pair = wide[:-1] << np.uint64(17) | wide[1:] if n > 1 else wide
                     keys = [int(((pair + np.uint64(c)) * np.uint64(m) >> np.uint64(24)).min()) for c, m in ((1, 0x9E3779B97F4A7C15), (77, 0xD6E8FEB86659FD93))]
-                    out.append((doc_id, n - len(ids), len(ids), zlib.crc32(rest), n, ids.astype("<u2").tobytes() if n and ids.max() < 65536 else None, *keys))
+                    out.append((doc_id, n - left, left, zlib.crc32(data[4 * (n - left) :]), n, short[n - left :].tobytes(), terms, *keys))
             if out:
-                kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "k1", "k2"])
+                kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "terms", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, terms binary, k1 long, k2 long")
 
 
-def document_frequencies(rests: DataFrame) -> np.ndarray:
-    """In how many rests each id occurs, and at the end the number of rests and of their ids. As many numbers as the vocabulary has."""
+def packed_terms(ids: np.ndarray) -> bytes:
+    """Distinct ids as uint16, then how often each occurs as uint32: bounded by the vocabulary, however long the document is."""
+    term, tf = np.unique(ids, return_counts=True)
+    return term.astype("<u2").tobytes() + tf.astype("<u4").tobytes()
+
+
+def unpacked_terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u2", n), np.frombuffer(data, "<u4", n, 2 * n)
+
+
+def document_frequencies(pieces: DataFrame) -> np.ndarray:
+    """In how many documents each id occurs, and at the end the number of documents and of their ids: over all whole documents. As many numbers as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(65538, np.int64)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                ids = np.frombuffer(data, "<u2")
-                df[np.unique(ids)] += 1
-                df[65536:] += (1, len(ids))
+            for data, terms, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                df[unpacked_terms(terms)[0] if terms else np.unique(np.frombuffer(data, "<u2"))] += 1
+                df[65536:] += (1, n)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], ["id", "n"])
 
     out = np.zeros(65538, np.int64)
-    for r in rests.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in pieces.where("ids is not null or terms is not null").select("ids", "terms", "doc_tokens").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
 
 class Shard:
-    """A BM25 index over the rests of one shard; terms are ids; used documents are passed over."""
-
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        n = len(ids)
-        sizes = np.fromiter(map(len, ids), np.int64, n)
-        flat = np.concatenate(ids).astype(np.int64)
-        owner = np.repeat(np.arange(n), sizes)
-        keep = idf[flat] > 0  # terms in half of all documents weigh nothing
-        pair, tf = np.unique(flat[keep] * n + owner[keep], return_counts=True)
+    """A BM25 index over the documents of one shard; terms are the ids of a whole document, and its length is theirs; used documents are passed over.
+
+    documents: (ids of the rest, packed terms or None where the rest is the whole document, ids of the whole document).
+    """
+
+    def __init__(self, documents: list[tuple], idf: np.ndarray, mean: float):
+        n = len(documents)
+        sizes = np.array([d[2] for d in documents], np.int64)
+        whole = [(k, np.frombuffer(d[0], "<u2")) for k, d in enumerate(documents) if d[1] is None]
+        long = [(k, *unpacked_terms(d[1])) for k, d in enumerate(documents) if d[1] is not None]
+        # term * n + document: below 2^32 for shards of up to 65,536
+        paired = lambda parts: np.concatenate([np.zeros(0, np.uint32), *[x[1].astype(np.uint32) * np.uint32(n) + np.uint32(x[0]) for x in parts]])
+        pair, tf = np.unique(paired(whole), return_counts=True)
+        pair, tf = np.concatenate([pair, paired(long)]), np.concatenate([tf, *[x[2] for x in long]]).astype(np.int64)
+        keep = idf[pair // n] > 0  # terms in half of all documents weigh nothing
+        pair, tf = pair[keep], tf[keep]
+        order = np.argsort(pair)
+        pair, tf = pair[order].astype(np.int64), tf[order]
         term, doc = pair // n, pair % n
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.doc = doc
@@ -172,7 +196,7 @@ def fill_windows(rows: Iterator[list[tuple]], idf: np.ndarray, mean: float, firs
     """
     sequence, room, held = first_id, window, []  # held: pieces of the open window
     for shard in rows:
-        index = Shard([np.frombuffer(r[5], "<u2") for r in shard], idf, mean)
+        index = Shard([(r[5], r[6], r[4]) for r in shard], idf, mean)
         used = np.zeros(len(shard), bool)
         left = np.array([r[2] for r in shard], np.int64)
         seed = 0
@@ -223,8 +247,8 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
     """Pieces of all documents in sequences of at most ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Full windows of a document are sequences of their own. The rests are put in lexical order (by min-hash keys, then id), dealt by range
-    over tasks and taken in shards of SHARD documents; each has a BM25 index with statistics of all rests, whose neighbours of a seed fill
-    its window. Equal texts, however many, go to as many shards as they fill.
+    over tasks and taken in shards of SHARD documents; each has a BM25 index of the whole documents, with statistics of all documents, whose neighbours of a
+    seed fill its window. Equal texts, however many, go to as many shards as they fill.
     Null and empty texts are the one END id; rows that repeat a doc_id are packed each; ids are handed to tasks as uint16 (the vocabulary is smaller);
     an empty table gives no rows; other columns are left aside. path: the tokenizer's file, readable on every executor.
     """
@@ -233,7 +257,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
     kind = dict(docs.dtypes)["doc_id"]
     pieces = cut(token_pieces(docs, path, window), "pieces")
     rests = pieces.where("ids is not null")
-    df = document_frequencies(rests)
+    df = document_frequencies(pieces)
     n, mean = max(1, int(df[65536])), max(1.0, df[65537] / max(1, df[65536]))
     idf = np.maximum(0.0, np.log((n - df[:65536] + 0.5) / (df[:65536] + 0.5)))
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // SHARD))
@@ -243,7 +267,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
         def shards():
             rows: list[tuple] = []
             for batch in batches:
-                rows += zip(*(batch.column(k).to_pylist() for k in range(6)))
+                rows += zip(*(batch.column(k).to_pylist() for k in range(7)))
                 while len(rows) >= SHARD:
                     yield rows[:SHARD]
                     rows = rows[SHARD:]
@@ -264,6 +288,6 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
 
     ids_kind = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    packed = ordered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids").mapInArrow(run, schema)
+    packed = ordered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "terms").mapInArrow(run, schema)
     full = pieces.where("ids is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.union(full)
