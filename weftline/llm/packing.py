@@ -20,6 +20,8 @@ from .common import cut, prepare
 WINDOW, SHARD, K1, B = 1024, 512, 1.2, 0.75
 #: Fixed value: the id of the special string inside texts, as the tokenizer's file has it. END follows each document.
 SPECIAL, SPECIAL_ID, END = "<|endoftext|>", 50256, 0
+#: A list that holds a document in so many of its shard is long; long lists are multiplied in blocks of so many terms.
+COMMON, BLOCK = 8, 1024
 #: Words kept in a worker's table at most.
 CACHE = 600_000
 #: A space with white space on both sides, or at the end after other white space: there the split pattern looks past the next word.
@@ -107,7 +109,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 if left := n % window:
                     wide = ids.astype(np.uint64)
                     pair = wide[:-1] << np.uint64(17) | wide[1:] if n > 1 else wide
-                    keys = [int(((pair + np.uint64(c)) * np.uint64(m) >> np.uint64(24)).min()) for c, m in ((1, 0x9E3779B97F4A7C15), (77, 0xD6E8FEB86659FD93))]
+                    keys = [int(((pair + np.uint64(c)) * np.uint64(m)).min() >> np.uint64(24)) for c, m in ((1, 0x9E3779B97F4A7C15), (77, 0xD6E8FEB86659FD93))]
                     out.append((doc_id, n - left, left, zlib.crc32(data[4 * (n - left) :]), n, short[n - left :].tobytes(), terms, *keys))
             if out:
                 kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
@@ -145,6 +147,12 @@ def document_frequencies(pieces: DataFrame) -> np.ndarray:
     return out
 
 
+def starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and how long it is."""
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(ordered)))
+
+
 class Shard:
     """A BM25 index over the documents of one shard; terms are the ids of a whole document, and its length is theirs; used documents are passed over.
 
@@ -162,28 +170,39 @@ class Shard:
         pair, tf = np.concatenate([pair, paired(long)]), np.concatenate([tf, *[x[2] for x in long]]).astype(np.int64)
         keep = idf[pair // n] > 0  # terms in half of all documents weigh nothing
         pair, tf = pair[keep], tf[keep]
-        order = np.argsort(pair)
+        order = np.argsort(pair, kind="stable")
         pair, tf = pair[order].astype(np.int64), tf[order]
         term, doc = pair // n, pair % n
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
-        self.doc = doc
-        self.terms, begin = np.unique(term, return_index=True)
-        self.begin = np.append(begin, len(term))
-        order = np.lexsort((term, doc))  # a document's terms, as places in self.terms
-        self.own = np.searchsorted(self.terms, term[order])
-        self.own_begin = np.searchsorted(doc[order], np.arange(n + 1))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+        begin, width = starts(term)
+        place = np.repeat(np.arange(len(begin)), width)
+        common = width * COMMON >= n
+        # long lists: all pairs of the shard's documents at once, in blocks of terms
+        self.base, number, at = np.zeros((n, n)), np.cumsum(common) - 1, np.flatnonzero(common[place])
+        for first in range(0, int(common.sum()), BLOCK):
+            held = at[(number[place[at]] >= first) & (number[place[at]] < first + BLOCK)]
+            block = np.zeros((min(BLOCK, int(common.sum()) - first), n))
+            block[number[place[held]] - first, doc[held]] = weight[held]
+            self.base += (block > 0).astype(np.float64).T @ block
+        # short lists: one by one, for each seed
+        rare = np.flatnonzero(~common[place])
+        self.weight, self.doc = weight[rare], doc[rare]
+        self.begin, width = starts(term[rare])
+        self.begin = np.append(self.begin, len(rare))
+        order = np.argsort(self.doc.astype(np.uint16) if n <= 65536 else self.doc, kind="stable")  # a document's terms, as places of lists
+        self.own = np.repeat(np.arange(len(width)), width)[order]
+        self.own_begin = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.n = n
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score for the seed's distinct terms; equal scores by place."""
+        """Unused documents by falling score for the seed's distinct terms; scores equal to six digits by place."""
         at = self.own[self.own_begin[seed] : self.own_begin[seed + 1]]
         width = self.begin[at + 1] - self.begin[at]
+        score = self.base[seed]
         if len(at):
             places = np.repeat(self.begin[at] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-            score = np.bincount(self.doc[places], self.weight[places], self.n)
-        else:
-            score = np.zeros(self.n)
-        order = np.argsort(-score, kind="stable")
+            score = score + np.bincount(self.doc[places], self.weight[places], self.n)
+        order = np.argsort(-np.round(score, 6), kind="stable")
         return order[~used[order]]
 
 
@@ -198,7 +217,7 @@ def fill_windows(rows: Iterator[list[tuple]], idf: np.ndarray, mean: float, firs
     for shard in rows:
         index = Shard([(r[5], r[6], r[4]) for r in shard], idf, mean)
         used = np.zeros(len(shard), bool)
-        left = np.array([r[2] for r in shard], np.int64)
+        left = [r[2] for r in shard]
         seed = 0
         while True:
             while seed < len(shard) and used[seed]:
@@ -212,15 +231,15 @@ def fill_windows(rows: Iterator[list[tuple]], idf: np.ndarray, mean: float, firs
                 if not room:
                     break
                 if left[k] <= room:
-                    held.append((shard[k], int(shard[k][2] - left[k]), int(left[k]), window - room))
-                    room -= int(left[k])
+                    held.append((shard[k], shard[k][2] - left[k], left[k], window - room))
+                    room -= left[k]
                     used[k] = True
                 elif carry is None:
                     carry = k
                     if room < window // 8:  # little room: cut now instead of looking for short ones
                         break
             if room and carry is not None:
-                held.append((shard[carry], int(shard[carry][2] - left[carry]), room, window - room))
+                held.append((shard[carry], shard[carry][2] - left[carry], room, window - room))
                 left[carry] -= room
                 room = 0
                 seed = min(seed, carry)
