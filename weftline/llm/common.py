@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, cut_at, discard
 
-__all__ = ["DOCUMENT_COLUMNS", "components", "cut", "cut_at", "discard", "prepare", "private", "table"]
+__all__ = ["DOCUMENT_COLUMNS", "components", "cut", "cut_at", "discard", "prepare", "private", "readable", "table"]
 
 #: Column order of ``documents``; pipeline stages return exactly these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,6 +27,11 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def readable(column: str) -> Column:
+    """A text column whose invalid UTF-8 is replaced by U+FFFD: all bytes, lengths and hashes are of that text. Other types are read as text."""
+    return F.make_valid_utf8(F.col(column).cast("string")).alias(column)
+
+
 def private(columns: list[str], name: str) -> str:
     """name, made longer until no column (in any case) has it."""
     taken = {c.lower() for c in columns}

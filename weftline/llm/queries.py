@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, fingerprints, jaccard, mixing, packing, quality, sharding, tokens, toxicity, urls
+from . import divergence, embed_dedup, fingerprints, jaccard, mixing, packing, periodic, quality, recursive_bpe, sharding, tokens, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -64,6 +70,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "spans")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recursive_bpe.encoding_digests(recursive_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), split_pattern(), decoded=True))
+
+
 #: All pairs by dot product; exact, and slow beyond small tables.
 OP4_SQL = """
 WITH RECURSIVE v AS (
@@ -91,11 +109,31 @@ c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+#: Every term against every source, by integer division of 128-bit integers.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS total FROM o GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, t.term, t.total FROM g JOIN t USING (lang)),
+n AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL),
+f AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n, total::HUGEINT AS total FROM c LEFT JOIN n USING (lang, source, term)),
+s AS (SELECT lang, source, term, n,
+  1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p,
+  1 + (1000000000 * (total + 5)) // (sum(total) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS q FROM f),
+v AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_merkle_fingerprints, op2_mix_sources, op3_token_counts, op4_embedding_dedup, op5_url_filter, op6_lexical_packing, op7_slot_sharding, op8_jaccard_join, op9_quality_classifier, op10_toxicity)
+    made = (op1_merkle_fingerprints, op2_mix_sources, op3_token_counts, op4_embedding_dedup, op5_url_filter, op6_lexical_packing, op7_slot_sharding, op8_jaccard_join, op9_quality_classifier, op10_toxicity, op11_periodic_runs, op12_source_divergence, op13_recursive_bpe)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": OP4_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op4_embedding_dedup": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op12_source_divergence": OP12_SQL}
