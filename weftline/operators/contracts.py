@@ -39,9 +39,9 @@ def violations(df: DataFrame, contract: dict, output: bool = False) -> DataFrame
         if spec.get("unique"):
             ask(name, "unique", "error" if output else "warning", F.count(c) - F.count_distinct(c), "0")
         if spec.get("min_value") is not None:
-            ask(name, "min_value", "error", F.count_if(c < F.lit(spec["min_value"])), f">= {spec['min_value']}")
+            ask(name, "min_value", "error", F.count_if((c < F.lit(spec["min_value"])) & ~_nan(df, name)), f">= {spec['min_value']}")
         if spec.get("max_value") is not None:
-            ask(name, "max_value", "error", F.count_if(c > F.lit(spec["max_value"])), f"<= {spec['max_value']}")
+            ask(name, "max_value", "error", F.count_if((c > F.lit(spec["max_value"])) & ~_nan(df, name)), f"<= {spec['max_value']}")
         if spec.get("allowed_values") is not None:
             inside = c.cast("string").isin([str(v) for v in spec["allowed_values"]])
             ask(name, "allowed_values", "error", F.count_if(~F.coalesce(inside, F.lit(not output))), ", ".join(map(str, spec["allowed_values"])))
@@ -49,7 +49,8 @@ def violations(df: DataFrame, contract: dict, output: bool = False) -> DataFrame
             ask(name, "pattern", "error", F.count_if(~c.cast("string").rlike(f"^(?:{spec['pattern']})$")), spec["pattern"])
     for name, percent in contract.get("null_thresholds", {}).items():
         if name in kinds:
-            ask(name, "null_rate", "warning", F.greatest(F.lit(0.0), 100.0 * F.count_if(F.col(f"`{name}`").isNull()) / F.greatest(F.lit(1), F.count(F.lit(1))) - percent), f"<= {percent} %")
+            rate = 100.0 * F.count_if(F.col(f"`{name}`").isNull()) / F.greatest(F.lit(1), F.count(F.lit(1)))
+            ask(name, "null_rate", "warning", F.when(rate > percent, rate), f"<= {percent} %")
     got = df.agg(*aggs).first().asDict()
     n = got["rows"]
     for alias, name, rule, severity, expected in later:
@@ -64,6 +65,11 @@ def violations(df: DataFrame, contract: dict, output: bool = False) -> DataFrame
     return spark.createDataFrame(rows, VIOLATION)
 
 
+def _nan(df: DataFrame, name: str):
+    """Not-a-number, which is no value: neither below a minimum nor above a maximum."""
+    return F.isnan(F.col(f"`{name}`")) if dict(df.dtypes)[name] in ("double", "float") else F.lit(False)
+
+
 def breach(found: DataFrame, severity: str = "block") -> dict:
     """Counts by severity; blocked only if the contract blocks and an error exists."""
     n = {r["severity"]: r["n"] for r in found.groupBy("severity").agg(F.count("*").alias("n")).collect()}

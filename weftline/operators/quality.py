@@ -29,7 +29,7 @@ def date_pattern(form: str) -> str:
 def fails(rule: dict) -> Column:
     """True for rows that break a row rule; null counts as kept unless said."""
     c, check = F.col(f"`{rule['column']}`"), rule["check"]
-    number = F.expr(f"try_cast(`{rule['column']}` as double)")
+    number = F.nanvl(F.expr(f"try_cast(`{rule['column']}` as double)"), F.lit(None))  # not-a-number is no value
     text = c.cast("string")
     if check == "not_null":
         return c.isNull()
@@ -53,14 +53,14 @@ def fails(rule: dict) -> Column:
     raise StepError(f"unknown check {check!r}")
 
 
-def validate(df: DataFrame, rules: list[dict], examples: int = 0) -> DataFrame:
-    """A row per rule: position, check, column, severity, passed, failing, total, message and, if wanted, example values.
+def validate(df: DataFrame, rules: list[dict], examples: int = 3) -> DataFrame:
+    """A row per rule: position, check, column, severity, passed, failing, total, message and at most ``examples`` failing values.
 
-    A rule on a missing column or with an unknown check is a failed rule. The row rules are conditional counts of one aggregate; no_duplicates adds
+    A rule on a missing column or with an unknown check is a failed rule on all rows, one with a pattern that can't be read a failed rule on none. The row rules are conditional counts of one aggregate; no_duplicates adds
     distinct counts to it. The table has one row per rule.
     """
     spark = df.sparkSession
-    aggs, notes = [F.count(F.lit(1)).alias("total")], {}
+    aggs, notes, unread = [F.count(F.lit(1)).alias("total")], {}, set()
     for k, rule in enumerate(rules):
         check = rule.get("check")
         try:
@@ -75,6 +75,7 @@ def validate(df: DataFrame, rules: list[dict], examples: int = 0) -> DataFrame:
                 aggs.append(F.count_if(fails(rule)).alias(f"r{k}"))
         except (StepError, re.error, KeyError, TypeError, ValueError) as e:
             notes[k] = f"{type(e).__name__}: {e}"
+            unread.update([k] if isinstance(e, re.error) else [])
     got = df.agg(*aggs).first().asDict()
     total, rows = got["total"], []
     for k, rule in enumerate(rules):
@@ -84,10 +85,12 @@ def validate(df: DataFrame, rules: list[dict], examples: int = 0) -> DataFrame:
         elif check == "max_rows":
             failing = max(0, total - int(rule["value"]))
         else:
-            failing = total if k in notes else int(got[f"r{k}"] or 0)
+            failing = 0 if k in unread else total if k in notes else int(got[f"r{k}"] or 0)
         shown: list[str] = []
-        if examples and failing and k not in notes and check not in ("min_rows", "max_rows", "no_duplicates"):
-            shown = [str(r[0]) for r in df.where(fails(rule)).select(F.col(f"`{rule['column']}`").cast("string")).limit(examples).collect()]
+        if examples and failing and k not in notes and check not in ("min_rows", "max_rows"):
+            c = F.col(f"`{rule['column']}`")
+            broken = df.groupBy(c.alias("c")).agg(F.count("*").alias("n")).where("n > 1") if check == "no_duplicates" else df.where(fails(rule)).select(c.alias("c"))
+            shown = [str(r[0]) for r in broken.select(F.col("c").cast("string")).limit(examples).collect()]
         rows.append((k, check, rule.get("column"), rule.get("severity", "error"), failing == 0 and k not in notes, failing, total, notes.get(k), shown))
     return spark.createDataFrame(rows, "position int, check string, column string, severity string, passed boolean, failing long, total long, message string, examples array<string>")
 

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def run_stats(runs: DataFrame) -> DataFrame:
-    """One row: total, completed, failed, running, pending, cancelled, success_rate (percent of ended runs), avg_duration_ms."""
-    status = lambda s: F.count_if(F.col("status") == s)
+    """One row: total, completed (healed runs too), failed, running, pending, cancelled, success_rate, avg_duration_ms.
+
+    success_rate: completed runs in percent of all, to one digit; 0 without runs. avg_duration_ms: whole, over all runs with both times; 0 without any.
+    """
+    status = lambda *s: F.count_if(F.col("status").isin(*s))
     ms = (F.unix_millis(F.col("completed_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))).cast("double")
-    ended = status("completed") + status("failed")
+    completed = status("completed", "healed")
     return runs.agg(
-        F.count("*").alias("total"), *[status(s).alias(s) for s in ("completed", "failed", "running", "pending", "cancelled")],
-        F.round(F.when(ended > 0, 100.0 * status("completed") / ended).otherwise(0.0), 2).alias("success_rate"), F.round(F.avg(F.when(F.col("status") == "completed", ms)), 2).alias("avg_duration_ms"),
+        F.count("*").alias("total"), completed.alias("completed"), *[status(s).alias(s) for s in ("failed", "running", "pending", "cancelled")],
+        F.when(F.count("*") > 0, F.bround(100.0 * completed / F.count("*"), 1)).otherwise(0.0).alias("success_rate"), F.coalesce(F.bround(F.avg(ms)), F.lit(0.0)).cast("long").alias("avg_duration_ms"),
     )
 
 
@@ -30,22 +33,27 @@ def run_timing(steps: DataFrame, run_id) -> DataFrame:
 
 
 def step_medians(steps: DataFrame) -> DataFrame:
-    """step_type, median_ms, samples over steps with a duration above 0."""
-    return steps.where("duration_ms > 0").groupBy("step_type").agg(F.percentile("duration_ms", 0.5).alias("median_ms"), F.count("*").alias("samples"))
+    """step_type, median_ms, samples over steps with a duration and input rows above 0."""
+    return steps.where("duration_ms > 0 AND rows_in > 0").groupBy("step_type").agg(F.percentile("duration_ms", 0.5).alias("median_ms"), F.count("*").alias("samples"))
 
 
 def schedule_stats(runs: DataFrame) -> DataFrame:
-    """Per schedule: successful, healed and failed runs and the last status."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    return runs.where("schedule_id is not null").groupBy("schedule_id").agg(n("completed").alias("successful_runs"), n("healed").alias("healed_runs"), n("failed").alias("failed_runs"), F.max_by("status", F.struct("created_at", "id")).alias("last_status"))
+    """Per schedule: successful, healed and failed runs (breaches of a contract too) and the last status."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    rows = runs.where("schedule_id is not null").groupBy("schedule_id")
+    return rows.agg(n("completed").alias("successful_runs"), n("healed").alias("healed_runs"), n("failed", "contract_violation").alias("failed_runs"), F.max_by("status", F.struct("created_at", "id")).alias("last_status"))
+
+
+def _recent(events: DataFrame, now: str, days: int) -> DataFrame:
+    return events.where(F.col("created_at") > F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
 def storage_by_tier(events: DataFrame, now: str, days: int = 7) -> DataFrame:
-    since = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    return events.where(F.col("created_at") >= since).groupBy("tier").agg(F.count("*").alias("events"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes"), F.round(F.avg("duration_ms"), 4).alias("avg_ms"))
+    """tier, events, bytes and mean duration (to two digits) of the storage events after so many days before now."""
+    return _recent(events, now, days).groupBy("tier").agg(F.count("*").alias("events"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.round(F.avg("duration_ms"), 2), F.lit(0.0)).alias("avg_ms"))
 
 
 def storage_growth(events: DataFrame, now: str, days: int = 7) -> DataFrame:
-    since = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    rows = events.where((F.col("created_at") >= since) & (F.col("event_type") == "write"))
-    return rows.groupBy(F.to_date("created_at").alias("day")).agg(F.round(F.coalesce(F.sum("payload_bytes"), F.lit(0)) / (1024 * 1024), 6).alias("mb"))
+    """day, mb (to one digit) of what was written to any tier (write_hot, write_warm, write_cold) on each of the last days."""
+    rows = _recent(events, now, days).where(F.col("event_type").like("write_%"))
+    return rows.groupBy(F.to_date("created_at").alias("day")).agg(F.round(F.coalesce(F.sum("payload_bytes"), F.lit(0)) / (1024 * 1024), 1).alias("mb"))

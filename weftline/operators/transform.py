@@ -118,8 +118,14 @@ def join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", null_sa
 NUMERIC = ("sum", "mean", "avg", "median", "std", "var", "p50", "p95")
 
 
-def aggregate_column(df: DataFrame, column: str, function: str, order_by: Sequence[str] = (), approximate: bool = False) -> Column:
+def values_of(df: DataFrame, column: str) -> Column:
+    """The column's values; not-a-number is none."""
     c = F.col(f"`{column}`")
+    return F.nanvl(c, F.lit(None).cast(df.schema[column].dataType)) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else c
+
+
+def aggregate_column(df: DataFrame, column: str, function: str, order_by: Sequence[str] = (), approximate: bool = False) -> Column:
+    c = values_of(df, column)
     if function in NUMERIC:
         need_numeric(df, column, f"aggregate {function}")
     if function in ("first", "last"):

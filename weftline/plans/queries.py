@@ -213,7 +213,7 @@ CONTRACT_SQL = {
 }
 for name, (rule, sql) in CONTRACT_SQL.items():
     add(name, lambda s, d, rule=rule: contracts.violations(holed(s, d), CONTRACT).where(F.col("rule") == rule).select("rule", F.col("actual").cast("double").alias("actual")), f"SELECT '{rule}' AS rule, ({sql})::DOUBLE AS actual FROM {HOLED} HAVING ({sql}) > 0")
-add("ct8_null_rate", lambda s, d: contracts.violations(holed(s, d), CONTRACT).where("rule = 'null_rate'").select("rule", "column"), f"SELECT 'null_rate' AS rule, 'value' AS \"column\" FROM {HOLED} HAVING 100.0 * count(*) FILTER (value IS NULL) / count(*) > 5")
+add("ct8_null_rate", lambda s, d: contracts.violations(holed(s, d), CONTRACT).where("rule = 'null_rate'").select("rule", "column", "actual", "expected"), f"SELECT 'null_rate' AS rule, 'value' AS \"column\", format('{{:g}}', 100.0::DOUBLE * count(*) FILTER (value IS NULL) / count(*)) AS actual, '<= 5 %' AS expected FROM {HOLED} HAVING 100.0 * count(*) FILTER (value IS NULL) / count(*) > 5")
 
 # --- SQL step -------------------------------------------------------------------------------------------------------------------
 SQL_STEPS = {
@@ -380,35 +380,47 @@ GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(
 add("cat7_search", lambda s, d: catalog.search(upserted(s, d), "Asset 11", limit=20).select("name", "similarity"),
     f"SELECT name, round(len(list_intersect({GRAMS.format('name')}, {GRAMS.format(chr(39) + 'Asset 11' + chr(39))})) / len(list_distinct(list_concat({GRAMS.format('name')}, {GRAMS.format(chr(39) + 'Asset 11' + chr(39))}))), 4)::DOUBLE AS similarity FROM {UPSERTED} WHERE contains(lower(name), 'asset 11') ORDER BY similarity DESC, name LIMIT 20")
 NOW = "2024-01-20 00:00:00"
-add("cat8_orphans", lambda s, d: catalog.orphans(upserted(s, d), NOW, 1).select("name", "last_seen_at"), f"SELECT name, last_seen_at FROM {UPSERTED} WHERE asset_type IN ('file', 'column') AND last_seen_at < TIMESTAMP '{NOW}' - INTERVAL 1 DAY ORDER BY last_seen_at, name LIMIT 100")
+SEEN_UNTIL = "2024-01-31 12:00:00"
+add("cat8_orphans", lambda s, d: catalog.orphans(upserted(s, d), SEEN_UNTIL, 1).select("name", "last_seen_at"), f"SELECT name, last_seen_at FROM {UPSERTED} WHERE asset_type IN ('file', 'column') AND last_seen_at < TIMESTAMP '{SEEN_UNTIL}' - INTERVAL 1 DAY ORDER BY last_seen_at, name LIMIT 100")
 add("cat9_stats", lambda s, d: catalog.catalog_stats(upserted(s, d), event_edges(s, d)), f"SELECT asset_type AS kind, count(*) AS n FROM {UPSERTED} GROUP BY 1 UNION ALL SELECT 'edges', count(*) FROM events")
 
 
 def event_runs(s, d):
-    """events as a run log."""
-    status = F.element_at(F.create_map(*map(F.lit, ("purchase", "completed", "view", "completed", "click", "failed", "signup", "running"))), F.col("event_type"))
-    e = t(s, d, "events")
-    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("p"), F.col("user_id") % 60).alias("name"), F.coalesce(status, F.lit("pending")).alias("status"), F.col("ts").alias("created_at"), F.col("ts").alias("started_at"), F.timestamp_add("SECOND", F.col("value").cast("int"), "ts").alias("completed_at"), (F.col("user_id") % 9).alias("schedule_id"), F.col("value").alias("duration_ms"), (F.col("event_id") % 40).alias("run_id"), F.col("event_type").alias("step_type"))
-
-
-RUNS = "(SELECT event_id AS id, 'p' || (user_id % 60)::VARCHAR AS name, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'completed' WHEN 'click' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'pending' END AS status, ts AS created_at, ts AS started_at, ts + to_seconds(trunc(value)::BIGINT) AS completed_at, user_id % 9 AS schedule_id, value AS duration_ms, event_id % 40 AS run_id, event_type AS step_type FROM events)"
+    """events as a run log, with healed runs, breaches of contracts, runs without an end or a start, and steps without input rows."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    status = F.when(kind == "purchase", F.when(i % 3 == 0, "healed").otherwise("completed")).when(kind == "view", "completed").when(kind == "click", F.when(i % 4 == 0, "contract_violation").otherwise("failed")).when(kind == "signup", "running").otherwise("pending")
+    ended = F.when(~kind.isin("signup", "error"), F.timestamp_add("SECOND", F.col("value").cast("int"), "ts"))
+    rows_in = F.when(i % 7 != 0, i % 5)
+    return t(s, d, "events").select(
+        i.alias("id"), F.concat(F.lit("p"), F.col("user_id") % 60).alias("name"), status.alias("status"), F.col("ts").alias("created_at"), F.when(kind != "error", F.col("ts")).alias("started_at"), ended.alias("completed_at"), (F.col("user_id") % 9).alias("schedule_id"),
+        F.col("value").alias("duration_ms"), (i % 40).alias("run_id"), kind.alias("step_type"), rows_in.alias("rows_in"),
+    )
+
+
+RUNS = """(SELECT event_id AS id, 'p' || (user_id % 60)::VARCHAR AS name, CASE event_type WHEN 'purchase' THEN if(event_id % 3 = 0, 'healed', 'completed') WHEN 'view' THEN 'completed'
+  WHEN 'click' THEN if(event_id % 4 = 0, 'contract_violation', 'failed') WHEN 'signup' THEN 'running' ELSE 'pending' END AS status, ts AS created_at, CASE WHEN event_type <> 'error' THEN ts END AS started_at,
+  CASE WHEN event_type NOT IN ('signup', 'error') THEN ts + to_seconds(trunc(value)::BIGINT) END AS completed_at, user_id % 9 AS schedule_id, value AS duration_ms, event_id % 40 AS run_id, event_type AS step_type, CASE WHEN event_id % 7 <> 0 THEN event_id % 5 END AS rows_in FROM events)"""
 add("cat10_latest_runs", lambda s, d: catalog.latest_runs(event_runs(s, d), limit=50).select("name", "id", "status"), f"SELECT name, id, status FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at DESC, id DESC) AS k FROM {RUNS}) WHERE k = 1 ORDER BY created_at DESC, id LIMIT 50")
-COUNTS = ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("completed", "failed", "running", "pending", "cancelled"))
-add("run1_stats", lambda s, d: runs.run_stats(event_runs(s, d)), f"SELECT count(*) AS total, {COUNTS}, round(100.0 * count(*) FILTER (status = 'completed') / count(*) FILTER (status IN ('completed', 'failed')), 2)::DOUBLE AS success_rate, round(avg(epoch_ms(completed_at) - epoch_ms(started_at)) FILTER (status = 'completed'), 2) AS avg_duration_ms FROM {RUNS}")
+COUNTS = ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("failed", "running", "pending", "cancelled"))
+add("run1_stats", lambda s, d: runs.run_stats(event_runs(s, d)),
+    f"SELECT count(*) AS total, count(*) FILTER (status IN ('completed', 'healed')) AS completed, {COUNTS}, CASE WHEN count(*) > 0 THEN round_even(100.0 * count(*) FILTER (status IN ('completed', 'healed'))::DOUBLE / count(*), 1) ELSE 0 END AS success_rate, coalesce(round_even(avg(epoch_ms(completed_at) - epoch_ms(started_at)) FILTER (started_at IS NOT NULL AND completed_at IS NOT NULL), 0), 0)::BIGINT AS avg_duration_ms FROM {RUNS}")
 add("run2_top_pipelines", lambda s, d: runs.top_pipelines(event_runs(s, d)), f"SELECT name, count(*) AS runs FROM {RUNS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 add("run3_recent", lambda s, d: runs.recent_activity(event_runs(s, d)).select("id", "name", "status"), f"SELECT id, name, status FROM {RUNS} ORDER BY created_at DESC, id LIMIT 10")
 add("run4_timing", lambda s, d: runs.run_timing(event_runs(s, d).select("run_id", F.col("id").alias("step_index"), F.col("name").alias("step_name"), "step_type", F.lit(1).alias("rows_in"), F.lit(1).alias("rows_out"), "duration_ms"), 7).select("step_index", "step_name", "duration_ms"), f"SELECT id AS step_index, name AS step_name, duration_ms FROM {RUNS} WHERE run_id = 7 ORDER BY id")
-add("run5_step_medians", lambda s, d: rounded(runs.step_medians(event_runs(s, d))), f"SELECT step_type, round(median(duration_ms), 4) AS median_ms, count(*) AS samples FROM {RUNS} WHERE duration_ms > 0 GROUP BY 1")
-add("run6_schedules", lambda s, d: runs.schedule_stats(event_runs(s, d)), f"SELECT schedule_id, count(*) FILTER (status = 'completed') AS successful_runs, count(*) FILTER (status = 'healed') AS healed_runs, count(*) FILTER (status = 'failed') AS failed_runs, arg_max(status, (created_at, id)) AS last_status FROM {RUNS} GROUP BY 1")
+add("run5_step_medians", lambda s, d: rounded(runs.step_medians(event_runs(s, d))), f"SELECT step_type, round(median(duration_ms), 4) AS median_ms, count(*) AS samples FROM {RUNS} WHERE duration_ms > 0 AND rows_in > 0 GROUP BY 1")
+add("run6_schedules", lambda s, d: runs.schedule_stats(event_runs(s, d)), f"SELECT schedule_id, count(*) FILTER (status = 'completed') AS successful_runs, count(*) FILTER (status = 'healed') AS healed_runs, count(*) FILTER (status IN ('failed', 'contract_violation')) AS failed_runs, arg_max(status, (created_at, id)) AS last_status FROM {RUNS} GROUP BY 1")
 
 
 def event_storage(s, d):
-    return t(s, d, "events").select(F.when(F.col("event_type") == "view", "write").otherwise("read").alias("event_type"), (F.col("user_id") % 3).alias("tier"), (F.col("event_id") * 1000).alias("payload_bytes"), F.col("value").alias("duration_ms"), F.col("ts").alias("created_at"))
+    """events as storage events: written to each tier (write_hot, write_warm, write_cold), read, and a kind that only begins alike."""
+    kind = F.when(F.col("event_type") == "view", "write_hot").when(F.col("event_type") == "click", "write_warm").when(F.col("event_type") == "purchase", "write_cold").when(F.col("event_type") == "signup", "write").otherwise("read_hot")
+    return t(s, d, "events").select(kind.alias("event_type"), (F.col("user_id") % 3).alias("tier"), (F.col("event_id") * 1000).alias("payload_bytes"), F.col("value").cast("decimal(18,6)").alias("duration_ms"), F.col("ts").alias("created_at"))
 
 
-STORAGE = f"(SELECT CASE WHEN event_type = 'view' THEN 'write' ELSE 'read' END AS event_type, user_id % 3 AS tier, event_id * 1000 AS payload_bytes, value AS duration_ms, ts AS created_at FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY)"
-add("run7_storage_by_tier", lambda s, d: runs.storage_by_tier(event_storage(s, d), NOW), f"SELECT tier, count(*) AS events, sum(payload_bytes)::BIGINT AS bytes, round(avg(duration_ms), 4) AS avg_ms FROM {STORAGE} GROUP BY 1")
-add("run8_storage_growth", lambda s, d: runs.storage_growth(event_storage(s, d), NOW), f"SELECT created_at::DATE AS day, round(sum(payload_bytes) / 1048576.0, 6)::DOUBLE AS mb FROM {STORAGE} WHERE event_type = 'write' GROUP BY 1")
+STORAGE = f"""(SELECT CASE event_type WHEN 'view' THEN 'write_hot' WHEN 'click' THEN 'write_warm' WHEN 'purchase' THEN 'write_cold' WHEN 'signup' THEN 'write' ELSE 'read_hot' END AS event_type, user_id % 3 AS tier, event_id * 1000 AS payload_bytes,
+  value::DECIMAL(18,6) AS duration_ms, ts AS created_at FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 7 DAY)"""
+add("run7_storage_by_tier", lambda s, d: rounded(runs.storage_by_tier(event_storage(s, d), NOW)), f"SELECT tier, count(*) AS events, sum(payload_bytes)::BIGINT AS bytes, round(sum(duration_ms)::DOUBLE / count(duration_ms), 2) AS avg_ms FROM {STORAGE} GROUP BY 1")
+add("run8_storage_growth", lambda s, d: runs.storage_growth(event_storage(s, d), NOW), f"SELECT created_at::DATE AS day, round(sum(payload_bytes) / 1048576.0, 1)::DOUBLE AS mb FROM {STORAGE} WHERE event_type LIKE 'write_%' GROUP BY 1")
 
 
 def event_lineage(s, d):
