@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranks
+
 #: Hints in column names, patterns of values with the share that must match, and flags by name.
 NAME_HINTS = {
     "integer_id": ("id", "key", "ref", "code", "num"),
@@ -52,31 +54,60 @@ def _long(df: DataFrame, names: list[str], made: dict) -> DataFrame:
 
 
 def counts(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """column, total, null_count, null_pct, unique_count of every column."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    """column, total, null_count, null_pct, unique_count of every column: exact, from one pass, or (approximate) from sketches. Not-a-number counts as null."""
+    if approximate:
+        return sketch_counts(sketches(df))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "k int, column string")  # a row per column
+    found = names.join(ranks.distinct_counts(df, df.columns), "k", "left")
+    return _shares(found.select("column", *[F.coalesce(F.col(a), F.lit(0)).alias(b) for a, b in (("total", "total"), ("nulls", "null_count"), ("uniques", "unique_count"))]))
+
+
+def _shares(found: DataFrame) -> DataFrame:
+    return found.select("column", "total", "null_count", F.round(100.0 * F.col("null_count") / F.greatest(F.lit(1), "total"), 2).alias("null_pct"), "unique_count")
+
+
+def sketches(df: DataFrame, log_size: int = 14) -> DataFrame:
+    """column, total, null_count, sketch (HyperLogLog, 2^log_size registers: a standard error of about 1.04 / sqrt(2^log_size)) of every column, in one pass.
+
+    Sketches of parts of a table (days, snapshots) can be stored and merged later; a part is read once.
+    """
     names = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("total"), *[x for k, n in enumerate(names) for x in (F.count_if(F.col(f"`{n}`").isNull()).alias(f"null_count__{k}"), distinct(F.col(f"`{n}`")).alias(f"unique_count__{k}"))])
-    rows = [F.struct(F.lit(n).alias("column"), "total", F.col(f"null_count__{k}").alias("null_count"), F.col(f"unique_count__{k}").alias("unique_count")) for k, n in enumerate(names)]
-    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return out.select("column", "total", "null_count", F.round(100.0 * F.col("null_count") / F.greatest(F.lit(1), "total"), 2).alias("null_pct"), "unique_count")
+    one = df.agg(F.count(F.lit(1)).alias("total"), *[x for k, n in enumerate(names) for x in (F.count(ranks.values_of(df, n)).alias(f"n__{k}"), F.hll_sketch_agg(ranks.as_text(df, n), log_size).alias(f"sketch__{k}"))])
+    rows = [F.struct(F.lit(n).alias("column"), "total", (F.col("total") - F.col(f"n__{k}")).alias("null_count"), F.col(f"sketch__{k}").alias("sketch")) for k, n in enumerate(names)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def merged_sketches(parts: DataFrame) -> DataFrame:
+    """The sketches of the whole from those of its parts (a row for each part and column); of one log_size."""
+    return parts.groupBy("column").agg(F.sum("total").alias("total"), F.sum("null_count").alias("null_count"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_counts(sketched: DataFrame) -> DataFrame:
+    """counts' columns from sketches; unique_count is an estimate."""
+    return _shares(sketched.select("column", "total", "null_count", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("unique_count")))
 
 
 def numeric_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """min, max, mean, median, std, p25, p75 (rounded to 6), is_integer of the numeric columns, and outliers beyond 1.5 quartile ranges (a second pass)."""
-    names = _numeric(df)
-    at = (lambda c, p: F.percentile_approx(c, p, 10_000)) if approximate else F.percentile
+    """min, max, mean, median, std, p25, p75 (rounded to 6), is_integer of the numeric columns, and outliers beyond 1.5 quartile ranges (a second pass).
+
+    Quartiles are exact (ranks.quantiles), or approximate from one aggregate; not-a-number is no value.
+    """
+    names, spark = _numeric(df), df.sparkSession
+    quarters = (0.25, 0.5, 0.75)
+    values = {n: ranks.number(df, n) for n in names}
     aggs = []
     for k, n in enumerate(names):
-        c = F.col(f"`{n}`").cast("double")
-        aggs += [x.alias(f"{m}__{k}") for m, x in (("min", F.min(c)), ("max", F.max(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("p25", at(c, 0.25)), ("median", at(c, 0.5)), ("p75", at(c, 0.75)), ("is_integer", F.bool_and(c == F.floor(c))))]
-    made = {m: "double" for m in ("min", "max", "mean", "median", "std", "p25", "p75")}
-    one = df.agg(*aggs)
-    stats = _long(one, names, made | {"is_integer": "boolean"})
-    fences = F.broadcast(one.select(*[F.struct((2.5 * F.col(f"p25__{k}") - 1.5 * F.col(f"p75__{k}")).alias("lo"), (2.5 * F.col(f"p75__{k}") - 1.5 * F.col(f"p25__{k}")).alias("hi")).alias(f"f__{k}") for k in range(len(names))]))  # one row
-    out = df.join(fences).agg(*[F.count_if((F.col(f"`{n}`") < F.col(f"f__{k}.lo")) | (F.col(f"`{n}`") > F.col(f"f__{k}.hi"))).alias(f"outlier_count__{k}") for k, n in enumerate(names)])
-    outliers = _long(out, names, {"outlier_count": "long"})
-    rounded = [F.round(m, 6).alias(m) for m in made]
-    return stats.join(F.broadcast(outliers), "column").select("column", *rounded, "is_integer", "outlier_count")  # a row per column
+        c = values[n]
+        aggs += [x.alias(f"{m}__{k}") for m, x in (("min", F.min(c)), ("max", F.max(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("is_integer", F.bool_and(c == F.floor(c))))]
+        aggs += [F.percentile_approx(c, list(quarters), 10_000).alias(f"q__{k}")] if approximate else []
+    one = df.agg(*aggs).first().asDict() if names else {}  # one row
+    at = {(n, p): (one[f"q__{k}"] or [None] * 3)[i] for k, n in enumerate(names) for i, p in enumerate(quarters)} if approximate else ranks.quantiles(df, dict.fromkeys(names, quarters))
+    fence = {n: (2.5 * at[n, 0.25] - 1.5 * at[n, 0.75], 2.5 * at[n, 0.75] - 1.5 * at[n, 0.25]) for n in names if at[n, 0.5] is not None}
+    out = df.agg(*[F.count_if((values[n] < fence[n][0]) | (values[n] > fence[n][1])).alias(n) for n in fence]).first().asDict() if fence else {}
+    rows = [(n, *(one[f"{m}__{k}"] for m in ("min", "max", "mean")), at[n, 0.5], one[f"std__{k}"], at[n, 0.25], at[n, 0.75], one[f"is_integer__{k}"], out.get(n, 0)) for k, n in enumerate(names)]
+    made = ("min", "max", "mean", "median", "std", "p25", "p75")
+    stats = spark.createDataFrame(rows, "column string, " + ", ".join(f"{m} double" for m in made) + ", is_integer boolean, outlier_count long")  # a row per column
+    return stats.select("column", *[F.round(m, 6).alias(m) for m in made], "is_integer", "outlier_count")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -117,20 +148,20 @@ def completeness(df: DataFrame) -> DataFrame:
 def semantic_types(df: DataFrame) -> DataFrame:
     """column, semantic_type and flags, from name hints, distinct counts and the share of values that match each pattern.
 
-    One aggregate over all rows, no sample. The type of a text column is the first of boolean, email, phone, url, datetime, identifier, categorical that
+    One aggregate over all rows and one of distinct counts, no sample. The type of a text column is the first of boolean, email, phone, url, datetime, identifier, categorical that
     fits, else text: each by its name hint or by its pattern (datetime: by hint, and all values must be readable as dates). Texts such as 2024-01-05 fit
     the pattern of phone numbers, which comes first. Flags of an empty table: none.
     """
     aggs = [F.count(F.lit(1)).alias("total")]
     for k, field in enumerate(df.schema.fields):
         c = F.col(f"`{field.name}`")
-        aggs += [F.count(c).alias(f"n__{k}"), F.count_distinct(c).alias(f"d__{k}")]
+        aggs += [F.count(c).alias(f"n__{k}")]
         if isinstance(field.dataType, T.StringType):
             share = {m: c.rlike(p) for m, (p, _) in PATTERNS.items()} | {"boolean": F.lower(c).isin(*BOOLEAN_WORDS)}
             if _hinted(field.name, NAME_HINTS["datetime"]):
                 share["datetime"] = F.coalesce(c.try_cast("timestamp"), *[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMS]).isNotNull() | c.isNull()
             aggs += [F.avg(x.cast("double")).alias(f"{m}__{k}") for m, x in share.items()]
-    got = df.agg(*aggs).first().asDict()
+    got = df.agg(*aggs).first().asDict() | {f"d__{k}": 0 for k in range(len(df.columns))} | {f"d__{r['k']}": r["uniques"] for r in ranks.distinct_counts(df, df.columns).collect()}
     rows = []
     for k, field in enumerate(df.schema.fields):
         of = {m.removesuffix(f"__{k}"): v for m, v in got.items() if m.endswith(f"__{k}")} | {"total": got["total"]}

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.arguments import StepError, need_columns, need_numeric
 from ..sources.shared import cut
+from . import ranks
 
 #: Distinct pivot values looked up at most, where none are given.
 PIVOT_VALUES = 1000
@@ -83,8 +84,10 @@ def fill_nulls(df: DataFrame, columns: Sequence[str], strategy: str, constant_va
         for c in columns:
             if strategy != "mode":
                 need_numeric(df, c, f"fill_nulls {strategy}")
-        made = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "mode": lambda c: F.mode(c, True)}[strategy]
-        one = df.agg(*[made(F.col(f"`{c}`")).alias(f"__{k}") for k, c in enumerate(columns)])  # one row
+        if strategy == "median":
+            middle = ranks.quantiles(df, {c: [0.5] for c in columns})
+            return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(middle[c, 0.5]).cast("double")) for c in columns})
+        one = ranks.modes(df, columns).toDF(*[f"__{k}" for k in range(len(columns))]) if strategy == "mode" else df.agg(*[F.avg(ranks.values_of(df, c)).alias(f"__{k}") for k, c in enumerate(columns)])  # one row
         filled = df.join(F.broadcast(one))
         out = {c: F.coalesce(F.col(f"`{c}`"), F.col(f"__{k}")) for k, c in enumerate(columns)}
         return filled.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arguments import StepError, need_columns, need_numeric
+from . import ranks
 
 
 def select(df: DataFrame, columns: Sequence[str], mode: str = "include") -> DataFrame:
@@ -118,14 +119,8 @@ def join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", null_sa
 NUMERIC = ("sum", "mean", "avg", "median", "std", "var", "p50", "p95")
 
 
-def values_of(df: DataFrame, column: str) -> Column:
-    """The column's values; not-a-number is none."""
-    c = F.col(f"`{column}`")
-    return F.nanvl(c, F.lit(None).cast(df.schema[column].dataType)) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else c
-
-
 def aggregate_column(df: DataFrame, column: str, function: str, order_by: Sequence[str] = (), approximate: bool = False) -> Column:
-    c = values_of(df, column)
+    c = ranks.values_of(df, column)
     if function in NUMERIC:
         need_numeric(df, column, f"aggregate {function}")
     if function in ("first", "last"):
@@ -157,8 +152,41 @@ def aggregate(df: DataFrame, group_by: Sequence[str], aggregations, order_by: Se
     if not aggregations:
         raise StepError("aggregate: nothing to aggregate")
     need_columns(df, [*group_by, *[a["column"] for a in aggregations]], "aggregate")
-    made = [aggregate_column(df, a["column"], a["function"], order_by, approximate).alias(a.get("alias") or f"{a['column']}_{a['function']}") for a in aggregations]
-    return df.groupBy(*[F.col(f"`{g}`") for g in group_by]).agg(*made) if group_by else df.agg(*made)
+    counted = list(dict.fromkeys(a["column"] for a in aggregations if a["function"] == "count_distinct"))
+    apart = {} if approximate else _without_groups(df, aggregations, counted) if not group_by else {("count_distinct", c): F.col(f"__d{k}") for k, c in enumerate(counted)} if len(counted) > 1 else {}
+    made = {a.get("alias") or f"{a['column']}_{a['function']}": a for a in aggregations}
+    plain = [aggregate_column(df, a["column"], a["function"], order_by, approximate).alias(name) for name, a in made.items() if (a["function"], a["column"]) not in apart]
+    if not group_by:
+        rows = df.agg(*plain or [F.count(F.lit(1)).alias("__rows")])
+        return rows.select(*[apart.get((a["function"], a["column"]), F.col(f"`{name}`")).alias(name) for name, a in made.items()])
+    keys = [F.col(f"`{g}`") for g in group_by]
+    rows = df.groupBy(*keys).agg(*plain or [F.count(F.lit(1)).alias("__rows")])
+    if not apart:
+        return rows
+    held = [f"__g{i}" for i in range(len(group_by))]
+    distinct = ranks.distinct_counts(df, counted, group_by).groupBy(*[F.col(f"g{i}").alias(h) for i, h in enumerate(held)]).agg(*[F.max(F.when(F.col("k") == k, F.col("uniques"))).alias(f"__d{k}") for k in range(len(counted))])
+    same = [rows[f"`{g}`"].eqNullSafe(distinct[h]) for g, h in zip(group_by, held)]
+    return rows.join(distinct, same, "left").select(*keys, *[apart.get((a["function"], a["column"]), F.col(f"`{name}`")).alias(name) for name, a in made.items()])
+
+
+def _without_groups(df: DataFrame, aggregations: Sequence[dict], counted: Sequence[str]) -> dict:
+    """Exact ranks, modes and several distinct counts of the whole table, as literals: their own jobs, in none of which a task sees all values."""
+    at = {"median": 0.5, "p50": 0.5, "p95": 0.95}
+    wanted: dict[str, list[float]] = {}
+    for a in aggregations:
+        if a["function"] in at:
+            need_numeric(df, a["column"], f"aggregate {a['function']}")
+            wanted.setdefault(a["column"], []).append(at[a["function"]])
+    found = ranks.quantiles(df, wanted)
+    made = {(f, c): F.lit(found[c, p]).cast("double") for f, p in at.items() for c in wanted if (c, p) in found}
+    most = list(dict.fromkeys(a["column"] for a in aggregations if a["function"] == "mode"))
+    if most:
+        row = ranks.modes(df, most).first()
+        made |= {("mode", c): F.lit(row[k]).cast(df.schema[c].dataType) for k, c in enumerate(most)}
+    if len(counted) > 1:
+        uniques = {r["k"]: r["uniques"] for r in ranks.distinct_counts(df, counted).collect()}  # a row for each column
+        made |= {("count_distinct", c): F.lit(uniques.get(k, 0)).cast("long") for k, c in enumerate(counted)}
+    return made
 
 
 def sort(df: DataFrame, by, order: str = "asc", ascending=None) -> DataFrame:

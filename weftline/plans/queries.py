@@ -101,7 +101,7 @@ add("prj4_transform", lambda s, d: transform.transform(t(s, d, "lineitem"), "l_q
 # --- filters ---------------------------------------------------------------------------------------------------------------
 for n, (op, column, value, table, where) in enumerate((
     ("equals", "o_orderstatus", "F", "orders", "o_orderstatus = 'F'"), ("not_equals", "o_orderstatus", "F", "orders", "o_orderstatus <> 'F'"), ("greater_than", "l_quantity", "30", "lineitem", "l_quantity > 30"),
-    ("less_than", "l_shipdate", "1995-01-01", "lineitem", "l_shipdate < TIMESTAMP '1995-01-01'"), ("gte", "p_size", 25, "part", "p_size >= 25"), ("lte", "p_size", 25, "part", "p_size <= 25"), ("contains", "p_name", "a", "part", "contains(p_name, 'a')"),
+    ("less_than", "l_shipdate", "1996-01-01", "lineitem", "l_shipdate < TIMESTAMP '1996-01-01'"), ("gte", "p_size", 25, "part", "p_size >= 25"), ("lte", "p_size", 25, "part", "p_size <= 25"), ("contains", "p_name", "a", "part", "contains(p_name, 'a')"),
     ("not_contains", "p_name", "a", "part", "NOT contains(p_name, 'a')"), ("starts_with", "c_name", "Customer#0000001", "customer", "starts_with(c_name, 'Customer#0000001')"), ("ends_with", "c_name", "7", "customer", "ends_with(c_name, '7')"),
 ), 1):
     add(f"flt{n}_{op}", lambda s, d, a=(table, column, op, value): transform.filter(t(s, d, a[0]), *a[1:]), f"SELECT * FROM {table} WHERE {where}")
@@ -155,7 +155,12 @@ for n, (f, sql) in enumerate(AGGS.items(), 1):
 add("agg11_mode", lambda s, d: transform.aggregate(holed(s, d), ["event_type"], {"user_id": "mode"}),
     f"SELECT event_type, user_id AS user_id_mode FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS k FROM {HOLED} WHERE user_id IS NOT NULL GROUP BY 1, 2) WHERE k = 1")
 add("agg14_alias", lambda s, d: transform.aggregate(holed(s, d), ["event_type"], [{"column": "value", "function": "count", "alias": "n"}, {"column": "event_id", "function": "max"}]), f"SELECT event_type, count(value) AS n, max(event_id) AS event_id_max FROM {HOLED} GROUP BY 1")
-add("agg15_global", lambda s, d: rounded(transform.aggregate(t(s, d, "orders"), [], {"o_totalprice": "sum", "o_orderkey": "count"}), 1), "SELECT round(sum(o_totalprice), 1) AS o_totalprice_sum, count(o_orderkey) AS o_orderkey_count FROM orders")
+add("agg12_many_distinct", lambda s, d: transform.aggregate(holed(s, d), ["event_type"], [{"column": c, "function": "count_distinct"} for c in ("user_id", "value", "ts")] + [{"column": "event_id", "function": "max"}]),
+    f"SELECT event_type, count(DISTINCT user_id) AS user_id_count_distinct, count(DISTINCT value) AS value_count_distinct, count(DISTINCT ts) AS ts_count_distinct, max(event_id) AS event_id_max FROM {HOLED} GROUP BY 1")
+add("agg6_global_ranks", lambda s, d: rounded(transform.aggregate(t(s, d, "lineitem"), [], [{"column": c, "function": f} for c in ("l_extendedprice", "l_suppkey") for f in ("median", "p95", "mode", "count_distinct", "min")])),
+    "SELECT " + ", ".join(f"{'count(DISTINCT ' + c + ')' if f == 'count_distinct' else f'round({made}::DOUBLE, 4)' if c == 'l_extendedprice' or f in ('median', 'p95') else made} AS {c}_{f}" for c in ("l_extendedprice", "l_suppkey") for f, made in (
+        ("median", f"median({c})"), ("p95", f"quantile_cont({c}, 0.95)"), ("mode", f"(SELECT arg_min(v, (-n, v)) FROM (SELECT {c} AS v, count(*) AS n FROM lineitem GROUP BY 1))"), ("count_distinct", ""), ("min", f"min({c})"))) + " FROM lineitem")
+add("agg15_global", lambda s, d: rounded(transform.aggregate(exact(t(s, d, "orders"), "o_totalprice"), [], {"o_totalprice": "sum", "o_orderkey": "count"}), 2), "SELECT round(sum(o_totalprice::DECIMAL(18,2))::DOUBLE, 2) AS o_totalprice_sum, count(o_orderkey) AS o_orderkey_count FROM orders")
 
 # --- sort and samples ---------------------------------------------------------------------------------------------------------
 add("srt1_sort", lambda s, d: transform.sort(holed(s, d), "value", "desc"), f"SELECT * FROM {HOLED} ORDER BY value DESC NULLS LAST")
@@ -250,6 +255,18 @@ add("udf1_compute", lambda s, d: udf.compute(t(s, d, "lineitem"), lambda price,
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value")
 add("prf1_counts", lambda s, d: profile.counts(holed(s, d)),
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} IS NULL) AS null_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct, count(DISTINCT {c}) AS unique_count FROM {HOLED}" for c in EVENT_COLUMNS))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} IS NULL) AS null_count, true AS near FROM {HOLED}" for c in EVENT_COLUMNS))
+def prf1_sketches(s, d):
+    """Sketches of odd and even days and of rows without a time, merged; near: the estimate is within five standard errors (0.81 %) of the exact count, or one."""
+    rows = holed(s, d)
+    parts = [profile.sketches(rows.where(part)) for part in ("day(ts) % 2 = 0", "day(ts) % 2 = 1", "ts IS NULL")]
+    merged = profile.sketch_counts(profile.merged_sketches(parts[0].unionAll(parts[1]).unionAll(parts[2])))
+    both = merged.join(profile.counts(rows).select("column", F.col("unique_count").alias("exact")), "column")
+    return both.select("column", "total", "null_count", (F.abs(F.col("unique_count") - F.col("exact")) <= F.greatest(F.lit(1.0), 5 * 0.0081 * F.col("exact"))).alias("near"))
+
+
 PARTS = ("p_partkey", "p_size", "p_retailprice")
 add("prf2_numeric_stats", lambda s, d: rounded(profile.numeric_stats(t(s, d, "part")).select("column", "min", "max", "mean", "std", "p25", "median", "p75"), 3),
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(min({c})::DOUBLE, 3) AS min, round(max({c})::DOUBLE, 3) AS max, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, round(quantile_cont({c}::DOUBLE, 0.25), 3) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 3) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 3) AS p75 FROM part" for c in PARTS))
