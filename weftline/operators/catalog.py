@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from .walks import walk
 
 
 def upsert_assets(assets: DataFrame, seen: DataFrame) -> DataFrame:
@@ -39,21 +39,10 @@ def classify_edge(step_type: Column, given: Column | None = None) -> Column:
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int = 10, upstream: bool = False) -> DataFrame:
-    """Assets reached from start (asset_id) with their least depth, start at 0: (asset_id, depth).
-
-    Breadth first, leaving out what has been visited: cycles end, and no path is followed twice. Each hop is written to the shared folder.
-    """
+    """Assets reached from start (asset_id) with their least depth, start at 0: (asset_id, depth). See walks.walk."""
     a, b = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    graph = edges.select(F.col(a).alias("asset_id"), F.col(b).alias("next")).distinct()
-    seen = cut(start.select("asset_id", F.lit(0).alias("depth")).distinct(), "reach")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(graph, "asset_id").select(F.col("next").alias("asset_id"), F.lit(depth).alias("depth")).distinct()
-        frontier = cut(step.join(seen, "asset_id", "left_anti"), "reach")
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.union(frontier), "reach")
-    return seen
+    graph = edges.select(F.col(a).alias("source"), F.col(b).alias("target"))
+    return walk(graph, start.select(F.col("asset_id").alias("node")), max_depth).withColumnRenamed("node", "asset_id")
 
 
 def blast_radius(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from .walks import walk
 
 #: Fixed values of the OpenLineage format, and the name that this library gives as its producer.
 SCHEMA_URL = "https://openlineage.io/spec/2-0-2/OpenLineage.json"
@@ -42,22 +42,6 @@ def edges(records: DataFrame) -> DataFrame:
     return out.select("run_id", "step", "step_type", F.coalesce("in_step", F.concat(F.lit("file:"), "step")).alias("in_step"), "e.in_col", "e.out_col", F.coalesce("e.is_join_key", F.lit(False)).alias("is_join_key"))
 
 
-def walk(graph: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Nodes reached from start with their least depth: (run_id, node, depth), start at 0. graph: run_id, source, target.
-
-    Breadth first: each hop joins the frontier to the edges and leaves out what has been visited, so cycles end. Hops are written to the shared folder.
-    """
-    seen = cut(start.select("run_id", "node", F.lit(0).alias("depth")).distinct(), "walk")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(graph, (frontier["run_id"] == graph["run_id"]) & (frontier["node"] == graph["source"])).select(frontier["run_id"], F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = cut(step.join(seen, ["run_id", "node"], "left_anti"), "walk")
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.union(frontier), "walk")
-    return seen
-
-
 def _graph(edge: DataFrame, back: bool) -> DataFrame:
     source = F.concat_ws(":", "in_step", "in_col")
     target = F.concat_ws(":", "step", "out_col")
@@ -67,13 +51,13 @@ def _graph(edge: DataFrame, back: bool) -> DataFrame:
 def ancestry(edge: DataFrame, step: str, column: str, max_depth: int = 50) -> DataFrame:
     """What a column comes from, in every run: (run_id, node step:column, depth)."""
     start = edge.where((F.col("step") == step) & (F.col("out_col") == column)).select("run_id", F.lit(f"{step}:{column}").alias("node"))
-    return walk(_graph(edge, True), start, max_depth)
+    return walk(_graph(edge, True), start, max_depth, ["run_id"])
 
 
 def impact(edge: DataFrame, step: str, column: str, max_depth: int = 50) -> DataFrame:
     """What a column goes into, in every run."""
     start = edge.where((F.col("in_step") == step) & (F.col("in_col") == column)).select("run_id", F.lit(f"{step}:{column}").alias("node"))
-    return walk(_graph(edge, False), start, max_depth)
+    return walk(_graph(edge, False), start, max_depth, ["run_id"])
 
 
 def column_pairs(results: DataFrame) -> DataFrame:

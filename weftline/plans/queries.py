@@ -355,12 +355,13 @@ add("sec1_redact", lambda s, d: apply_policies(t(s, d, "customer"), "analyst", P
 
 # --- lineage and catalog ------------------------------------------------------------------------------------------------------------------
 def event_edges(s, d):
-    """Edges between users, from each event to the same type's user shifted: a graph with cycles."""
+    """Edges between all users: from each event's user to another one by a rule with three branches, a graph with cycles that grows with the table."""
     e = t(s, d, "events")
-    return e.select((F.col("user_id") % 200).alias("source_id"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % 200).alias("target_id"), F.lit("transforms").alias("relation"), F.col("event_type").alias("pipeline_name"), (F.col("event_id") % 50).alias("run_id"))
+    users = e.agg(F.max("user_id") + 1).first()[0] or 1
+    return e.select(F.col("user_id").alias("source_id"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % users).alias("target_id"), F.lit("transforms").alias("relation"), F.col("event_type").alias("pipeline_name"), (F.col("event_id") % 50).alias("run_id"))
 
 
-EDGES = "(SELECT user_id % 200 AS source_id, (user_id * 7 + event_id % 3) % 200 AS target_id, 'transforms' AS relation, event_type AS pipeline_name, event_id % 50 AS run_id FROM events)"
+EDGES = "(SELECT user_id AS source_id, (user_id * 7 + event_id % 3) % (SELECT max(user_id) + 1 FROM events) AS target_id, 'transforms' AS relation, event_type AS pipeline_name, event_id % 50 AS run_id FROM events)"
 
 
 def _reach_sql(a, b, depth):
