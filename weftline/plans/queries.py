@@ -239,6 +239,14 @@ for name, (table, text) in SQL_STEPS.items():
 SQL["sql10_scalars"] = SQL["sql10_scalars"].replace("floor(p_retailprice / 10) * 1.0", "(floor(p_retailprice / 10) * 1.0)::DECIMAL(20,1)")
 QUERIES["sql10_scalars"] = lambda s, d: sqlstep.sql(SQL_STEPS["sql10_scalars"][1].replace("floor(p_retailprice / 10) * 1.0", "cast(floor(p_retailprice / 10) AS double)"), input=t(s, d, "part"))
 SQL["sql10_scalars"] = SQL["sql10_scalars"].replace("(floor(p_retailprice / 10) * 1.0)::DECIMAL(20,1)", "floor(p_retailprice / 10)::DOUBLE")
+add("sql9_recursive", lambda s, d: sqlstep.sql("WITH RECURSIVE r(k, hop) AS (SELECT n_nationkey, 0 FROM {{nations}} UNION ALL SELECT k - n_regionkey - 1, hop + 1 FROM r JOIN {{nations}} ON n_nationkey = k WHERE k > n_regionkey) SELECT k, hop, count(*) AS customers FROM r JOIN {{customers}} ON c_nationkey = k GROUP BY k, hop", nations=t(s, d, "nation"), customers=t(s, d, "customer")),
+    "WITH RECURSIVE r(k, hop) AS (SELECT n_nationkey, 0 FROM nation UNION ALL SELECT k - n_regionkey - 1, hop + 1 FROM r JOIN nation ON n_nationkey = k WHERE k > n_regionkey) SELECT k, hop, count(*) AS customers FROM r JOIN customer ON c_nationkey = k GROUP BY k, hop")
+add("sql10_dates", lambda s, d: sqlstep.sql("SELECT event_id, date_trunc('MONTH', ts) AS month, year(ts) AS y, dayofweek(ts) AS dow, datediff(ts, TIMESTAMP '2024-01-01') AS days, date_format(ts, 'yyyy-MM-dd HH:mm') AS shown, ts + INTERVAL 36 HOURS AS later FROM {{input}}", input=t(s, d, "events")),
+    "SELECT event_id, date_trunc('month', ts) AS month, year(ts)::INT AS y, (dayofweek(ts) + 1)::INT AS dow, date_diff('day', TIMESTAMP '2024-01-01', ts)::INT AS days, strftime(ts, '%Y-%m-%d %H:%M') AS shown, ts + INTERVAL 36 HOURS AS later FROM events")
+add("sql10_arrays_maps_json", lambda s, d: sqlstep.sql("""SELECT event_id, array_max(array(user_id, event_id % 100)) AS top, array_join(array_sort(array(event_type, 'm')), '-') AS joined, size(filter(array(user_id, event_id, 7), x -> x % 2 = 1)) AS odd,
+      element_at(map('a', user_id, 'b', event_id), 'b') AS picked, get_json_object(to_json(struct(user_id AS u, event_type AS e)), '$.e') AS e, size(split(event_type, 'e')) AS pieces FROM {{input}}""", input=t(s, d, "events")),
+    """SELECT event_id, greatest(user_id, event_id % 100) AS top, array_to_string(list_sort([event_type, 'm']), '-') AS joined, len(list_filter([user_id, event_id, 7], lambda x: x % 2 = 1))::INT AS odd, map {'a': user_id, 'b': event_id}['b'] AS picked,
+      json_extract_string(to_json({'u': user_id, 'e': event_type}), '$.e') AS e, len(string_split(event_type, 'e'))::INT AS pieces FROM events""")
 add("sql4_pivot_clause", lambda s, d: sqlstep.sql("SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM {{input}}) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o))", input=t(s, d, "orders")).na.fill(0),
     "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1")
 add("sql4_unpivot_clause", lambda s, d: sqlstep.sql("SELECT * FROM (SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM {{input}}) UNPIVOT INCLUDE NULLS (v FOR m IN (l_tax, l_discount))", input=t(s, d, "lineitem")),

@@ -87,7 +87,36 @@ def str11_statistics(spark, sf):
     return spark.createDataFrame([tuple(stats[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-add("str4_decode_raw", lambda s, d: streams.decode(records(s, d), deserialize="text").select("offset", "data.raw", "error").where("offset % 20 = 0").distinct(), "SELECT event_id AS \"offset\", '{broken ' || event_id AS raw, NULL::VARCHAR AS error FROM events WHERE event_id % 20 = 0")
+@query("SELECT (user_id % 3)::INT AS \"partition\", event_id AS \"offset\", 1::BIGINT AS times FROM events")
+def str5_repeats_across_batches(spark, sf):
+    """Each record comes once and each fifth again, in another file: files are read in several micro-batches, so that repeats arrive in later ones."""
+    e = t(spark, sf, "events")
+    rows = e.select(F.lit("events").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"), (F.col("event_id") % 4).cast("int").alias("part"))
+    base = new_path(spark, "stream")
+    rows.union(rows.where("offset % 5 = 0").withColumn("part", F.col("part") + 4)).repartition(8, "part").write.partitionBy("part").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    once = streams.unrepeated(stream, delay="60 days")  # the table spans a month, and files come in any order
+    running = once.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out").groupBy("partition", "offset").agg(F.count("*").alias("times"))
+
+
+@query("SELECT count(DISTINCT event_id % 120) AS batches, count(*) AS messages, max(event_id % 120) - min(event_id % 120) + 1 - count(DISTINCT event_id % 120) AS lost FROM events")
+def str11_long_run(spark, sf):
+    """A file a batch, more than a hundred of them, all counted by the listener; lost: numbers that no report has."""
+    e = t(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 120).cast("int").alias("part"))
+    base = new_path(spark, "stream")
+    e.repartition(8, "part").write.partitionBy("part").parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    with streams.ProgressLog(spark, f"{base}/log") as log:
+        running = stream.writeStream.format("noop").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
+        running.awaitTermination()
+        log.finished(running.runId)
+    one = log.table().where((F.col("run_id") == str(running.runId)) & (F.col("input_rows") > 0))
+    return one.agg(F.count("*").alias("batches"), F.sum("input_rows").alias("messages"), (F.max("batch_id") - F.min("batch_id") + 1 - F.count_distinct("batch_id")).alias("lost"))
+
+
+add("str4_decode_raw", lambda s, d: streams.decode(records(s, d), deserialize="text").select("offset", F.coalesce(F.get_json_object("data.raw", "$.kind"), "data.raw").alias("raw"), "error").distinct(), "SELECT event_id AS \"offset\", CASE WHEN event_id % 20 = 0 THEN '{broken ' || event_id ELSE event_type END AS raw, NULL::VARCHAR AS error FROM events WHERE event_id % 20 <> 1")
 add("str5_offset_repeats", lambda s, d: records(s, d).dropDuplicates(["topic", "partition", "offset"]).select("topic", "partition", "offset"), "SELECT 'events' AS topic, (user_id % 3)::INT AS \"partition\", event_id AS \"offset\" FROM events")
 add("str9_publish", lambda s, d: streams.publish_rows(t(s, d, "orders"), "orders", "o_orderkey").select("key", "topic", *[F.get_json_object("value", f"$.{c}").cast(k).alias(c) for c, k in t(s, d, "orders").dtypes if c != "o_orderdate"], F.to_timestamp(F.get_json_object("value", "$.o_orderdate")).alias("o_orderdate")),
     "SELECT o_orderkey::VARCHAR AS key, 'orders' AS topic, * FROM orders")

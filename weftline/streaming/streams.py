@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.arguments import StepError, need_columns
 from ..plans.pipeline import run
@@ -33,6 +35,15 @@ def consume(spark: SparkSession, servers: str, topic: str, consumer_group: str |
     return reader.options(**options).load()
 
 
+def unrepeated(records: DataFrame, time: str = "timestamp", delay: str = "1 hour", key: tuple = ("topic", "partition", "offset")) -> DataFrame:
+    """A stream of records without repeats of a key, also where a repeat comes in a later micro-batch or after a restart.
+
+    Keys are kept in Spark's state store until the watermark (the latest time seen, less delay) has passed them, so the state is bounded by what arrives
+    within the delay. Records that are later than the watermark are dropped, as they could be repeats: delay must be what records can be late. A null time never expires its key.
+    """
+    return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
+
+
 def decode(records: DataFrame, schema: T.StructType | None = None, deserialize: str = "json") -> DataFrame:
     """records with ``data`` (a struct by schema; for other formats than json: its text as raw) and ``error`` for what couldn't be read.
 
@@ -134,6 +145,65 @@ def stream_stats(query) -> dict:
     return {"batches": len(progress), "messages": sum(p["numInputRows"] for p in progress), "rows_per_second": last.get("processedRowsPerSecond", 0.0), "batch_ms": last.get("batchDuration"), "lag": lag(last)}
 
 
+class ProgressLog(StreamingQueryListener):
+    """Every progress report of the session's streams as a row of a table, however many batches a stream runs (recentProgress forgets all but the last hundred).
+
+    Rows are written when ``every`` are at hand, and when a stream ends. Use as a context manager; finished(run_id) waits for the rows of a stream that has ended.
+    """
+
+    ROW = "run_id string, name string, batch_id long, at string, input_rows long, rows_per_second double, batch_ms long, state_rows long, lag long"
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 200):
+        self.spark, self.path, self.every = spark, path, every
+        self.rows: list[tuple] = []
+        self.ended: dict[str, threading.Event] = {}
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+        self._write()
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event) -> None:
+        p = _plain(event.progress)
+        state = sum(s.get("numRowsTotal", 0) for s in p.get("stateOperators", []))
+        self.rows.append((p["runId"], p.get("name"), p["batchId"], p["timestamp"], p["numInputRows"], p.get("processedRowsPerSecond"), p.get("batchDuration"), state, lag(p)))
+        if len(self.rows) >= self.every:
+            self._write()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._write()
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def _write(self) -> None:
+        if self.rows:
+            rows, self.rows = self.rows, []
+            self.spark.createDataFrame(rows, self.ROW).coalesce(1).write.mode("append").parquet(self.path)
+
+    def finished(self, run_id, seconds: float = 60) -> bool:
+        """Whether the stream's end has been told and its rows written, within so many seconds."""
+        return self.ended.setdefault(str(run_id), threading.Event()).wait(seconds)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.ROW).parquet(self.path)
+
+    def stats(self) -> DataFrame:
+        """Per run: batches with and without input, messages, the mean rate and duration of batches with input, and the last batch's state and lag."""
+        filled = F.col("input_rows") > 0
+        return self.table().groupBy("run_id").agg(
+            F.count("*").alias("reports"), F.count_if(filled).alias("batches"), F.sum("input_rows").alias("messages"), F.avg(F.when(filled, F.col("rows_per_second"))).alias("rows_per_second"), F.avg(F.when(filled, F.col("batch_ms"))).alias("batch_ms"),
+            F.max_by("state_rows", "batch_id").alias("state_rows"), F.max_by("lag", "batch_id").alias("lag"),
+        )
+
+
 def _plain(progress) -> dict:
     """A progress report as a dict; PySpark's own objects hold offsets as the text of Python dicts, their JSON has them whole."""
     return progress if isinstance(progress, dict) else json.loads(progress.json)
