@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import BucketedTable, NameIndex
 from .walks import walk
 
 
@@ -63,12 +64,37 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda k: F.substring(w, k, 3)))))
 
 
-def search(assets: DataFrame, query: str, asset_type: str | None = None, limit: int = 20) -> DataFrame:
-    """Assets whose name holds the query (any case), most similar first by trigrams; none for fewer than 2 characters."""
+ASSET_KEY = ("asset_type", "namespace", "name")
+EDGE_KEY = ("source_id", "target_id", "relation", "pipeline_name", "run_id")
+
+
+def stored_assets(spark: SparkSession, path: str, buckets: int = 64) -> BucketedTable:
+    """Assets at path, upserted bucket by bucket (upsert_assets' rules)."""
+    return BucketedTable(spark, path, ASSET_KEY, upsert_assets, buckets)
+
+
+def stored_edges(spark: SparkSession, path: str, buckets: int = 64) -> BucketedTable:
+    return BucketedTable(spark, path, EDGE_KEY, upsert_edges, buckets)
+
+
+def name_index(spark: SparkSession, path: str, slots: int = 256) -> NameIndex:
+    """An index of asset names at path, for search."""
+    return NameIndex(spark, path, ASSET_KEY, "name", slots)
+
+
+def search(assets: DataFrame, query: str, asset_type: str | None = None, limit: int = 20, index: NameIndex | None = None) -> DataFrame:
+    """Assets whose name holds the query (any case), most similar first by trigrams; none for fewer than 2 characters.
+
+    With an index only the postings of the query's grams are read for the names; without, every name is.
+    """
     query = query.strip()
     if len(query) < 2:
         return assets.select("*", F.lit(0.0).alias("similarity")).limit(0)
-    found = assets.where(F.contains(F.lower("name"), F.lit(query.lower())))
+    if index:
+        hits = index.holding(query)
+        found = assets.join(hits, [assets[c].eqNullSafe(hits[c]) for c in ASSET_KEY], "left_semi")
+    else:
+        found = assets.where(F.contains(F.lower("name"), F.lit(query.lower())))
     found = found.where(F.col("asset_type") == asset_type) if asset_type else found
     mine, theirs = trigrams(F.col("name")), trigrams(F.lit(query))
     score = F.size(F.array_intersect(mine, theirs)) / F.greatest(F.lit(1), F.size(F.array_union(mine, theirs)))

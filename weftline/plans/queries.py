@@ -403,6 +403,39 @@ add("cat3_classify_node", lambda s, d: t(s, d, "events").select("event_id", cata
 STEP = "CASE event_id % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'save' WHEN 2 THEN 'join' ELSE 'filter' END"
 add("cat4_classify_edge", lambda s, d: t(s, d, "events").select("event_id", catalog.classify_edge(F.expr(STEP)).alias("relation")), "SELECT event_id, ['reads_from', 'writes_to', 'joins', 'transforms'][event_id % 4 + 1] AS relation FROM events")
 GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda k: substr('  ' || w || ' ', k, 3)))))"
+def stored_upserts(s, d):
+    """The assets merged into a stored table in three batches of the log."""
+    a = event_assets(s, d)
+    store = catalog.stored_assets(s, new_path(s, "assets"), 16)
+    for k in range(3):
+        store.merge(a.where(f"id % 3 = {k}"))
+    return store.table(a.schema)
+
+
+def stored_edge_upserts(s, d):
+    e = event_edges(s, d)
+    store = catalog.stored_edges(s, new_path(s, "edges"), 16)
+    for k in range(3):
+        store.merge(e.where(f"run_id % 3 <> {k}"))
+    return store.table(e.schema)
+
+
+add("cat1_stored_upserts", lambda s, d: stored_upserts(s, d).drop("owner_id"), f"SELECT * FROM {UPSERTED}")
+add("cat2_stored_edges", stored_edge_upserts, f"SELECT DISTINCT * FROM {EDGES}")
+
+
+def indexed_search(s, d):
+    """Names filed in two batches that overlap, then looked up by the query's grams."""
+    a = event_assets(s, d)
+    index = catalog.name_index(s, new_path(s, "names"), 64)
+    index.add(a.where("id % 2 = 0"))
+    index.add(a.where("id % 3 > 0"))
+    index.add(a)
+    return catalog.search(upserted(s, d), "sset 11", limit=1000, index=index).select("name", "similarity")
+
+
+add("cat7_indexed_search", indexed_search,
+    f"SELECT name, round(len(list_intersect({GRAMS.format('name')}, {GRAMS.format(chr(39) + 'sset 11' + chr(39))})) / len(list_distinct(list_concat({GRAMS.format('name')}, {GRAMS.format(chr(39) + 'sset 11' + chr(39))}))), 4)::DOUBLE AS similarity FROM {UPSERTED} WHERE contains(lower(name), 'sset 11') ORDER BY similarity DESC, name LIMIT 1000")
 add("cat7_search", lambda s, d: catalog.search(upserted(s, d), "Asset 11", limit=20).select("name", "similarity"),
     f"SELECT name, round(len(list_intersect({GRAMS.format('name')}, {GRAMS.format(chr(39) + 'Asset 11' + chr(39))})) / len(list_distinct(list_concat({GRAMS.format('name')}, {GRAMS.format(chr(39) + 'Asset 11' + chr(39))}))), 4)::DOUBLE AS similarity FROM {UPSERTED} WHERE contains(lower(name), 'asset 11') ORDER BY similarity DESC, name LIMIT 20")
 NOW = "2024-01-20 00:00:00"
