@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -122,14 +123,49 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     return every.join(found, "bin", "left").select("bin", F.round(F.col("lo") + F.col("bin") * F.col("w"), 6).alias("bin_start"), F.round(F.col("lo") + (F.col("bin") + 1) * F.col("w"), 6).alias("bin_end"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def heavy_hitters(df: DataFrame, names: list[str], k: int, tracked: int = 10_000) -> tuple[list[tuple], list[str], dict[str, int]]:
+    """Rows (column, value, count, rank) of the k most frequent values where a sketch can prove them, the columns where it can't, and each column's count of values.
+
+    One aggregate makes a frequent-items sketch of each column; what it returns is counted exactly in a second pass. A value that it doesn't return occurs at
+    most 2 * 3.5 * rows / map size times (its error bound on both sides). Where the k-th exact count is above that, no other value can be among the first or tie with them.
+    """
+    size = 1 << math.ceil(math.log2(tracked / 0.75))
+    texts = {n: F.col(f"`{n}`").cast("string") for n in names}
+    aggs = [x for i, n in enumerate(names) for x in (F.count(F.col(f"`{n}`")).alias(f"n__{i}"), F.call_function("approx_top_k", texts[n], F.lit(tracked), F.lit(tracked)).alias(f"top__{i}"))]
+    one = df.agg(F.count(F.lit(1)).alias("total"), *aggs).first()
+    error = 3.5 * one["total"] / size
+    sought = []
+    for i, n in enumerate(names):
+        items = sorted(((r["count"], r["item"]) for r in one[f"top__{i}"] or [] if r["item"] is not None), reverse=True)
+        if len(items) >= k:
+            sought += [(n, value) for count, value in items if count >= items[k - 1][0] - error]
+    counted: dict[str, list] = {}
+    if sought:
+        asked = sorted({n for n, _ in sought})
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), texts[n].alias("value")) for n in asked])).alias("r")).select("r.*")
+        wanted = df.sparkSession.createDataFrame(sought, "column string, value string")  # at most tracked rows a column
+        for r in long.join(F.broadcast(wanted), ["column", "value"]).groupBy("column", "value").agg(F.count("*").alias("count")).collect():
+            counted.setdefault(r["column"], []).append((-r["count"], r["value"]))
+    proved = {n: sorted(v)[:k] for n, v in counted.items() if -sorted(v)[k - 1][0] > 2 * error}
+    rows = [(n, value, -count, rank) for n, found in proved.items() for rank, (count, value) in enumerate(found, 1)]
+    return rows, [n for n in names if n not in proved], {n: one[f"n__{i}"] for i, n in enumerate(names)}
+
+
 def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
-    """column, value, count, pct, rank: the k most frequent values of the text columns (ties by value)."""
+    """column, value, count, pct, rank: the k most frequent values of the text columns (ties by value), exact.
+
+    From sketches and a recount where these decide (heavy_hitters); only columns whose first values aren't set apart from the others are counted whole.
+    """
     names = columns or _text(df)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in names])).alias("r")).select("r.*").where("value is not null")
-    found = long.groupBy("column", "value").agg(F.count("*").alias("count"))
-    total = found.groupBy("column").agg(F.sum("count").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(total), "column").select("column", "value", "count", F.round(100.0 * F.col("count") / F.col("n"), 2).alias("pct"), "rank")  # a row per column
+    rows, rest, totals = heavy_hitters(df, names, k) if names else ([], [], {})
+    found = df.sparkSession.createDataFrame(rows, "column string, value string, count long, rank int")
+    if rest:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in rest])).alias("r")).select("r.*").where("value is not null")
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
+        whole = long.groupBy("column", "value").agg(F.count("*").alias("count")).withColumn("rank", rank).where(F.col("rank") <= k)
+        found = found.unionByName(whole)
+    n = df.sparkSession.createDataFrame(list(totals.items()), "column string, n long")  # a row per column
+    return found.join(F.broadcast(n), "column").select("column", "value", "count", F.round(100.0 * F.col("count") / F.col("n"), 2).alias("pct"), "rank")
 
 
 def text_lengths(df: DataFrame) -> DataFrame:

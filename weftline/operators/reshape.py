@@ -71,7 +71,10 @@ def deduplicate(df: DataFrame, subset: Sequence[str] | None = None, keep: str =
 
 
 def fill_nulls(df: DataFrame, columns: Sequence[str], strategy: str, constant_value=None, order_by: Sequence[str] = (), partition_by: Sequence[str] = ()) -> DataFrame:
-    """Nulls of columns by constant, forward_fill, backward_fill, mean, median or mode. No columns: all that fit."""
+    """Nulls of columns by constant, forward_fill, backward_fill, mean, median or mode. No columns: all that fit.
+
+    forward_fill and backward_fill go by order_by, within the keys of partition_by if given (null keys are a key); rows that tie there are in no order.
+    """
     strategy = {"ffill": "forward_fill", "bfill": "backward_fill"}.get(strategy, strategy)
     columns = list(columns) or [f.name for f in df.schema.fields if strategy not in ("mean", "median") or isinstance(f.dataType, T.NumericType)]
     need_columns(df, [*columns, *order_by, *partition_by], "fill_nulls")
@@ -98,18 +101,18 @@ def fill_nulls(df: DataFrame, columns: Sequence[str], strategy: str, constant_va
     forward = strategy == "forward_fill"
     frame = (Window.unboundedPreceding, Window.currentRow) if forward else (Window.currentRow, Window.unboundedFollowing)
     take = F.last if forward else F.first
-    if partition_by:
-        w = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(*frame)
-        return df.withColumns({c: take(F.col(f"`{c}`"), True).over(w) for c in columns})
-    # no key: ranges of the order, each filled by itself; what an earlier range ends with is carried on
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(parts, *order_by).withColumn("__part", F.spark_partition_id()), "ranges")
-    w = Window.partitionBy("__part").orderBy(*order_by).rowsBetween(*frame)
+    # ranges of key and order, each filled by itself, so that a frequent key is many tasks; what a key's earlier range ends with is carried on
+    keys, parts = list(partition_by), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *[F.col(f"`{c}`") for c in [*keys, *order_by]]).withColumn("__part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("__part", *keys).orderBy(*order_by).rowsBetween(*frame)
     pick = F.max_by if forward else F.min_by
     key = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(*order_by))
-    ends = ranged.groupBy("__part").agg(*[pick(F.col(f"`{c}`"), key(c)).alias(f"__{k}") for k, c in enumerate(columns)])
-    over = Window.orderBy("__part").rowsBetween(*((Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)))
-    carry = ends.select("__part", *[take(F.col(f"__{k}"), True).over(over).alias(f"__{k}") for k in range(len(columns))])  # a row per range
-    filled = ranged.withColumns({c: take(F.col(f"`{c}`"), True).over(w) for c in columns}).join(F.broadcast(carry), "__part", "left")
+    names = [f"__g{k}" for k in range(len(keys))]
+    ends = ranged.groupBy("__part", *[F.col(f"`{g}`").alias(n) for g, n in zip(keys, names)]).agg(*[pick(F.col(f"`{c}`"), key(c)).alias(f"__{k}") for k, c in enumerate(columns)])
+    ends = ends.withColumn("__spread", F.count("*").over(Window.partitionBy(*names))).where("__spread > 1")  # keys on both sides of a bound: at most two rows a range
+    over = Window.partitionBy(*names).orderBy("__part").rowsBetween(*((Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)))
+    carry = ends.select(F.col("__part").alias("__at"), *names, *[take(F.col(f"__{k}"), True).over(over).alias(f"__{k}") for k in range(len(columns))])
+    same = [F.col("__part") == F.col("__at"), *[F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in zip(keys, names)]]
+    filled = ranged.withColumns({c: take(F.col(f"`{c}`"), True).over(w) for c in columns}).join(F.broadcast(carry), same, "left")
     out = {c: F.coalesce(F.col(f"`{c}`"), F.col(f"__{k}")) for k, c in enumerate(columns)}
     return filled.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])

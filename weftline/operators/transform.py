@@ -204,14 +204,19 @@ def top_k(df: DataFrame, by, k: int, ascending=False) -> DataFrame:
     return sort(df, by, ascending=ascending).limit(k)
 
 
-def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, stratify_by: str | None = None, random_state: int = 42) -> DataFrame:
+def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, stratify_by: str | None = None, random_state: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """n rows, or each with probability fraction; per stratum max(1, its share of the target), if stratify_by is given.
 
-    n rows are those that come first by a seeded hash of the whole row: the same under any partitioning.
+    n rows are those that come first by a seeded hash of the whole row, or of the columns ``by`` that identify it: the same under any partitioning. The hash of
+    by is the MD5 of random_state and the columns' texts, joined by |, which other engines repeat; with by, a fraction takes the rows whose first eight digits are below it.
+    Each task keeps no more rows of a stratum than it can give.
     """
     if (n is None) == (fraction is None):
         raise StepError("sample: give n or fraction, not both")
-    key = F.xxhash64(F.lit(random_state), *[F.col(f"`{c}`") for c in df.columns])
+    need_columns(df, by, "sample")
+    digits = F.md5(F.concat_ws("|", F.lit(str(random_state)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in by]).cast("binary"))
+    whole = F.xxhash64(F.lit(random_state), *[F.col(f"`{c}`") for c in df.columns])
+    key = digits if by else whole
     if stratify_by:
         need_columns(df, [stratify_by], "sample")
         s = F.col(f"`{stratify_by}`")
@@ -223,10 +228,14 @@ def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, s
         quota = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(target) / F.lit(max(total, 1))))
         rows = df.withColumn("__key", key).join(counts.withColumn("__quota", quota), s == F.col("__s"))
         # a stratum may hold most rows: first what a slice of it could give at most, then the quota
-        slices = rows.withColumn("__slice", F.pmod("__key", F.lit(64)))
-        part = slices.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__slice").orderBy("__key"))).where("__rank <= __quota")
-        kept = part.withColumn("__rank", F.row_number().over(Window.partitionBy("__s").orderBy("__key"))).where("__rank <= __quota")
+        slices = rows.withColumn("__slice", F.pmod(whole, F.lit(64)))
+        most = max(1, target)  # no quota is above it; a bound that the plan knows lets each task drop the rest before the shuffle
+        ties = [F.col(f"`{c}`") for c in df.columns]
+        part = slices.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__slice").orderBy("__key", *ties))).where(f"__rank <= {most}").where("__rank <= __quota")
+        kept = part.withColumn("__rank", F.row_number().over(Window.partitionBy("__s").orderBy("__key", *ties))).where(f"__rank <= {most}").where("__rank <= __quota")
         return kept.select(*[F.col(f"`{c}`") for c in df.columns])
     if n is not None:
         return df.orderBy(key, *[F.col(f"`{c}`") for c in df.columns]).limit(n)
+    if by:
+        return df.where(F.conv(F.left(digits, F.lit(8)), 16, 10).cast("long") < int(min(max(fraction, 0.0), 1.0) * (1 << 32)))
     return df.sample(min(max(fraction, 0.0), 1.0), random_state)

@@ -166,9 +166,11 @@ add("agg15_global", lambda s, d: rounded(transform.aggregate(exact(t(s, d, "orde
 add("srt1_sort", lambda s, d: transform.sort(holed(s, d), "value", "desc"), f"SELECT * FROM {HOLED} ORDER BY value DESC NULLS LAST")
 add("srt2_sort_many", lambda s, d: transform.sort(t(s, d, "orders"), ["o_orderstatus", "o_totalprice"], ascending=[True, False]), "SELECT * FROM orders ORDER BY o_orderstatus, o_totalprice DESC")
 add("srt3_top_k", lambda s, d: transform.top_k(t(s, d, "orders"), ["o_totalprice", "o_orderkey"], 25), "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
-QUERIES["smp1_sample_n"] = lambda s, d: transform.sample(t(s, d, "orders"), n=100)
-QUERIES["smp2_sample_fraction"] = lambda s, d: transform.sample(t(s, d, "orders"), fraction=0.1)
-QUERIES["smp3_sample_stratified"] = lambda s, d: transform.sample(t(s, d, "orders"), n=200, stratify_by="o_orderpriority")
+HASH = "md5('42|' || o_orderkey::VARCHAR)"
+add("smp1_sample_n", lambda s, d: transform.sample(t(s, d, "orders"), n=100, by=["o_orderkey"]), f"SELECT * FROM orders ORDER BY {HASH} LIMIT 100")
+add("smp2_sample_fraction", lambda s, d: transform.sample(t(s, d, "orders"), fraction=0.1, by=["o_orderkey"]), f"SELECT * FROM orders WHERE ('0x' || left({HASH}, 8))::BIGINT < floor(0.1 * 4294967296)")
+add("smp3_sample_stratified", lambda s, d: transform.sample(t(s, d, "orders"), n=200, stratify_by="o_orderpriority", by=["o_orderkey"]),
+    f"SELECT * EXCLUDE (k, q) FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {HASH}) AS k, greatest(1, count(*) OVER (PARTITION BY o_orderpriority) * 200 // (SELECT count(*) FROM orders)) AS q FROM orders) WHERE k <= q")
 
 # --- reshape ------------------------------------------------------------------------------------------------------------------
 add("pvt1_pivot", lambda s, d: rounded(reshape.pivot(t(s, d, "lineitem"), ["l_returnflag"], "l_linestatus", "l_quantity", pivot_values=["F", "O"]), 2),
@@ -285,10 +287,14 @@ add("prf4_histogram", lambda s, d: profile.histogram(holed(s, d), "value").selec
 add("prf5_is_integer", lambda s, d: profile.numeric_stats(t(s, d, "part")).select("column", "is_integer"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", bool_and({c} = floor({c})) AS is_integer FROM part" for c in PARTS))
 add("prf6_top_values", lambda s, d: profile.top_values(t(s, d, "orders")).select("column", "value", "count", "rank"),
     " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", {c} AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5" for c in ("o_orderstatus", "o_orderpriority")))
+add("prf6_heavy_hitters", lambda s, d: profile.top_values(t(s, d, "documents").select("source", "lang", F.expr("split(text, ' ')[0]").alias("first_word")), 3).select("column", "value", "count", "rank"),
+    " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", {v} AS value, count(*) AS count, (row_number() OVER (ORDER BY count(*) DESC, {v}))::INT AS rank FROM documents WHERE {v} IS NOT NULL GROUP BY 2) WHERE rank <= 3" for c, v in (("source", "source"), ("lang", "lang"), ("first_word", "string_split(text, ' ')[1]"))))
 add("prf7_text_lengths", lambda s, d: profile.text_lengths(t(s, d, "documents").select("text", "lang")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(length({c})), 6) AS avg_length, max(length({c})) AS max_length FROM documents" for c in ("text", "lang")))
 add("prf10_completeness", lambda s, d: profile.completeness(holed(s, d)), f"SELECT round(100.0 * (1 - (count(*) FILTER (user_id IS NULL) + count(*) FILTER (event_type IS NULL) + count(*) FILTER (value IS NULL)) / (5.0 * count(*))), 4)::DOUBLE AS completeness_pct FROM {HOLED}")
 QUERIES["prf8_semantic_types"] = lambda s, d: profile.semantic_types(t(s, d, "customer"))
-QUERIES["prf11_sampled_profile"] = lambda s, d: profile.counts(t(s, d, "lineitem").sample(0.1, 42))
+SAMPLED = "(SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey FROM lineitem WHERE ('0x' || left(md5('42|' || l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR), 8))::BIGINT < floor(0.1 * 4294967296))"
+add("prf11_sampled_profile", lambda s, d: profile.counts(transform.sample(t(s, d, "lineitem"), fraction=0.1, by=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey")),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} IS NULL) AS null_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct, count(DISTINCT {c}) AS unique_count FROM {SAMPLED}" for c in ("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey")))
 
 
 # --- drift ----------------------------------------------------------------------------------------------------------------------------

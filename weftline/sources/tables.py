@@ -29,10 +29,16 @@ def load(spark: SparkSession, path: str, kind: str | None = None, schema=None, m
 
 
 def file_metadata(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """file, row_count, columns, dtypes of every file below path; the counts come from one grouped scan."""
+    """file, bytes, row_count, columns, dtypes of every file below path, files without rows too.
+
+    Parquet counts read no column: rows come from the files' footers (the scan's schema is empty). Files are listed without being opened.
+    """
     df = load(spark, path, kind)
-    counted = df.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count("*").alias("row_count"))
-    return counted.select("file", "row_count", F.lit(len(df.columns)).alias("column_count"), F.array(*map(F.lit, df.columns)).alias("columns"), F.array(*[F.lit(t) for _, t in df.dtypes]).alias("dtypes"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    counted = df.groupBy(name.alias("file")).agg(F.count("*").alias("row_count"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    found = listed.join(counted, "file", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    return found.select("file", "bytes", "row_count", F.lit(len(df.columns)).alias("column_count"), F.array(*map(F.lit, df.columns)).alias("columns"), F.array(*[F.lit(t) for _, t in df.dtypes]).alias("dtypes"))
 
 
 def preview(df: DataFrame, rows: int = 20, role: str | None = None, policies=None) -> DataFrame:
