@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arguments import StepError
 from ..operators import contracts, quality, reshape, sqlstep, transform, udf
 from ..sources import tables as tables_io
-from ..sources.shared import cut
+from ..sources.shared import cut, cut_at, discard
 
 
 @dataclass
@@ -26,6 +26,7 @@ class StepResult:
     inputs: list[StepResult] = field(default_factory=list)
     report: dict | None = None
     seconds: float = 0.0
+    path: str | None = None
 
     @property
     def rows_in(self) -> int:
@@ -65,7 +66,7 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
     """A StepResult per step, lazy until an action. tables: by the name that load steps give in ``table`` (or file_id).
 
     A step names its ``input`` (join: left and right); a validate step raises if a rule of severity error fails; ``contract`` on a step
-    is checked likewise. A step that several others read is persisted; release gives it up. A save step writes its input to ``path`` (or file_name) at once, by
+    is checked likewise. A step that several others read is written to the shared folder at once, so that it isn't run again, also after a lost executor; release deletes it. A save step writes its input to ``path`` (or file_name) at once, by
     the file's extension, and its report holds rows, format, bytes and path. seconds: how long a step took to plan, and a save or validate step to run.
     observe: count each step's rows while an action runs. A sort's input is then written first: a sort by ranges reads its input twice, which would count its rows twice.
     """
@@ -121,18 +122,19 @@ def run(steps: list[dict], tables: dict[str, DataFrame], observe: bool = False)
         if observe:
             seen = Observation(f"step {name}")
             frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
+        path = None
         if readers[name] > 1 and kind != "load":
-            frame = frame.persist()
+            frame, path = cut_at(frame, "reused")
         inputs = [made[x] for x in (step.get("input"), step.get("left"), step.get("right"), *step.get("inputs", {}).values()) if x in made]
-        made[name] = StepResult(name, kind, frame, before, seen, inputs, report, time.monotonic() - began)
+        made[name] = StepResult(name, kind, frame, before, seen, inputs, report, time.monotonic() - began, path)
     return made
 
 
 def release(made: dict[str, StepResult]) -> None:
-    """Give up what run persisted."""
+    """Delete the tables that run wrote for steps with several readers; what reads them can't be run any more."""
     for r in made.values():
-        if r.kind != "load":
-            r.frame.unpersist()
+        if r.path:
+            discard(r.frame.sparkSession, r.path)
 
 
 def trial(steps: list[dict], tables: dict[str, DataFrame], rows: int = 100) -> dict:

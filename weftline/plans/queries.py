@@ -522,6 +522,41 @@ add("lin3_impact", lambda s, d: lineage.impact(event_lineage(s, d), "s0", "c1",
 add("lin4_column_pairs", lambda s, d: lineage.column_pairs(event_lineage(s, d).groupBy("run_id", F.col("step").alias("step_name")).agg(F.collect_set("in_col").alias("columns_in"), F.collect_set("out_col").alias("columns_out"))),
     f"WITH l AS {LINEAGE} SELECT DISTINCT a.run_id, a.step AS step_name, a.in_col, b.out_col FROM l a JOIN (SELECT DISTINCT run_id, step, out_col FROM l) b ON a.run_id = b.run_id AND a.step = b.step")
 add("lin1_edges", all_lineage, f"SELECT * FROM {ALL_LINEAGE}")
+KINDS = ("load", "filter", "select", "rename", "join", "aggregate", "pivot", "unpivot", "deduplicate", "fill_nulls", "sample", "sql", "transform", "compute", "sort", "save")
+
+
+def lineage_of_every_kind(s, d):
+    """A step record for each event, of sixteen kinds in turn, whose columns depend on the user."""
+    e = t(s, d, "events")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 16 + 1).cast("int"))
+    u, k, z = F.concat(F.lit("c"), F.col("user_id") % 3), F.lit("k"), F.lit("z")
+    outputs = F.when(kind == "load", F.array(k, u)).when(kind == "pivot", F.array(k, F.lit("p1"), F.lit("p2"))).when(kind == "unpivot", F.array(k, F.lit("variable"), F.lit("value"))).when(kind == "sql", F.array(F.lit("o"), u)).otherwise(F.array(k, u, z, F.lit("made")))
+    made = {
+        "run_id": F.col("event_id").cast("string"), "step": F.lit("s"), "step_type": kind, "inputs": F.when(kind == "join", F.array(F.lit("a"), F.lit("b"))).when(kind != "load", F.array(F.lit("a"))),
+        "input_columns": F.when(kind == "join", F.array(F.array(k, u, z), F.array(k, u, F.lit("w")))).otherwise(F.array(F.array(k, u, z))), "columns": F.array(u), "mapping": F.create_map(u, F.lit("new")), "join_key": k,
+        "aggregations": F.array(F.struct(u.alias("column"), F.lit("sum").alias("function")), F.struct(z.alias("column"), F.lit("max").alias("function"))), "group_by": F.array(k), "index": F.array(k), "value_column": u, "output_columns": outputs,
+    }
+    kinds = [(f.name, f.dataType) for f in T._parse_datatype_string(lineage.RECORD)]
+    return lineage.edges(e.select(*[made[c].cast(of).alias(c) for c, of in kinds]))
+
+
+def _edge_list(*edges: tuple[str, ...]) -> str:
+    """SQL of a list of edges: (from step, column, to column[, key]); u stands for the user's column."""
+    text = lambda x: "u" if x == "u" else f"u || '{x[1:]}'" if x.startswith("u_") else f"'{x}'"
+    return "[" + ", ".join(f"{{'i': '{i}', 'c': {text(c)}, 'o': {text(o)}, 'j': {bool(key)}}}" for i, c, o, *key in edges) + "]"
+
+
+def _all_with_all(*outputs: str) -> str:
+    return _edge_list(*[("a", c, o) for c in ("k", "u", "z") for o in outputs])
+
+
+EDGE_RULES = {
+    "load": _edge_list(("file:s", "k", "k"), ("file:s", "u", "u")), "select": _edge_list(("a", "u", "u")), "rename": _edge_list(("a", "k", "k"), ("a", "u", "new"), ("a", "z", "z")),
+    "join": _edge_list(("a", "k", "k", "key"), ("a", "u", "u_left"), ("a", "z", "z"), ("b", "k", "k", "key"), ("b", "u", "u_right"), ("b", "w", "w")), "aggregate": _edge_list(("a", "k", "k"), ("a", "u", "u_sum"), ("a", "z", "z_max")),
+    "pivot": _edge_list(("a", "k", "k"), ("a", "u", "p1"), ("a", "u", "p2")), "unpivot": _all_with_all("k", "variable", "value"), "sql": _all_with_all("o", "u"), "transform": _all_with_all("k", "u", "z", "made"), "compute": _all_with_all("k", "u", "z", "made"),
+}
+add("lin1_every_kind", lineage_of_every_kind,
+    f"SELECT run_id, 's' AS step, kind AS step_type, x.i AS in_step, x.c AS in_col, x.o AS out_col, x.j AS is_join_key FROM (SELECT run_id, kind, unnest(CASE kind {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in EDGE_RULES.items())} ELSE {_edge_list(('a', 'k', 'k'), ('a', 'u', 'u'), ('a', 'z', 'z'))} END) AS x FROM (SELECT event_id::VARCHAR AS run_id, 'c' || (user_id % 3) AS u, {list(KINDS)}[event_id % 16 + 1] AS kind FROM events))")
 add("lin2_ancestry_all_runs", lambda s, d: lineage.ancestry(all_lineage(s, d), "s4", "c0", 10), _walk_sql("s4:c0", "a", "b", ALL_LINEAGE))
 add("lin3_impact_all_runs", lambda s, d: lineage.impact(all_lineage(s, d), "s0", "c1", 10), _walk_sql("s0:c1", "b", "a", ALL_LINEAGE))
 add("lin4_column_pairs_all_runs", lambda s, d: lineage.column_pairs(all_lineage(s, d).groupBy("run_id", F.col("step").alias("step_name")).agg(F.collect_set("in_col").alias("columns_in"), F.collect_set("out_col").alias("columns_out"))),
