@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, cut_at, discard
 
-__all__ = ["DOCUMENT_COLUMNS", "components", "cut", "cut_at", "discard", "prepare", "private", "readable", "table"]
+__all__ = ["DOCUMENT_COLUMNS", "components", "cut", "cut_at", "discard", "prepare", "private", "readable", "table", "whole_texts"]
 
 #: Column order of ``documents``; pipeline stages return exactly these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,6 +32,11 @@ def readable(column: str) -> Column:
     return F.make_valid_utf8(F.col(column).cast("string")).alias(column)
 
 
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """docs with readable texts; all other columns as they are."""
+    return docs.withColumn("text", readable("text"))
+
+
 def private(columns: list[str], name: str) -> str:
     """name, made longer until no column (in any case) has it."""
     taken = {c.lower() for c in columns}

@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import prepare
+from .common import prepare, whole_texts
 
 #: A section ends after a blank line, or after a paragraph whose digest begins below this (1 in 8), so that edits elsewhere don't move it.
 SECTION_BELOW = 32
@@ -124,6 +126,7 @@ def trees(docs: DataFrame) -> DataFrame:
     A null text counts as empty; an empty text has one section with one empty paragraph; rows with equal texts have equal
     trees; other columns are left aside.
     """
+    docs = whole_texts(docs)
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +144,11 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """docs' doc_id and text in buckets by ascending id, sorted, each bucket followed by the row that comes next (halo 1).
 
     The bucket limits are quantiles of the ids; per bucket only its first id goes to the driver (as many as
-    partitions). The texts are shuffled once. After the last row comes the first. Equal ids follow by text, null ids come last.
+    partitions). The texts are shuffled once. After the last row comes the first. Equal ids follow by text, null ids come last. Ids are integers of any size; others are refused.
     """
+    docs = whole_texts(docs)
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer, as texts are edited by the next id's")
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key_"))
@@ -194,7 +200,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 out = []
 
     kind = dict(docs.dtypes)["doc_id"]
-    ids = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
+    ids = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = pa.schema([("doc_id", ids), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edit_section", pa.int32()), ("edit_paragraph", pa.int32())])
     rows = with_next(docs).select("doc_id", "text", "bucket", "halo")
     return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_section int, edit_paragraph int")

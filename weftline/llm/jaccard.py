@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, prepare, private
+from .common import components, cut, prepare, private, whole_texts
 
 #: Words of a shingle; documents link from this percentage of common shingles on.
 WORDS, PERCENT = 5, 75
@@ -527,6 +527,7 @@ def text_classes(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Dat
 
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, text_name, class of every row; text_name and class are null for rows that link with nothing."""
+    docs = whole_texts(docs)
     prepare(docs.sparkSession)
     frequent = frequent_shingles(docs)
     facts = cut(text_facts(docs, frequent), "facts")
@@ -555,6 +556,7 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     Of rows that repeat both its id and its words, one stays; so of rows that repeat an id without any words. Rows without an id stay. Columns of docs
     keep their names and values whatever they are called.
     """
+    docs = whole_texts(docs)
     rows = _classes(docs).where("class is not null")
     kept = cut(rows.groupBy("class").agg(F.min(F.struct("doc_id", "text_name")).alias("kept")), "kept")
     gone = rows.join(kept, "class").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("text_name") != F.col("kept.text_name"))).select("doc_id", "text_name").distinct()

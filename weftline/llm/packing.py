@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, prepare
+from .common import cut, prepare, whole_texts
 
 #: Ids of a sequence, documents of an index shard, BM25's parameters.
 WINDOW, SHARD, K1, B = 1024, 512, 1.2, 0.75
@@ -271,6 +272,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
     Null and empty texts are the one END id; rows that repeat a doc_id are packed each; ids are handed to tasks as uint16 (the vocabulary is smaller);
     an empty table gives no rows; other columns are left aside. path: the tokenizer's file, readable on every executor.
     """
+    docs = whole_texts(docs)
     spark = docs.sparkSession
     prepare(spark)
     kind = dict(docs.dtypes)["doc_id"]
@@ -305,7 +307,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    ids_kind = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
+    ids_kind = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     packed = ordered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "terms").mapInArrow(run, schema)
     full = pieces.where("ids is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, whole_texts
 
 #: Places for hashed pairs of bytes, and measures of the whole text after them.
 PAIRS, MEASURES = 512, 12
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     labels: doc_id, quality; the caller leaves out held-out rows. The class prior is the share of quality 1 among all labelled rows.
     Null labels are left out. Without trusted positives there is no model.
     """
+    docs = whole_texts(docs)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     if not prior:
@@ -121,6 +122,7 @@ def with_quality(docs: DataFrame, model: Model | None, threshold: float = 0.3) -
     Null texts score as empty ones; without a model every score is 0.5; equal texts score alike; an empty table gives no rows; columns of docs named
     score or predicted are replaced; labels, language, source and id don't enter. The model is a few kB, sent with the task.
     """
+    docs = whole_texts(docs)
     prepare(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     at = docs.columns.index("text")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, whole_texts
 
 #: A block of documents ends before it holds more documents or more code points than this (a longer text is a block of its own).
 BLOCK_DOCS, BLOCK_CHARS = 4000, 16 << 20
@@ -184,6 +184,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     Null texts count as empty (0 bytes, 0 tokens); special strings inside texts count as the one token that the library makes of them; repeated rows
     are counted each; an empty table gives none; other columns are left aside. path: the tokenizer's file, readable on every executor.
     """
+    docs = whole_texts(docs)
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     blocks = cut(frequencies(docs, path), "frequencies")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prepare
+from .common import cut, prepare, whole_texts
 from .quality import sampled
 
 #: Letters of a token's beginnings that are features besides the token itself.
@@ -264,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, chain: int =
     under the document labels). The classes are sampled apart, so that a rare one isn't lost; the calibration weighs them half way (geometrically) back to the labels' shares.
     None only if one of the classes is missing. An empty table has no classes.
     """
+    docs = whole_texts(docs)
     prepare(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select("doc_id", "text")
@@ -321,6 +322,7 @@ def with_toxicity(docs: DataFrame, tagger: Tagger | None, threshold: float = 0.7
     Null and empty texts get the score of a text without any indicative token and no spans; without a tagger every score is 0; equal texts score
     alike; an empty table gives no rows; columns of docs with those names are replaced; labels, language, source and id don't enter.
     """
+    docs = whole_texts(docs)
     prepare(docs.sparkSession)
     docs = docs.drop("score", "predicted", "spans")
     at = docs.columns.index("text")
