@@ -21,7 +21,7 @@ def names(rng, n):
 
 def all_pairs(a, b):
     a, b = (sorted({x for x in v if x}) for v in (a, b))
-    s = np.concatenate([drift.winkler([x.lower()] * len(b), [y.lower() for y in b]) for x in a]).reshape(len(a), len(b))
+    s = np.concatenate([drift.winklers([x.lower()] * len(b), [y.lower() for y in b]) for x in a]).reshape(len(a), len(b))
     return {(a[i], b[j]): s[i, j] for i, j in zip(*np.nonzero(s >= 0.85))}
 
 
@@ -41,7 +41,7 @@ def test_winkler_of_batches():
     rng = random.Random(7)
     a, b = ([" ".join(rng.choice(["ab", "ba", "abc", "xyz", "", "m"]) for _ in range(rng.randint(0, 5))) for _ in range(400)] for _ in range(2))
     want = [duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [x, y]).fetchone()[0] if x or y else 1.0 for x, y in zip(a, b)]
-    assert np.allclose(drift.winkler(a, b), want, atol=1e-12) and len(drift.winkler([], [])) == 0
+    assert np.allclose(drift.winklers(a, b), want, atol=1e-12) and len(drift.winklers([], [])) == 0
 
 
 def test_keys_keep_tables_apart_and_types_raise_confidence(spark):

@@ -36,7 +36,7 @@ def latest_drift(snapshots: DataFrame) -> DataFrame:
     return drift(rows.where("rank = 2").drop("rank"), rows.where("rank = 1").drop("rank"), ("file_id",))
 
 
-def winkler(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+def winklers(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     """Jaro-Winkler similarities (prefix weight 0.1, up to 4 letters, from a Jaro similarity over 0.7 on) of the texts of two lists, place by place.
 
     All pairs of the lists go letter by letter at once, so the loop is as long as the longest text, not as the lists.
@@ -66,9 +66,14 @@ def winkler(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return np.where((la == lb) & (same.sum(1) == la), 1.0, np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro))
 
 
+def winkler(a: str, b: str) -> float:
+    """Jaro-Winkler similarity of two texts."""
+    return float(winklers([a], [b])[0])
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(np.concatenate([winkler(a[k : k + 2000].tolist(), b[k : k + 2000].tolist()) for k in range(0, len(a), 2000)]) if len(a) else [], dtype="float64")
+    return pd.Series(np.concatenate([winklers(a[k : k + 2000].tolist(), b[k : k + 2000].tolist()) for k in range(0, len(a), 2000)]) if len(a) else [], dtype="float64")
 
 
 def _shared(threshold: float, prefix: int) -> float:
