@@ -65,9 +65,9 @@ def deduplicate(df: DataFrame, subset: Sequence[str] | None = None, keep: str =
         return made.where("__n = 1").select("__row.*")
     if not order_by:
         raise StepError("deduplicate: keep first or last by a subset needs order_by, as rows have no order")
-    order = F.struct(*[F.col(f"`{c}`") for c in order_by], whole)
-    made = df.groupBy(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keys)]).agg((F.min_by if keep == "first" else F.max_by)(whole, order).alias("__row"))
-    return made.select("__row.*")
+    order = F.struct(*[F.col(f"`{c}`").alias(f"__o{k}") for k, c in enumerate(order_by)], whole.alias("__row"))
+    made = df.groupBy(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keys)]).agg((F.min if keep == "first" else F.max)(order).alias("__best"))
+    return made.select("__best.__row.*")
 
 
 def fill_nulls(df: DataFrame, columns: Sequence[str], strategy: str, constant_value=None, order_by: Sequence[str] = (), partition_by: Sequence[str] = ()) -> DataFrame:

@@ -149,21 +149,23 @@ KINDS = {"customer": {"c_custkey": "whole", "c_name": "text", "c_nationkey": "wh
 
 
 def _type_sql(table: str, source: str, c: str, kind: str) -> str:
-    hint = lambda words: f"regexp_matches('{c}', '{words}')"
-    share = lambda pattern: f"avg(regexp_matches({c}, '{pattern}')::INT)"
+    """Type and flags of one column; name hints and patterns are those of profile."""
+    hint = lambda words: "(" + " OR ".join(f"contains(lower('{c}'), '{w}')" for w in words) + ")"
+    named = lambda of: hint(profile.NAME_HINTS[of])
+    above = lambda of: f"avg(regexp_matches({c}, '{profile.PATTERNS[of][0]}')::INT) > {profile.PATTERNS[of][1]}"
     unique, n, d, null = f"count(DISTINCT {c}) / count(*)", f"count({c})", f"count(DISTINCT {c})", f"1 - count({c}) / count(*)"
-    phone, text = share("^[+\\d\\-()\\s]{7,15}$"), kind == "text"
     if kind == "moment":
         made = "'datetime'"
     elif kind in ("whole", "number"):
-        made = f"CASE WHEN {n} > 0 AND {kind == 'whole'} AND {unique} > 0.9 AND {hint('id|key|ref|code|num')} THEN 'integer_id' WHEN {n} > 0 AND {hint('price|cost|revenue|amount|salary|fee|charge|payment')} THEN 'currency' ELSE 'numeric' END"
+        made = f"CASE WHEN {n} > 0 AND {kind == 'whole'} AND {unique} > 0.9 AND {named('integer_id')} THEN 'integer_id' WHEN {n} > 0 AND {named('currency')} THEN 'currency' ELSE 'numeric' END"
     else:
-        made = f"""CASE WHEN {n} = 0 THEN 'text' WHEN bool_and(lower({c}) IN ('true', 'false', 'yes', 'no', '1', '0', 't', 'f', 'y', 'n')) THEN 'boolean' WHEN {hint('mail')} OR {share('^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}$')} > 0.8 THEN 'email'
-WHEN {hint('phone|mobile|tel|contact')} OR {phone} > 0.7 THEN 'phone' WHEN {hint('url|link|href|website')} OR {share('^https?://')} > 0.5 THEN 'url' WHEN {hint('date|time|at|on|created|updated|modified')} AND bool_and(try_cast({c} AS TIMESTAMP) IS NOT NULL) THEN 'datetime'
-WHEN {hint('id|key|code|ref|sku|hash')} THEN 'identifier' WHEN {unique} < 0.05 THEN 'categorical' ELSE 'text' END"""
-    flags = {
-        "likely_pii": hint("name|email|phone|mobile|address|ssn|passport|dob|birth_?date|gender|sex|age|salary|income|credit|bank|account|ip"), "likely_id": hint("_id|id_|_key|uuid|guid"), "likely_date": hint("date|time|at|_on|created|updated"), "likely_boolean": f"{d} <= 2",
-        "likely_email": f"coalesce({share('@.*[.]')} > 0.7, false)" if text else "false", "likely_phone": f"coalesce({phone} > 0.7, false)" if text else "false", "high_cardinality": f"{unique} > 0.9", "low_cardinality": f"{unique} < 0.01 AND {d} > 1", "high_null_rate": f"{null} > 0.2", "constant": f"{d} = 1",
+        either = lambda of: f"WHEN {named(of)} OR {above(of)} THEN '{of}'"
+        made = f"""CASE WHEN {n} = 0 THEN 'text' WHEN bool_and(lower({c}) IN {profile.BOOLEAN_WORDS}) THEN 'boolean' {either('email')} {either('phone')} {either('url')}
+WHEN {named('datetime')} AND bool_and(try_cast({c} AS TIMESTAMP) IS NOT NULL) THEN 'datetime' {either('identifier')} WHEN {unique} < 0.05 THEN 'categorical' ELSE 'text' END"""
+    share = lambda of: f"coalesce({above(of)}, false)" if kind == "text" else "false"
+    flags = {flag: hint(words) for flag, words in profile.FLAG_HINTS.items()} | {
+        "likely_boolean": f"{d} <= 2", "likely_email": share("likely_email"), "likely_phone": share("phone"),
+        "high_cardinality": f"{unique} > 0.9", "low_cardinality": f"{unique} < 0.01 AND {d} > 1", "high_null_rate": f"{null} > 0.2", "constant": f"{d} = 1",
     }
     shown = ", ".join(f"CASE WHEN {x} THEN '{flag}' END" for flag, x in flags.items())
     return f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", {made} AS semantic_type, concat_ws(',', {shown}) AS flags FROM {source}"
