@@ -51,30 +51,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, batch: int = 1000, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> Model:
-    """Minimise prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)]), logistic loss, linear g, by Adam.
+def pu_risk(weights: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """(risk, direction to go against) of the linear g(x) = x . weights[:-1] + weights[-1] under logistic loss.
 
-    Where the second term of a batch falls below 0, the step goes against it alone, as the non-negative estimator has it.
+    The risk is prior * E_P[loss(g)] + max(0, rest), rest = E_U[loss(-g)] - prior * E_P[loss(-g)]. The direction is its gradient, or minus that of rest where rest is
+    below 0, as the non-negative estimator has it.
     """
+    w, bias = weights[:-1].astype(positive.dtype), weights[-1]
+    gp, gu = positive @ w + bias, unlabelled @ w + bias
+    rest = float(np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    grad = lambda x, c: np.append(x.T @ c.astype(x.dtype), c.sum()).astype(np.float64) / len(c)
+    negative = grad(unlabelled, sig(gu)) - prior * grad(positive, sig(gp))
+    risk = prior * float(np.logaddexp(0, -gp).mean()) + max(0.0, rest)
+    return risk, prior * grad(positive, sig(gp) - 1) + negative if rest >= 0 else -negative
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.01, decay: float = 1e-3) -> Model:
+    """Minimise pu_risk by Adam over all rows in every step: with few negatives among the unlabelled, the second term of a small batch is mostly noise."""
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(0), np.maximum(every.std(0), 1e-3)
-    pos, unl = (np.clip((x - mean) / scale, -8, 8).astype(np.float64) for x in (positive, unlabelled))
-    rng, d = np.random.default_rng(seed), pos.shape[1]
+    pos, unl = (np.clip((x - mean) / scale, -8, 8).astype(np.float32) for x in (positive, unlabelled))
+    d = pos.shape[1]
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        p, u = pos[rng.integers(0, len(pos), batch)], unl[rng.integers(0, len(unl), batch)]
-        gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad = lambda x, c: np.append(x.T @ c, c.sum()) / len(c)
-        negative = grad(u, sig(gu)) - prior * grad(p, sig(gp))
-        g = prior * grad(p, sig(gp) - 1) + negative if rest >= 0 else -negative
+        g = pu_risk(w, pos, unl, prior)[1]
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(mean, scale, w[:-1].astype(np.float32), float(w[-1]), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, gamma: float = 0.01, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, by best bin estimation, from trusted positives and unlabelled rows alone.
+
+    Every second row fits a scorer; of the others, q_p(t) and q_u(t) are the shares of positives and of unlabelled rows that score t or more. Since the unlabelled hold
+    the positives, q_u / q_p is never below the prior, and equals it where no negative scores t. The t chosen has the least ratio after adding the sampling errors
+    of both shares at confidence 1 - delta. Fewer than two rows of a kind: 0.5.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    scorer = fit_pu(positive[::2], unlabelled[::2], 0.5)
+    of_p, of_u = (np.sort(scorer.score(x[1::2])) for x in (positive, unlabelled))
+    at = np.unique(of_p)
+    q_p, q_u = (1 - np.searchsorted(x, at) / len(x) for x in (of_p, of_u))
+    error = np.sqrt(np.log(4 / delta) / 2 / len(of_u)) + np.sqrt(np.log(4 / delta) / 2 / len(of_p))
+    best = int(np.argmin((q_u + (1 + gamma) * error) / q_p))
+    return float(np.clip(q_u[best] / q_p[best], 0.02, 0.98))
+
+
 def fold(column: str, folds: int):
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
@@ -100,20 +125,16 @@ def sampled(ids: DataFrame, most: int, seed: int = 11, column: str = "doc_id") -
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000) -> Model | None:
     """Fit on at most ``positives`` trusted rows (quality 1) and about ``unlabelled`` web texts, both chosen by a hash of the id.
 
-    labels: doc_id, quality; the caller leaves out held-out rows. The class prior is the share of quality 1 among all labelled rows.
+    labels: doc_id, quality; the caller leaves out held-out rows; only those with quality 1 are used. The class prior is estimated from the two samples, see class_prior.
     Null labels are left out. Without trusted positives there is no model.
     """
     docs = whole_texts(docs)
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    if not prior:
-        return None
-    ids = sampled(known.where("quality = 1").select("doc_id").distinct(), positives)
+    ids = sampled(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct(), positives)
     trusted = _collect_features(docs.join(F.broadcast(ids), "doc_id", "left_semi"))  # at most 1.5 * positives ids
     web = _collect_features(sampled(docs.select("doc_id", "text"), unlabelled, seed=12))
     if not len(trusted) or not len(web):
         return None
-    return fit_pu(trusted, web, min(max(prior, 0.02), 0.98))
+    return fit_pu(trusted, web, class_prior(trusted, web))
 
 
 def with_quality(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
