@@ -20,7 +20,7 @@ SECTION_BELOW = 32
 #: A passage (a leaf of the tree) ends where a hash of four code points has these bits clear, at a line's end, and after PASSAGE code points: about 8 code points.
 PASSAGE_BITS, PASSAGE = np.uint64(7), 32
 #: Leaves that a fingerprint holds at most: those with the smallest digests, of so many bits.
-LEAVES, LEAF_BITS = 160, 24
+LEAVES, LEAF_BITS = 160, 40
 #: Stands for a missing id: it orders last.
 LAST = (1 << 63) - 1
 
@@ -80,7 +80,7 @@ class Tree:
         self.root = hashlib.sha256(b"\2" + b"".join(s[0] for s in self.sections)).hexdigest()
         digest, place = np.unique(leaves >> np.uint64(64 - LEAF_BITS), return_inverse=True)
         size = np.bincount(place, ends - starts, len(digest)) if n else np.zeros(0)
-        head = np.ascontiguousarray(digest[:LEAVES].astype("<u4").view(np.uint8).reshape(-1, 4)[:, : LEAF_BITS // 8])
+        head = np.ascontiguousarray(digest[:LEAVES].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LEAF_BITS // 8])
         self.fingerprint = f"{self.root}:{base64.b64encode(bytes([len(digest) > LEAVES]) + head.tobytes() + np.minimum(size[:LEAVES], 65535).astype('<u2').tobytes()).decode()}"
 
     def first_difference(self, other: Tree) -> tuple[int, int] | None:
@@ -98,9 +98,9 @@ def _leaves(fingerprint: str) -> tuple[str, np.ndarray, np.ndarray, int]:
     root, _, rest = fingerprint.partition(":")
     data = base64.b64decode(rest)
     n = (len(data) - 1) // (LEAF_BITS // 8 + 2)
-    digest = np.zeros((n, 4), np.uint8)
+    digest = np.zeros((n, 8), np.uint8)
     digest[:, : LEAF_BITS // 8] = np.frombuffer(data, np.uint8, n * LEAF_BITS // 8, 1).reshape(n, LEAF_BITS // 8)
-    digest = digest.view("<u4").ravel()
+    digest = digest.view("<u8").ravel()
     return root, digest, np.frombuffer(data, "<u2", n, 1 + n * LEAF_BITS // 8).astype(np.int64), int(digest[-1]) if data[0] else 1 << LEAF_BITS
 
 
