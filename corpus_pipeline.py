@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_copies", drop_near_copies), ("mix", mix), ("pack", pack)]
 
-#: SQL cannot express the trained stages; the tests hold the pipeline against brute force.
+#: SQL cannot express the trained stages; the tests hold each stage against a plain computation, given the trained models (toxicity against its operator's scores).
 ORACLE_SQL = None
 
 
