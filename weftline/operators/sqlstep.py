@@ -20,7 +20,8 @@ _HIDDEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|`
 
 def check_sql(query: str) -> None:
     """One SELECT or WITH; no writing or admin words, file functions, file tables or addresses outside literals and comments."""
-    files = re.findall(r"\b(?:parquet|csv|json|orc|text|binaryfile|avro|delta)\s*\.\s*`", query, re.I)
+    quoted = _HIDDEN.sub(lambda m: m[0] if m[0].startswith("`") else " ", query)  # without literals and comments, with quoted names
+    files = re.findall(r"\b(?:parquet|csv|json|orc|text|binaryfile|avro|delta)\s*\.\s*`", quoted, re.I)
     bare = _HIDDEN.sub(" ", query).strip().rstrip(";").strip()
     if not re.match(r"(?is)\(?\s*(select|with)\b", bare):
         raise StepError("sql: only SELECT or WITH statements are accepted")
