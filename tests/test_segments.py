@@ -26,6 +26,16 @@ def test_fills_of_one_key_that_holds_most_rows(spark, forward):
     assert reshape.fill_nulls(df.limit(0), ["v"], "forward_fill", order_by=["t"], partition_by=["g"]).count() == 0
 
 
+def test_backward_fill_takes_each_row_once(spark):
+    rows = [(None if k % 4 == 0 else k % 9, k, f"s{k}" if k % 5 == 0 else None) for k in range(300)]
+    got = reshape.fill_nulls(spark.createDataFrame(rows, "a int, b int, v string").repartition(3), ["v"], "backward_fill", order_by=["a", "b"])
+    held, want = None, {}
+    for a, b, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True):  # a null comes first
+        want[b] = held = v if v is not None else held
+    assert {r.b: r.v for r in got.collect()} == want
+    assert "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()  # such a frame takes all later rows for each row
+
+
 def test_samples_that_others_can_repeat(spark):
     df = spark.range(1000).select("id", (F.col("id") % 10 == 0).alias("rare"), F.lit(None).cast("string").alias("none")).repartition(7)
     digest = {k: hashlib.md5(f"7|{k}|".encode()).hexdigest() for k in range(1000)}

@@ -99,20 +99,20 @@ def fill_nulls(df: DataFrame, columns: Sequence[str], strategy: str, constant_va
     if not order_by:
         raise StepError(f"fill_nulls: {strategy} needs order_by, as rows have no order")
     forward = strategy == "forward_fill"
-    frame = (Window.unboundedPreceding, Window.currentRow) if forward else (Window.currentRow, Window.unboundedFollowing)
-    take = F.last if forward else F.first
+    # backward is forward in the reverse order: a frame that ends at the last row is summed anew for each row
+    turned = (lambda c: F.col(f"`{c}`").asc_nulls_first()) if forward else (lambda c: F.col(f"`{c}`").desc_nulls_last())
     # ranges of key and order, each filled by itself, so that a frequent key is many tasks; what a key's earlier range ends with is carried on
     keys, parts = list(partition_by), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(parts, *[F.col(f"`{c}`") for c in [*keys, *order_by]]).withColumn("__part", F.spark_partition_id()), "ranges")
-    w = Window.partitionBy("__part", *keys).orderBy(*order_by).rowsBetween(*frame)
+    w = Window.partitionBy("__part", *[F.col(f"`{c}`") for c in keys]).orderBy(*[turned(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pick = F.max_by if forward else F.min_by
     key = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(*order_by))
     names = [f"__g{k}" for k in range(len(keys))]
     ends = ranged.groupBy("__part", *[F.col(f"`{g}`").alias(n) for g, n in zip(keys, names)]).agg(*[pick(F.col(f"`{c}`"), key(c)).alias(f"__{k}") for k, c in enumerate(columns)])
     ends = ends.withColumn("__spread", F.count("*").over(Window.partitionBy(*names))).where("__spread > 1")  # keys on both sides of a bound: at most two rows a range
-    over = Window.partitionBy(*names).orderBy("__part").rowsBetween(*((Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)))
-    carry = ends.select(F.col("__part").alias("__at"), *names, *[take(F.col(f"__{k}"), True).over(over).alias(f"__{k}") for k in range(len(columns))])
+    over = Window.partitionBy(*names).orderBy(turned("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(F.col("__part").alias("__at"), *names, *[F.last(F.col(f"__{k}"), True).over(over).alias(f"__{k}") for k in range(len(columns))])
     same = [F.col("__part") == F.col("__at"), *[F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in zip(keys, names)]]
-    filled = ranged.withColumns({c: take(F.col(f"`{c}`"), True).over(w) for c in columns}).join(F.broadcast(carry), same, "left")
+    filled = ranged.withColumns({c: F.last(F.col(f"`{c}`"), True).over(w) for c in columns}).join(F.broadcast(carry), same, "left")
     out = {c: F.coalesce(F.col(f"`{c}`"), F.col(f"__{k}")) for k, c in enumerate(columns)}
     return filled.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
