@@ -352,6 +352,39 @@ def test_jaccard_of_families_against_brute_force(spark, monkeypatch, common):
     assert got == low and len(links) > 100
 
 
+@pytest.mark.parametrize("own_words", [True, False])
+def test_jaccard_deals_a_large_family_without_all_pairs_of_chunks(spark, monkeypatch, own_words):
+    """Copies of one text with edits around the limit: members of one class don't meet again, and those that nothing can link with leave the lists."""
+    monkeypatch.setattr(jaccard, "CHUNK", 10)
+    rng = random.Random(own_words)
+    base = [f"b{k}" for k in range(140)]
+    edits = [(rng.randrange(140), f"e{k}") for k in range(60)]  # without words of their own, texts share their edits
+    rows = [(k, base[: 140 - k % 3]) for k in range(6)]
+    for k in range(6, 400):
+        words = list(base)
+        for at, word in [(rng.randrange(140), f"x{k}-{j}") for j in range(rng.randint(1, 6))] if own_words else rng.sample(edits, rng.randint(1, 6)):
+            words[at] = word
+        rows.append((k, words))
+    rows = [(k, " ".join(words)) for k, words in rows]
+    sets = {k: set(jaccard.shingles(jaccard.words_of(t)).tolist()) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    low = {k: k for k in sets}
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    dealt, given = [], jaccard.needed_members
+
+    def needed(members):
+        dealt.append((members.count(), members.select("key", "text_name").distinct().count()))
+        return given(members)
+
+    monkeypatch.setattr(jaccard, "needed_members", needed)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id int, text string").repartition(5)).collect()}
+    assert got == low and 1 < len(set(low.values())) < 390
+    if own_words:
+        assert all(n <= 6 * memberships and n < 10 * len(rows) for n, memberships in dealt)
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(1)
     ids = rng.sample(range(100_000), 5001)

@@ -25,6 +25,8 @@ BITS = 48
 #: Frequent shingles are found on about so many texts: those in at least COMMON of them, FREQUENT at most. They come last in the order of
 #: shingles, whatever their number; any order gives the same links, so the sample bounds work and not results.
 SAMPLE, COMMON, FREQUENT = 5000, 20, 100_000
+#: The order of shingles is their number's: how many texts hold them (no more than OFTEN is told apart, one more for the frequent), then the hash.
+OFTEN = (1 << 63 - BITS) - 2
 #: Shingles that a task bundles before it deals them, shingles of a bucket that is counted at once, and texts whose names a task remembers.
 BUNDLE, BUCKET, SEEN = 1 << 20, 1 << 22, 1_000_000
 
@@ -141,17 +143,18 @@ class Index:
             yield last, seen
 
 
-#: name, label of its class so far, number of all shingles, the lists that it is searched in (ascending), the shared shingles (packed; None before they are needed).
-Member = tuple[int, int, int, list[int], bytes | None]
+#: name, label of its class so far, number of all shingles, the largest such number of a text that it can link with, the lists that it is searched in (ascending), the
+#: shared shingles (packed; None before they are needed).
+Member = tuple[int, int, int, int, list[int], bytes | None]
 
 
 def comparable(left: list[Member], right: list[Member] | None, here: int) -> Iterator[tuple[int, int]]:
     """(place in right or, if that is None, in left; bits of the places in left) of the pairs to be searched for in list ``here``.
 
-    A pair belongs to the first of its common lists; sizes and labels must allow a new link.
+    A pair belongs to the first of its common lists; sizes, the sizes that both can link with and labels must allow a new link.
     """
     elsewhere: dict[int, int] = {}  # earlier list: bits of the places in left that are in it too
-    for place, (_, _, _, lists, _) in enumerate(left):
+    for place, (_, _, _, _, lists, _) in enumerate(left):
         for k in lists:
             if k >= here:
                 break
@@ -164,14 +167,17 @@ def comparable(left: list[Member], right: list[Member] | None, here: int) -> Ite
     sizes, upto = [left[p][2] for p in order], [0]
     for p in order:
         upto.append(upto[-1] | 1 << p)
-    for at, (_, label, size, lists, _) in enumerate(left if right is None else right):
+    order = sorted(range(len(left)), key=lambda p: left[p][3])
+    most, below = [left[p][3] for p in order], [0]
+    for p in order:
+        below.append(below[-1] | 1 << p)
+    for at, (_, label, size, largest, lists, _) in enumerate(left if right is None else right):
         met = same.get(label, 0)
         for k in lists:
             if k >= here:
                 break
             met |= elsewhere.get(k, 0)
-        low, high = bisect_left(sizes, -(-PERCENT * size // 100)), bisect_right(sizes, 100 * size // PERCENT)
-        bits = every & ~met & upto[high] & ~upto[low]
+        bits = every & ~met & upto[bisect_right(sizes, largest)] & ~below[bisect_left(most, size)]
         if right is None:
             bits &= (1 << at) - 1
         if bits:
@@ -199,11 +205,11 @@ def link_chunks(left: list[Member], right: list[Member] | None, here: int) -> li
 
     index, edges = None, []
     for at, bits in comparable(left, right, here):
-        name, label, size, _, held = (left if right is None else right)[at]
+        name, label, size, _, _, held = (left if right is None else right)[at]
         wanted = {p for p in _places(bits) if root(left[p][1]) != root(label)}
         if not wanted:
             continue
-        index = index or Index([unpack(m[4]) for m in left], [m[2] for m in left])
+        index = index or Index([unpack(m[5]) for m in left], [m[2] for m in left])
         for doc in index.search(unpack(held), size, lambda d: d not in wanted or root(left[d][1]) == root(label)):
             a, b = root(left[doc][1]), root(label)
             parent[max(a, b)] = min(a, b)
@@ -356,7 +362,7 @@ def shared_sets(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Data
 
     shared: the shingles that at least one other text holds, packed; own: how many others the text has. In the order rare before frequent, a text's
     first n - ceil(0.75 n) + 1 shingles are its prefix: linked texts have one of their prefixes' shingles in common. The text's own
-    shingles come first; ``prefix`` are the shared ones among them, and texts without any are left out.
+    shingles come first; ``prefix`` are the shared ones among them (their numbers in that order, ascending), and texts without any are left out.
     Shingles are counted in one shuffle, for which the texts are read again: their sets are never written. Those of ``frequent`` stay out of it.
     """
 
@@ -370,7 +376,7 @@ def shared_sets(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Data
     counted = shared_shingles(docs, frequent, total).select("text_name", "df", "hash", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("frequent"))
     rows = counted.union(heads.select("text_name", F.lit(0), F.lit(-1).cast("long"), "n_shingles", "frequent"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "text_name").sortWithinPartitions("text_name", "df", "hash")
+    rows = rows.repartition(parts, "text_name").sortWithinPartitions("text_name", F.least("df", F.lit(OFTEN)), "hash")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts():
@@ -384,7 +390,8 @@ def shared_sets(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Data
                             yield name, n, last, held
                         name, held = int(names[begin]), []
                         n, last = batch.column(3)[begin].as_py(), batch.column(4)[begin].as_py()
-                    held.append(hashes[begin:end][df[begin:end] > 0].astype(np.uint64))
+                    some = df[begin:end] > 0
+                    held.append(np.minimum(df[begin:end][some], OFTEN).astype(np.uint64) << np.uint64(BITS) | hashes[begin:end][some].astype(np.uint64))
                     begin = end
             if name is not None:
                 yield name, n, last, held
@@ -393,11 +400,11 @@ def shared_sets(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Data
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         put = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["text_name", "n", "own", "prefix", "shared"])
         for name, n, last, held in texts():
-            order = np.concatenate([*held, unpack(last)] if last else held)
+            order = np.concatenate([*held, unpack(last) | np.uint64(OFTEN + 1 << BITS)] if last else held)
             own = n - len(order)
             first = order[: max(0, n - -(-PERCENT * n // 100) + 1 - own)]
             if len(first):
-                rows.append((name, n, own, first.astype(np.int64), pack(np.sort(order))))
+                rows.append((name, n, own, first.astype(np.int64), pack(np.sort(order & np.uint64((1 << BITS) - 1)))))
                 if len(rows) >= 2000:
                     yield put()
                     rows = []
@@ -411,7 +418,7 @@ def _groups(batches: Iterator[pa.RecordBatch], shared: bool) -> Iterator[tuple[t
     """((key, i, j), [(side, member)]) of sorted rows."""
     key, rows = None, []
     for batch in batches:
-        columns = [batch.column(x).to_pylist() for x in ("key", "i", "j", "side", "text_name", "label", "n", "lists", *(["shared"] if shared else []))]
+        columns = [batch.column(x).to_pylist() for x in ("key", "i", "j", "side", "text_name", "label", "n", "largest", "lists", *(["shared"] if shared else []))]
         for c, i, j, side, *row in zip(*columns):
             if (c, i, j) != key:
                 if rows:
@@ -427,7 +434,7 @@ def _grouped(members: DataFrame) -> DataFrame:
     return members.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "text_name")
 
 
-MEMBERS = "key long, i int, j int, side int, text_name long, label long, n long, lists array<long>"
+MEMBERS = "key long, i int, j int, side int, text_name long, label long, n long, largest long, lists array<long>"
 
 
 def needed_members(members: DataFrame) -> DataFrame:
@@ -435,7 +442,7 @@ def needed_members(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         put = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in MEMBERS.split(", ")])
         for (key, i, j), rows in _groups(batches, False):
             left, right = [r for side, r in rows if not side], None if i == j else [r for side, r in rows if side]
@@ -445,7 +452,7 @@ def needed_members(members: DataFrame) -> DataFrame:
                 second |= 1 << at
             if right is None:
                 first |= second
-            out += [(key, i, j, 0, *left[p][:4]) for p in _places(first)] + [(key, i, j, 1, *right[p][:4]) for p in _places(second) if right is not None]
+            out += [(key, i, j, 0, *left[p][:5]) for p in _places(first)] + [(key, i, j, 1, *right[p][:5]) for p in _places(second) if right is not None]
             if len(out) >= 2000:
                 yield put()
                 out = []
@@ -458,7 +465,7 @@ def needed_members(members: DataFrame) -> DataFrame:
 def search_groups(members: DataFrame, live: DataFrame) -> DataFrame:
     """(a, b) links found by T-occurrence search within each group (key, i, j).
 
-    members: key, i, j, side, text_name, label, n, lists; where i = j rows of side 0 are searched among themselves, else those of side 1 among those of
+    members: key, i, j, side, text_name, label, n, largest, lists; where i = j rows of side 0 are searched among themselves, else those of side 1 among those of
     side 0. The shared shingles are joined here, by shuffle at every size; a group holds two chunks at most.
     """
     held = _grouped(members.join(live.select("text_name", "shared").hint("merge"), "text_name"))
@@ -485,15 +492,29 @@ def _lists(rows: DataFrame) -> DataFrame:
     return same.select("list.s", "texts", F.col("list.leader.text_name").alias("leader"), F.col("list.leader.n").alias("leader_n"))
 
 
+def _with_partners(known: DataFrame) -> DataFrame:
+    """The rows whose list holds a row of another label with n up to their own ``largest``, and one with ``largest`` from their own n on."""
+    each = cut(known.groupBy("s", "label").agg(F.min("n").alias("n"), F.max("largest").alias("largest")), "labels_of_lists")
+    ends = each.groupBy("s").agg(F.min(F.struct("n", "label")).alias("low"), F.max(F.struct("largest", "label")).alias("high"))
+    others = each.join(ends, "s").groupBy("s", "low", "high").agg(F.min(F.when(F.col("label") != F.col("low.label"), F.col("n"))).alias("low_else"), F.max(F.when(F.col("label") != F.col("high.label"), F.col("largest"))).alias("high_else"))
+    others = cut(others.where("low_else is not null"), "mixed")  # as with lists
+    low = F.when(F.col("label") == F.col("low.label"), F.col("low_else")).otherwise(F.col("low.n"))
+    high = F.when(F.col("label") == F.col("high.label"), F.col("high_else")).otherwise(F.col("high.largest"))
+    return known.join(others, "s").where((low <= F.col("largest")) & (high >= F.col("n"))).select(*known.columns)
+
+
 def text_classes(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(text_name, class) of the texts that link with another one: class = the smallest name reachable.
 
     Exact for the shingle hashes: linked texts share a prefix shingle, so each pair meets in one of the inverted lists of prefix shingles. First every list's
     leader is searched among the others, a group for each leader; this joins groups of near copies. Then the lists that still hold texts of different classes are
-    searched, without the leader, in pairs of chunks; a pair only in the first of its common lists.
+    searched, without the leader; a pair only in the first of its common lists. As the lists are in the order of shingles, such a pair shares none of the shingles
+    before that one, so a text with p of them there has at most n - p in common with the other; this bounds the other's size (``largest``), and rows
+    without a text of another class in these bounds leave the list. Of a long list, rows of the most frequent class don't meet each other: they are dealt to
+    the chunks of the other rows only, so a group of near copies costs about a row for each membership.
     """
     live = cut(shared_sets(docs, facts, frequent), "shared")
-    every = live.select(F.explode("prefix").alias("s"), "text_name", "n", "own")
+    every = live.select(F.posexplode("prefix").alias("at", "s"), "text_name", "n", "own")
     lists = cut(_lists(every), "lists")  # written first: else the join keeps the aggregation's partitions, and AQE can't split a hot list
     rows = cut(every.join(lists, "s").where("text_name <> leader"), "list_rows")
 
@@ -501,24 +522,28 @@ def text_classes(docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> Dat
     pairs = cut(rows.where(near).select("leader", "leader_n", "text_name", "n").distinct(), "leaders")
     sizes = cut(pairs.groupBy("leader", "leader_n").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "leader_chunks")
     none = F.array().cast("array<long>")
-    follow = pairs.join(sizes.drop("leader_n"), "leader").select(F.col("leader").alias("key"), F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "text_name", F.col("text_name").alias("label"), "n", none.alias("lists"))
-    lead = sizes.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), F.col("leader").alias("text_name"), F.col("leader").alias("label"), F.col("leader_n").alias("n"), none.alias("lists"))
+    largest = lambda n: F.floor(F.lit(100) * F.col(n) / PERCENT).cast("long").alias("largest")
+    follow = pairs.join(sizes.drop("leader_n"), "leader").select(F.col("leader").alias("key"), F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "text_name", F.col("text_name").alias("label"), "n", largest("n"), none.alias("lists"))
+    lead = sizes.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), F.col("leader").alias("text_name"), F.col("leader").alias("label"), F.col("leader_n").alias("n"), largest("leader_n"), none.alias("lists"))
     stars = cut(components(search_groups(follow.union(lead), live)).select(F.col("id").alias("text_name"), F.col("component").alias("label")), "stars")
 
-    known = rows.where("texts > 2").select("s", "text_name", "own", "n").join(stars, "text_name", "left").withColumn("label", F.coalesce("label", "text_name"))
+    # 100 c >= 75 (n + m - c) with c <= n - p: the text links with sizes m up to this
+    bound = F.expr(f"(({100 + PERCENT}) * (n - own - at) - {PERCENT} * n) DIV {PERCENT}")
+    known = rows.where("texts > 2").select("s", "text_name", "own", "n", bound.alias("largest")).join(stars, "text_name", "left").withColumn("label", F.coalesce("label", "text_name"))
     known = cut(known, "labelled_rows")
-    mixed = known.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
-    mixed = cut(mixed, "mixed")  # as with lists
-    rest = cut(known.join(mixed, "s", "left_semi"), "mixed_rows")
-    # large lists first: they hold most pairs, so few lists have pairs of their own
-    key = F.shiftleft(F.lit(32767).cast("long") - F.least("texts", F.lit(32767)), BITS) + F.col("s")
-    left = cut(_lists(rest).select("s", key.alias("key"), F.ceil(F.col("texts") / CHUNK).cast("int").alias("chunks")), "mixed_lists")
-    member = cut(rest.join(left, "s"), "members")
-    at = member.groupBy("text_name").agg(F.array_sort(F.collect_list("key")).alias("lists"))  # a text's own, so no more than its shingles
-    member = member.join(cut(at, "lists_of_texts"), "text_name").withColumn("chunk", F.pmod(F.xxhash64("text_name"), F.col("chunks")).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
-    member = member.select("key", "chunk", F.explode(to).alias("to"), "text_name", "label", "n", "lists")
-    member = member.select("key", "to.i", "to.j", (F.col("chunk") != F.col("to.i")).cast("int").alias("side"), "text_name", "label", "n", "lists")
+    rest = cut(_with_partners(known), "mixed_rows")
+    top = rest.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "label")).alias("top"))
+    long = F.col("texts") > CHUNK
+    left = _lists(rest).join(top, "s").select("s", F.when(long, F.col("top.label")).alias("top"), F.when(long, F.ceil(F.col("top.k") / CHUNK)).otherwise(0).cast("int").alias("same"), F.when(long, F.ceil((F.col("texts") - F.col("top.k")) / CHUNK)).otherwise(1).cast("int").alias("others"))
+    member = cut(rest.join(cut(left, "mixed_lists"), "s"), "members")
+    at = member.groupBy("text_name").agg(F.array_sort(F.collect_list("s")).alias("lists"))  # a text's own, so no more than its shingles
+    member = member.join(cut(at, "lists_of_texts"), "text_name").withColumn("is_top", F.col("label").eqNullSafe(F.col("top")))
+    place = F.xxhash64("text_name")
+    member = member.withColumn("chunk", F.when(F.col("is_top"), F.col("others") + F.pmod(place, F.col("same"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("same")) - 1
+    to = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
+    member = member.select(F.col("s").alias("key"), "chunk", F.explode(to).alias("to"), "text_name", "label", "n", "largest", "lists")
+    member = member.select("key", "to.i", "to.j", (F.col("chunk") != F.col("to.i")).cast("int").alias("side"), "text_name", "label", "n", "largest", "lists")
     needed = cut(needed_members(member), "needed")
     more = search_groups(needed, live)
     found = components(more.union(stars.select("text_name", "label")))
